@@ -84,7 +84,7 @@ def older_than(moment: Column, cutoff: Column) -> Column:
 def as_number(value: Column) -> Column:
     """Text that reads as a finite number gives that number, everything else NULL."""
     text = F.trim(value.cast("string"))
-    number = F.when(text.rlike(NUMBER_PATTERN), F.try_cast(text, "double"))
+    number = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
     return F.when(F.abs(number) < float("inf"), number)
 
 

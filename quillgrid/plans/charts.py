@@ -82,24 +82,37 @@ def _bounds(df: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def _rounded_edge(edge: Column, precision: int) -> Column:
+def _rounded_edge(edge: Column, precision: Column) -> Column:
     """An edge at the given number of decimals, significant ones where it is below 1."""
     size = F.abs(edge)
-    small = F.lit(-1 + precision) - F.floor(F.log10(size))
-    scale = F.pow(F.lit(10.0), F.when(size < 1, small).otherwise(F.lit(precision)))
+    small = precision - 1 - F.floor(F.log10(size))
+    scale = F.pow(F.lit(10.0), F.when(size < 1, small).otherwise(precision))
     return F.when(edge == 0, edge).otherwise(F.rint(edge * scale) / scale)
 
 
+def _let(value: Column, use) -> Column:
+    """Bind a value to a name inside an expression, so that it is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _edge_labels(edges: Column) -> Column:
-    """Edges rounded to the fewest decimals, at least three, that keep them all apart."""
+    """`(low, high]` labels; edges get the fewest decimals, at least three, that differ."""
 
-    def at(precision: int) -> Column:
-        return F.transform(edges, lambda e: _rounded_edge(e, precision))
+    def rounded(all_edges: Column) -> Column:
+        tries = F.transform(
+            F.sequence(F.lit(3), F.lit(15)),
+            lambda p: F.transform(all_edges, lambda e: _rounded_edge(e, p)),
+        )
+        apart = F.filter(tries, lambda t: F.size(F.array_distinct(t)) == BINS + 1)
+        return F.transform(F.coalesce(F.get(apart, 0), all_edges), double_text)
+
+    def intervals(texts: Column) -> Column:
+        return F.transform(
+            F.slice(texts, 1, BINS),
+            lambda low, i: F.concat(F.lit("("), low, F.lit(", "), F.get(texts, i + 1), F.lit("]")),
+        )
 
-    choices = [
-        F.when(F.size(F.array_distinct(at(p))) == BINS + 1, at(p)) for p in range(3, 16)
-    ]
-    return F.coalesce(*choices, edges)
+    return _let(edges, lambda e: _let(rounded(e), intervals))
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
@@ -123,49 +136,24 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
         .groupBy(bin_of.alias("bin"))
         .agg(F.count(F.lit(1)).alias("value"))
     )
-    lo, hi = F.col("b.lo"), F.col("b.hi")
+    bins = bounds.select(F.posexplode(_let(F.col("b"), _interval_labels)).alias("bin", "label"))
+    return _with_empty_bins(bins, counted)
+
+
+def _interval_labels(b: Column) -> Column:
+    """The ten bin labels from the bounds; no values at all is an error."""
+    lo, hi = b["lo"], b["hi"]
+    constant = lo == hi
     spread = F.when(lo == 0, 0.001).otherwise(F.abs(lo) * 0.001)
-    first = F.when(lo == hi, lo - spread).otherwise(lo)
-    last = F.when(lo == hi, hi + spread).otherwise(hi)
-    edges = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS)),
-        lambda i: F.when(i == BINS, F.col("last")).otherwise(
-            F.col("first") + i * F.col("step")
-        ),
-    )
-    frame = (
-        bounds.select(
-            F.when(F.col("b.n") == 0, F.raise_error(F.lit("No values to count.")).cast("double"))
-            .otherwise(first)
-            .alias("first"),
-            last.alias("last"),
-            (lo == hi).alias("constant"),
-        )
-        .withColumn("step", (F.col("last") - F.col("first")) / BINS)
-        .withColumn("edges", edges)
-        .withColumn(
-            "edges",
-            F.transform(
-                "edges",
-                lambda e, i: F.when(
-                    (i == 0) & ~F.col("constant"),
-                    e - (F.col("last") - F.col("first")) * 0.001,
-                ).otherwise(e),
-            ),
-        )
-        .select(_edge_labels(F.col("edges")).alias("shown"))
-    )
-    labels = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS - 1)),
-        lambda i: F.concat(
-            F.lit("("),
-            double_text(F.get("shown", i)),
-            F.lit(", "),
-            double_text(F.get("shown", i + 1)),
-            F.lit("]"),
-        ),
+    first = F.when(constant, lo - spread).otherwise(lo)
+    last = F.when(constant, hi + spread).otherwise(hi)
+    lowest = F.when(constant, first).otherwise(first - (last - first) * 0.001)
+    between = F.transform(
+        F.sequence(F.lit(1), F.lit(BINS - 1)), lambda i: first + i * ((last - first) / BINS)
     )
-    return _with_empty_bins(frame.select(F.posexplode(labels).alias("bin", "label")), counted)
+    labels = _edge_labels(F.concat(F.array(lowest), between, F.array(last)))
+    none = F.raise_error(F.lit("No values to count.")).cast("array<string>")
+    return F.when(b["n"] == 0, none).otherwise(labels)
 
 
 def _with_empty_bins(bins: DataFrame, counted: DataFrame) -> DataFrame:

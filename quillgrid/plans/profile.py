@@ -4,16 +4,18 @@ What grows with the data is kept out of single tasks. Exact distinct counts and
 quartiles both come from one shuffled table of value counts, `column, value, n`:
 
 * distinct values are its rows,
-* quartiles are found by rank: values fall between sampled split points, the points' counts
-  say which slice holds the wanted rank, and only that slice is sorted. The split points
-  only set the size of a slice; whatever they are, the rank found is exact.
+* quartiles are found by rank: a sketch gives two cut points close around each quartile, the
+  counts between the cuts say which region holds the wanted rank, and only that region is
+  sorted. The cuts only set the size of a region; whatever they are, the value found is exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,13 +33,13 @@ from quillgrid.functions.scalars import half_even
 CORRELATION_COLUMNS = 50
 MISSING_ADVICE_PERCENT = 20
 OUTLIER_SPAN = 1.5
+NOISE = 1e-14
 QUARTILES = (0.25, 0.5, 0.75)
 
-# How many slices the values of a column are cut into when a rank is looked for, how closely
-# the split points are sampled, and how many aggregates one pass over the data computes.
-SLICES = 1024
-SPLIT_ACCURACY = 10_000
-PAIRS_PER_PASS = 64
+# The sketch's accuracy: its ranks are off by at most rows / SKETCH_ACCURACY, so the cuts around
+# a quartile enclose some 4 / SKETCH_ACCURACY of the rows.
+SKETCH_ACCURACY = 10_000
+CUT_MARGIN = 2 / SKETCH_ACCURACY
 LONG_TEXT_BYTES = 64
 NARROW_ROW_BYTES = 32
 
@@ -136,95 +138,97 @@ def _for_every_column(df: DataFrame, found: DataFrame, defaults: dict) -> DataFr
     return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
-def _slice_of(value: Column, splits: Column) -> Column:
-    """How many split points lie below the value, by binary search over the sorted points."""
-    powers = [2**k for k in reversed(range((SLICES - 1).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(p) for p in powers]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(splits, at + step - 1) < value, at + step).otherwise(at),
+def _cuts(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """`column, cuts, total`: cut points around each quartile and the number of values."""
+    points = [min(max(p + side * CUT_MARGIN, 0.0), 1.0) for p in QUARTILES for side in (-1, 1)]
+    slim = df.select(*columns)
+    sketch = slim.agg(
+        *[
+            F.struct(
+                F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias("cuts"),
+                F.count(col(c)).alias("total"),
+            ).alias(str(i))
+            for i, c in enumerate(slim.columns)
+        ]
+    )
+    entries = [
+        F.struct(F.lit(c).alias("column"), F.col(f"{i}.cuts"), F.col(f"{i}.total"))
+        for i, c in enumerate(slim.columns)
+    ]
+    long = sketch.select(F.inline(F.array(*entries)))
+    return long.select(
+        "column", "total", *[F.col("cuts")[i].alias(f"cut{i}") for i in range(len(points))]
     )
 
 
-def quantiles_by_rank(counts: DataFrame, probabilities: tuple = QUARTILES) -> DataFrame:
-    """`column, q0, q1, ...`: exact quantiles with linear interpolation.
+def exact_quartiles(counts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """`column, q0, q1, q2`: exact quartiles with linear interpolation.
 
     `counts` is a table `column, value, n`. The quantile p of N values lies at position
     p * (N - 1) of the sorted values, between the two neighbouring ones.
     """
-    points = [i / SLICES for i in range(1, SLICES)]
-    facts = counts.groupBy("column").agg(
-        F.array_sort(F.percentile_approx("value", points, SPLIT_ACCURACY)).alias("splits"),
-        F.sum("n").alias("total"),
+    edges = [c for c in cuts.columns if c.startswith("cut")]
+    region = sum(F.when(F.col("value") > F.col(c), 1).otherwise(0) for c in edges)
+    # One row of a few numbers per column of the table: the schema bounds this broadcast.
+    placed = counts.join(F.broadcast(cuts.drop("total")), "column").select(
+        "column", "value", "n", region.alias("region")
     )
-    # One row per column of the table, a few kilobytes each: the schema bounds the broadcast.
-    sliced = counts.join(F.broadcast(facts.select("column", "splits")), "column").select(
-        "column", "value", "n", _slice_of(F.col("value"), F.col("splits")).alias("slice")
-    )
-    per_slice = sliced.groupBy("column", "slice").agg(F.sum("n").alias("in_slice"))
-    upto = Window.partitionBy("column").orderBy("slice")
-    per_slice = per_slice.withColumn("before", F.sum("in_slice").over(upto) - F.col("in_slice"))
+    sizes = placed.groupBy("column", "region").agg(F.sum("n").alias("size"))
+    upto = Window.partitionBy("column").orderBy("region")
+    sizes = sizes.withColumn("before", F.sum("size").over(upto) - F.col("size"))
 
-    wanted = facts.select(
-        "column",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("q"),
-                        (F.lit(float(p)) * (F.col("total") - 1)).alias("position"),
-                    )
-                    for i, p in enumerate(probabilities)
-                ]
-            )
-        ),
-    )
-    ranks = wanted.select(
+    positions = [
+        F.struct(
+            F.lit(q).alias("q"), (F.lit(float(p)) * (F.col("total") - 1)).alias("position")
+        )
+        for q, p in enumerate(QUARTILES)
+    ]
+    wanted = cuts.select("column", F.inline(F.array(*positions))).select(
         "column",
         "q",
+        F.floor("position").alias("low"),
+        F.ceil("position").alias("high"),
         (F.col("position") - F.floor("position")).alias("weight"),
-        F.explode(
-            F.array_distinct(F.array(F.floor("position"), F.ceil("position")))
-        ).alias("rank"),
-        F.floor("position").alias("low_rank"),
     )
-    holds = (F.col("rank") >= F.col("before")) & (
-        F.col("rank") < F.col("before") + F.col("in_slice")
+    ranks = wanted.select(
+        "column", "q", "weight", F.posexplode(F.array("low", "high")).alias("side", "rank")
     )
-    targets = ranks.join(per_slice, "column").filter(holds)
-    needed = targets.select("column", "slice", "before").distinct()
-    # At most two slices per column and quantile.
-    kept = sliced.join(F.broadcast(needed), ["column", "slice"])
-    within = Window.partitionBy("column", "slice").orderBy("value")
-    ranked = kept.withColumn("upto", F.col("before") + F.sum("n").over(within))
-    ranked = ranked.select(
-        "column", "slice", "value", (F.col("upto") - F.col("n")).alias("from_rank"), "upto"
+    inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size"))
+    targets = ranks.join(sizes, "column").filter(inside)
+
+    # At most two regions per column and quartile.
+    regions = targets.select("column", "region", "before").distinct()
+    kept = placed.join(F.broadcast(regions), ["column", "region"])
+    sorted_region = Window.partitionBy("column", "region").orderBy("value")
+    ranked = kept.select(
+        "column",
+        "region",
+        F.col("value").cast("double").alias("value"),
+        (F.col("before") + F.sum("n").over(sorted_region)).alias("upto"),
+        "n",
     )
-    hit = (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("upto"))
-    found = ranked.join(
-        F.broadcast(targets.select("column", "slice", "q", "rank", "low_rank", "weight")),
-        ["column", "slice"],
-    ).filter(hit)
-    value = F.col("value").cast("double")
-    low = F.max(F.when(F.col("rank") == F.col("low_rank"), value))
-    high = F.max(F.when(F.col("rank") != F.col("low_rank"), value))
-    per_quantile = found.groupBy("column", "q").agg(
-        low.alias("low"), F.coalesce(high, low).alias("high"), F.max("weight").alias("weight")
+    hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    found = ranked.join(F.broadcast(targets.drop("before", "size")), ["column", "region"])
+    values = found.filter(hit).groupBy("column", "q").agg(
+        F.max(F.when(F.col("side") == 0, F.col("value"))).alias("low"),
+        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("high"),
+        F.max("weight").alias("weight"),
     )
-    exact = F.col("low") + (F.col("high") - F.col("low")) * F.col("weight")
-    return per_quantile.groupBy("column").agg(
-        *[F.max(F.when(F.col("q") == i, exact)).alias(f"q{i}") for i in range(len(probabilities))]
+    quartile = F.col("low") + (F.col("high") - F.col("low")) * F.col("weight")
+    return values.groupBy("column").agg(
+        *[F.max(F.when(F.col("q") == q, quartile)).alias(f"q{q}") for q in range(len(QUARTILES))]
     )
 
 
-def _numeric_stats(counts: DataFrame) -> DataFrame:
-    """`column, unique_count, mean, median, outlier_count` from a value-count table."""
+def _numeric_stats(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """`column, unique_count, mean, median, outlier_count` of columns of one type."""
+    counts = _value_counts(df, columns)
     value = F.col("value").cast("double")
     basics = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("unique_count"),
         (F.sum(value * F.col("n")) / F.sum("n")).alias("mean"),
     )
-    quartiles = quantiles_by_rank(counts)
+    quartiles = exact_quartiles(counts, _cuts(df, columns))
     span = (F.col("q2") - F.col("q0")) * OUTLIER_SPAN
     outside = (value < F.col("q0") - span) | (value > F.col("q2") + span)
     outliers = counts.join(F.broadcast(quartiles), "column").groupBy("column").agg(
@@ -242,7 +246,7 @@ def _approximate_stats(df: DataFrame) -> DataFrame:
         *[F.approx_count_distinct(col(c)).alias(f"d{i}") for c, i in names.items()],
         *[F.avg(col(c)).alias(f"m{names[c]}") for c in numeric],
         *[
-            F.percentile_approx(col(c).cast("double"), list(QUARTILES), SPLIT_ACCURACY).alias(
+            F.percentile_approx(col(c).cast("double"), list(QUARTILES), SKETCH_ACCURACY).alias(
                 f"q{names[c]}"
             )
             for c in numeric
@@ -276,22 +280,22 @@ def _approximate_stats(df: DataFrame) -> DataFrame:
 
 
 def _exact_stats(df: DataFrame) -> DataFrame:
+    """The statistics of every column; each type is scanned with only its own columns."""
+    decimals = [c for c in df.columns if _is_decimal(df, c)]
+    kinds = _value_kinds(df, [c for c in df.columns if c not in decimals])
     found = None
-    for kind in _value_kinds(df, [c for c in df.columns if not _is_decimal(df, c)]):
-        counts = _value_counts(df, kind)
-        if isinstance(type_of(counts, "value"), T.StringType):
-            one = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    for kind in kinds + [[col(c)] for c in decimals]:
+        if is_numeric(df.select(*kind).schema.fields[0].dataType):
+            one = _numeric_stats(df, kind)
         else:
-            one = _numeric_stats(counts)
-        found = one if found is None else found.unionByName(one, allowMissingColumns=True)
-    for name in [c for c in df.columns if _is_decimal(df, c)]:
-        one = _numeric_stats(_value_counts(df, [col(name)]))
+            one = _value_counts(df, kind).groupBy("column").agg(
+                F.count(F.lit(1)).alias("unique_count")
+            )
         found = one if found is None else found.unionByName(one, allowMissingColumns=True)
-    for missing in {"mean", "median"} - set(found.columns):
-        found = found.withColumn(missing, F.lit(None).cast("double"))
-    if "outlier_count" not in found.columns:
-        found = found.withColumn("outlier_count", F.lit(None).cast("bigint"))
-    return found
+    absent = {"mean": "double", "median": "double", "outlier_count": "bigint"}
+    return found.withColumns(
+        {c: F.lit(None).cast(t) for c, t in absent.items() if c not in found.columns}
+    )
 
 
 def _is_decimal(df: DataFrame, name: str) -> bool:
@@ -439,43 +443,76 @@ def correlation_columns(df: DataFrame, limit: int = CORRELATION_COLUMNS) -> tupl
     return numeric[:limit], max(0, len(numeric) - limit)
 
 
+def _pair_moments(width: int):
+    """Sums over one task's rows for every pair of columns, as a few small matrix products.
+
+    Fifty columns make 1,225 pairs of six sums each. As single aggregates they pass the
+    limit for generated code; as products of a batch with itself they are nearly free. Only
+    width * width rows leave a task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((6, width, width))
+        for batch in batches:
+            x = batch.to_numpy(dtype=np.float64, na_value=np.nan)
+            here = ~np.isnan(x)
+            x, here = np.where(here, x, 0.0), here.astype(np.float64)
+            squares = x * x
+            sums += np.stack(
+                [here.T @ here, x.T @ here, here.T @ x, x.T @ x, squares.T @ here, here.T @ squares]
+            )
+        a, b = np.triu_indices(width)
+        names = ("n", "sx", "sy", "sxy", "sxx", "syy")
+        moments = {name: sums[i, a, b] for i, name in enumerate(names)}
+        yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), **moments})
+
+    return run
+
+
 def correlations(df: DataFrame, limit: int = CORRELATION_COLUMNS) -> DataFrame:
     """`column_a, column_b, correlation`: Pearson over the rows where both are present.
 
     Every unordered pair is computed once and written in both directions; a column with
-    itself is 1 if it varies. An undefined correlation is NULL. Wide tables take several
-    passes of bounded width instead of one with thousands of aggregates.
+    itself is 1 if it varies. An undefined correlation is NULL. Values are first shifted by
+    their column's mean, which keeps the sums of squares accurate.
     """
     names, _ = correlation_columns(df, limit)
-    long = "column_a string, column_b string, correlation double"
     if len(names) < 2:
-        return df.sparkSession.createDataFrame([], long)
-    pairs = list(combinations(range(len(names)), 2)) + [(i, i) for i in range(len(names))]
-    value = [col(c).cast("double") for c in names]
-    result = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        sums = df.agg(
-            *[F.regr_sxy(value[a], value[b]).alias(f"xy_{a}_{b}") for a, b in chunk],
-            *[F.regr_sxx(value[a], value[b]).alias(f"xx_{a}_{b}") for a, b in chunk],
-            *[F.regr_syy(value[a], value[b]).alias(f"yy_{a}_{b}") for a, b in chunk],
+        empty = "column_a string, column_b string, correlation double"
+        return df.sparkSession.createDataFrame([], empty)
+    numbers = [col(c).cast("double") for c in names]
+    means = df.agg(
+        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(numbers)]
+    ).select(F.struct("*").alias("means")).scalar()
+    shifted = df.select(*[(v - means[f"m{i}"]).alias(f"x{i}") for i, v in enumerate(numbers)])
+    sums = shifted.mapInPandas(
+        _pair_moments(len(names)),
+        "a int, b int, n double, sx double, sy double, sxy double, sxx double, syy double",
+    )
+    total = sums.groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")]
+    )
+    n = F.greatest("n", F.lit(1.0))
+    spread_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    spread_y = F.col("syy") - F.col("sy") * F.col("sy") / n
+    # What is left of a constant column's squares after the subtraction is rounding noise.
+    varies = (spread_x > F.col("sxx") * NOISE) & (spread_y > F.col("syy") * NOISE)
+    together = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    r = F.when(varies, together / (F.sqrt(spread_x) * F.sqrt(spread_y)))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    name_of = F.array(*[F.lit(c) for c in names])
+    pair = total.select(
+        name_of[F.col("a")].alias("a"),
+        name_of[F.col("b")].alias("b"),
+        F.when(varies, half_even(r, 4)).alias("r"),
+    )
+    both = F.array_distinct(
+        F.array(
+            F.struct(F.col("a").alias("column_a"), F.col("b").alias("column_b")),
+            F.struct(F.col("b").alias("column_a"), F.col("a").alias("column_b")),
         )
-        entries = []
-        for a, b in chunk:
-            spread = F.sqrt(F.col(f"xx_{a}_{b}")) * F.sqrt(F.col(f"yy_{a}_{b}"))
-            r = half_even(F.try_divide(F.col(f"xy_{a}_{b}"), spread), 4)
-            both = [(a, b), (b, a)] if a != b else [(a, a)]
-            entries += [
-                F.struct(
-                    F.lit(names[p]).alias("column_a"),
-                    F.lit(names[q]).alias("column_b"),
-                    r.alias("correlation"),
-                )
-                for p, q in both
-            ]
-        one = sums.select(F.inline(F.array(*entries)))
-        result = one if result is None else result.unionByName(one)
-    return result
+    )
+    return pair.select(F.inline(both), F.col("r").alias("correlation"))
 
 
 def correlation_width(df: DataFrame, limit: int = CORRELATION_COLUMNS) -> DataFrame:
@@ -519,15 +556,14 @@ def column_means(df: DataFrame) -> DataFrame:
     return means.select(F.inline(F.array(*entries))).filter(F.col("mean").isNotNull())
 
 
-def numeric_counts(df: DataFrame) -> DataFrame:
-    """`column, value, n` of all numeric columns, read as doubles."""
-    names = numeric_columns(df)
-    return _value_counts(df, [col(c).cast("double").alias(c) for c in names])
+def _as_doubles(df: DataFrame) -> list[Column]:
+    return [col(c).cast("double").alias(c) for c in numeric_columns(df)]
 
 
 def column_quartiles(df: DataFrame) -> DataFrame:
     """`column, q1, median, q3` of the numeric columns, exact."""
-    found = quantiles_by_rank(numeric_counts(df))
+    numbers = _as_doubles(df)
+    found = exact_quartiles(_value_counts(df, numbers), _cuts(df, numbers))
     return found.select(
         "column", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
@@ -535,4 +571,4 @@ def column_quartiles(df: DataFrame) -> DataFrame:
 
 def outlier_counts(df: DataFrame) -> DataFrame:
     """`column, outlier_count`: values beyond 1.5 quartile spans of the middle half."""
-    return _numeric_stats(numeric_counts(df)).select("column", "outlier_count")
+    return _numeric_stats(df, _as_doubles(df)).select("column", "outlier_count")

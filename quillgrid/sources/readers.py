@@ -113,7 +113,7 @@ def _kind(text: Column) -> Column:
         F.when(text.isNull(), None)
         .when(text.isin(TRUE_TOKENS + FALSE_TOKENS), F.lit(0))
         .when(
-            F.trim(text).rlike(INTEGER_PATTERN) & F.try_cast(F.trim(text), "bigint").isNotNull(),
+            F.trim(text).rlike(INTEGER_PATTERN) & F.trim(text).try_cast("bigint").isNotNull(),
             F.lit(1),
         )
         .when(F.trim(text).rlike(NUMBER_PATTERN) | F.trim(text).rlike(INFINITY_PATTERN), F.lit(2))
@@ -152,7 +152,7 @@ def read_csv(
             return col(name).isin(TRUE_TOKENS)
         if low == 0 or high == 3:
             return col(name)
-        return F.try_cast(text, "bigint" if high == 1 else "double")
+        return text.try_cast("bigint" if high == 1 else "double")
 
     return raw.select(*[typed(n, *kinds[i]).alias(n) for i, n in enumerate(names)])
 
