@@ -139,26 +139,21 @@ def _for_every_column(df: DataFrame, found: DataFrame, defaults: dict) -> DataFr
 
 
 def _cuts(df: DataFrame, columns: list[Column]) -> DataFrame:
-    """`column, cuts, total`: cut points around each quartile and the number of values."""
+    """`column, cut0, cut1, ...`: two sketched cut points around each quartile."""
     points = [min(max(p + side * CUT_MARGIN, 0.0), 1.0) for p in QUARTILES for side in (-1, 1)]
     slim = df.select(*columns)
     sketch = slim.agg(
         *[
-            F.struct(
-                F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias("cuts"),
-                F.count(col(c)).alias("total"),
-            ).alias(str(i))
+            F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias(str(i))
             for i, c in enumerate(slim.columns)
         ]
     )
     entries = [
-        F.struct(F.lit(c).alias("column"), F.col(f"{i}.cuts"), F.col(f"{i}.total"))
+        F.struct(F.lit(c).alias("column"), F.col(str(i)).alias("cuts"))
         for i, c in enumerate(slim.columns)
     ]
-    long = sketch.select(F.inline(F.array(*entries)))
-    return long.select(
-        "column", "total", *[F.col("cuts")[i].alias(f"cut{i}") for i in range(len(points))]
-    )
+    long = sketch.select(F.inline(F.array(*entries))).filter(F.col("cuts").isNotNull())
+    return long.select("column", *[F.col("cuts")[i].alias(f"cut{i}") for i in range(len(points))])
 
 
 def exact_quartiles(counts: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -166,57 +161,68 @@ def exact_quartiles(counts: DataFrame, cuts: DataFrame) -> DataFrame:
 
     `counts` is a table `column, value, n`. The quantile p of N values lies at position
     p * (N - 1) of the sorted values, between the two neighbouring ones.
+
+    The broadcast sides hold one row of a few numbers per column of the profiled table.
     """
-    edges = [c for c in cuts.columns if c.startswith("cut")]
+    edges = [c for c in cuts.columns if c != "column"]
     region = sum(F.when(F.col("value") > F.col(c), 1).otherwise(0) for c in edges)
-    # One row of a few numbers per column of the table: the schema bounds this broadcast.
-    placed = counts.join(F.broadcast(cuts.drop("total")), "column").select(
+    placed = counts.join(F.broadcast(cuts), "column").select(
         "column", "value", "n", region.alias("region")
     )
-    sizes = placed.groupBy("column", "region").agg(F.sum("n").alias("size"))
-    upto = Window.partitionBy("column").orderBy("region")
-    sizes = sizes.withColumn("before", F.sum("size").over(upto) - F.col("size"))
+    facts = placed.groupBy("column").agg(
+        F.sum("n").alias("total"),
+        F.array(
+            F.lit(0).cast("bigint"),
+            *[
+                F.sum(F.when(F.col("region") <= i, F.col("n")).otherwise(0))
+                for i in range(len(edges))
+            ],
+        ).alias("before"),
+    )
 
-    positions = [
-        F.struct(
-            F.lit(q).alias("q"), (F.lit(float(p)) * (F.col("total") - 1)).alias("position")
+    def rank(q: int, p: float, side: int) -> Column:
+        position = F.lit(p) * (F.col("total") - 1)
+        at = F.ceil(position) if side else F.floor(position)
+        return F.struct(
+            F.lit(q).alias("q"),
+            F.lit(side).alias("side"),
+            at.alias("rank"),
+            # The last region that starts at or before the rank.
+            (F.size(F.filter("before", lambda start: start <= at)) - 1).alias("region"),
+            (position - F.floor(position)).alias("weight"),
         )
-        for q, p in enumerate(QUARTILES)
-    ]
-    wanted = cuts.select("column", F.inline(F.array(*positions))).select(
-        "column",
-        "q",
-        F.floor("position").alias("low"),
-        F.ceil("position").alias("high"),
-        (F.col("position") - F.floor("position")).alias("weight"),
+
+    ranks = [rank(q, float(p), side) for q, p in enumerate(QUARTILES) for side in (0, 1)]
+    wanted = facts.select("column", "before", F.array(*ranks).alias("ranks"))
+    regions = wanted.select(
+        "column", "before", F.transform("ranks", lambda r: r["region"]).alias("regions")
     )
-    ranks = wanted.select(
-        "column", "q", "weight", F.posexplode(F.array("low", "high")).alias("side", "rank")
+    kept = placed.join(F.broadcast(regions), "column").filter(
+        F.array_contains("regions", F.col("region"))
     )
-    inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size"))
-    targets = ranks.join(sizes, "column").filter(inside)
-
-    # At most two regions per column and quartile.
-    regions = targets.select("column", "region", "before").distinct()
-    kept = placed.join(F.broadcast(regions), ["column", "region"])
     sorted_region = Window.partitionBy("column", "region").orderBy("value")
     ranked = kept.select(
         "column",
         "region",
         F.col("value").cast("double").alias("value"),
-        (F.col("before") + F.sum("n").over(sorted_region)).alias("upto"),
+        (F.get("before", F.col("region")) + F.sum("n").over(sorted_region)).alias("upto"),
         "n",
     )
-    hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
-    found = ranked.join(F.broadcast(targets.drop("before", "size")), ["column", "region"])
-    values = found.filter(hit).groupBy("column", "q").agg(
-        F.max(F.when(F.col("side") == 0, F.col("value"))).alias("low"),
-        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("high"),
-        F.max("weight").alias("weight"),
-    )
-    quartile = F.col("low") + (F.col("high") - F.col("low")) * F.col("weight")
-    return values.groupBy("column").agg(
-        *[F.max(F.when(F.col("q") == q, quartile)).alias(f"q{q}") for q in range(len(QUARTILES))]
+    found = ranked.join(
+        F.broadcast(wanted.select("column", F.inline("ranks"))), ["column", "region"]
+    ).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+
+    def quartile(q: int) -> Column:
+        def at(side: int) -> Column:
+            return F.max(
+                F.when((F.col("q") == q) & (F.col("side") == side), F.col("value"))
+            )
+
+        weight = F.max(F.when(F.col("q") == q, F.col("weight")))
+        return at(0) + (at(1) - at(0)) * weight
+
+    return found.groupBy("column").agg(
+        *[quartile(q).alias(f"q{q}") for q in range(len(QUARTILES))]
     )
 
 
