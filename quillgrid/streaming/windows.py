@@ -78,61 +78,218 @@ def tumbling_counts(
     )
 
 
-def _after(entries: np.ndarray, exits: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Ends of the open windows after a block, from their ends before it."""
-    at = np.searchsorted(entries, ends, side="left")
-    inside = at < len(entries)
-    return np.where(inside, exits[np.minimum(at, len(exits) - 1)], ends)
-
-
-def _steps(entries: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Drop steps that lead to the same end as the step after them."""
-    keep = np.append(exits[1:] != exits[:-1], True)
-    return entries[keep], exits[keep]
-
-
-def _block_function(t: np.ndarray, start: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The function of one block from its sorted instants."""
-    first = np.searchsorted(t, start + length, side="left")
-    heads = np.arange(min(first + 1, len(t)))
-    following = np.searchsorted(t, t + length, side="left")
+def _whole_groups(
+    batches: Iterator[pd.DataFrame], names: list[str], most: int
+) -> Iterator[pd.DataFrame]:
+    """Cut sorted batches so that no group is split; at most `most` groups at a time."""
+
+    def pieces(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not parts:
+            return
+        whole = pd.concat(parts, ignore_index=True)
+        firsts = np.append(np.flatnonzero(_changes(whole, names)), len(whole))
+        for at in range(0, len(firsts) - 1, most):
+            upto = firsts[min(at + most, len(firsts) - 1)]
+            yield whole.iloc[firsts[at] : upto].reset_index(drop=True)
+
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        tail = np.flatnonzero(_changes(pdf, names))[-1]
+        follows = held and all(held[-1][c].iat[-1] == pdf[c].iat[0] for c in names)
+        if tail:
+            yield from pieces([*held, pdf.iloc[:tail]])
+            held = []
+        elif not follows:
+            yield from pieces(held)
+            held = []
+        held.append(pdf.iloc[tail:])
+    yield from pieces(held)
+
+
+def _changes(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
+    """True at the first row of every group of sorted rows."""
+    first = np.zeros(len(pdf), dtype=bool)
+    first[0] = True
+    for name in names:
+        values = pdf[name].to_numpy()
+        first[1:] |= values[1:] != values[:-1]
+    return first
+
+
+class _Groups:
+    """Where the groups of sorted rows begin and end, and which group each row is in."""
+
+    def __init__(self, pdf: pd.DataFrame, names: list[str]):
+        self.first = np.flatnonzero(_changes(pdf, names))
+        self.end = np.append(self.first[1:], len(pdf))
+        self.of = np.repeat(np.arange(len(self.first)), self.end - self.first)
+
+
+def _distinct_steps(group: np.ndarray, exits: np.ndarray) -> np.ndarray:
+    """Which steps to keep: one that leads where the next step of its group leads is dropped."""
+    keep = np.ones(len(group), dtype=bool)
+    keep[:-1] = (group[1:] != group[:-1]) | (exits[1:] != exits[:-1])
+    return keep
+
+
+def _following(groups: _Groups, offsets: np.ndarray, length: int) -> np.ndarray:
+    """For every instant the row of the first one a window length later, in rows of all groups.
+
+    Instants are made comparable across groups by giving each group a stretch of its own.
+    """
+    line = groups.of * (2 * FAN * length) + offsets
+    return np.searchsorted(line, line + length, side="left")
+
+
+def _block_functions(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+    """The function of every block from its sorted instants."""
+    groups = _Groups(pdf, ["key", "block"])
+    t = pdf["instant"].to_numpy()
+    offsets = t - pdf["block"].to_numpy() * (FAN * length)
+    following = _following(groups, offsets, length)
+    # A window open at the start of the block ends within the first window length, so the
+    # first window opened here opens there or, failing that, at the next instant.
+    early = offsets < length
+    head = early.copy()
+    head[groups.first] = True
+    head[1:] |= early[:-1] & (groups.of[1:] == groups.of[:-1])
+    heads = np.flatnonzero(head)
+    end = groups.end[groups.of[heads]]
     last = heads
     while True:
         ahead = following[last]
-        more = ahead < len(t)
+        more = ahead < end
         if not more.any():
-            return _steps(t[heads], t[last] + length)
+            break
         last = np.where(more, ahead, last)
+    exits = t[last] + length
+    keep = _distinct_steps(groups.of[heads], exits)
+    chosen = pdf.iloc[heads[keep]]
+    return pd.DataFrame(
+        {
+            "key": chosen["key"].to_numpy(),
+            "block": chosen["block"].to_numpy(),
+            "entry": t[heads[keep]],
+            "exit": exits[keep],
+        }
+    )
 
 
-def _children(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    ordered = pdf.sort_values(["block", "entry"])
-    return [
-        (block, part["entry"].to_numpy(), part["exit"].to_numpy())
-        for block, part in ordered.groupby("block", sort=True)
-    ]
+class _Children:
+    """The functions of the blocks inside larger blocks, sorted by parent, block and entry."""
+
+    def __init__(self, pdf: pd.DataFrame, span: int, length: int):
+        self.length = length
+        self.parents = _Groups(pdf, ["key", "parent"])
+        self.blocks = _Groups(pdf, ["key", "parent", "block"])
+        self.entry = pdf["entry"].to_numpy()
+        self.exit = pdf["exit"].to_numpy()
+        self.start = pdf["block"].to_numpy()[self.blocks.first] * span
+        self.first_block = self.blocks.of[self.parents.first]
+        self.block_count = np.append(self.first_block[1:], len(self.start)) - self.first_block
+        self.line = self._on_line(self.blocks.of, self.entry)
+
+    def _on_line(self, block: np.ndarray, moment: np.ndarray) -> np.ndarray:
+        """Moments in a block's first window length, comparable across blocks."""
+        start = self.start[block]
+        offset = np.minimum(np.maximum(moment, start) - start, self.length)
+        return block * (self.length + 1) + offset
+
+    def after(self, block: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Ends of the open windows after blocks, from their ends before them."""
+        at = np.searchsorted(self.line, self._on_line(block, end), side="left")
+        found = at < self.blocks.end[block]
+        return np.where(found, self.exit[np.minimum(at, len(self.exit) - 1)], end)
+
+
+def _merged_functions(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
+    """The function of every larger block: its blocks' functions in a row."""
+    children = _Children(pdf, span, length)
+    parents, blocks = children.parents, children.blocks
+    position = blocks.of - children.first_block[parents.of]
+    opening = position == 0
+    second = np.zeros(len(pdf), dtype=bool)
+    second[blocks.first] = position[blocks.first] == 1
+    rows = np.flatnonzero(opening | second)
+    parent = parents.of[rows]
+    entry = children.entry[rows]
+    end = np.where(opening[rows], children.exit[rows], entry)
+    for number in range(1, int(children.block_count.max())):
+        on = np.flatnonzero(children.block_count[parent] > number)
+        end[on] = children.after(children.first_block[parent[on]] + number, end[on])
+    keep = _distinct_steps(parent, end)
+    chosen = pdf.iloc[rows[keep]]
+    return pd.DataFrame(
+        {
+            "key": chosen["key"].to_numpy(),
+            "block": chosen["parent"].to_numpy(),
+            "entry": entry[keep],
+            "exit": end[keep],
+        }
+    )
 
 
-def _chained(children: list) -> tuple[np.ndarray, np.ndarray]:
-    """The function of neighbouring blocks in a row."""
-    _, entries, ends = children[0]
-    if len(children) > 1:
-        head = children[1][1][:1]
-        entries, ends = np.append(entries, head), np.append(ends, head)
-    for _, child_entries, child_exits in children[1:]:
-        ends = _after(child_entries, child_exits, ends)
-    return _steps(entries, ends)
+def _pushed_ends(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
+    """The end of the window open at the start of every block, from that of its parent.
+
+    The parent's end is the row whose block is NEVER; where there is none, nothing is open.
+    """
+    known = pdf["block"].to_numpy() == NEVER
+    all_parents = _Groups(pdf, ["key", "parent"])
+    opened = np.full(len(all_parents.first), NEVER)
+    opened[all_parents.of[known]] = pdf["entry"].to_numpy()[known]
+    functions = pdf[~known].reset_index(drop=True)
+    if functions.empty:
+        return pd.DataFrame({"key": [], "block": [], "end": []})
+    children = _Children(functions, span, length)
+    end = opened[np.unique(all_parents.of[~known])]
+    ends = np.empty(len(children.start), dtype=np.int64)
+    for number in range(int(children.block_count.max())):
+        on = np.flatnonzero(children.block_count > number)
+        block = children.first_block[on] + number
+        ends[block] = end[on]
+        end[on] = children.after(block, end[on])
+    chosen = functions.iloc[children.blocks.first]
+    return pd.DataFrame(
+        {"key": chosen["key"].to_numpy(), "block": chosen["block"].to_numpy(), "end": ends}
+    )
 
 
-def _placed(t: np.ndarray, end: int, length: int) -> np.ndarray:
-    """The window start of every instant of a block, given the end of the open window."""
-    starts = np.full(len(t), end - length if end != NEVER else 0, dtype=np.int64)
-    at = int(np.searchsorted(t, end, side="left")) if end != NEVER else 0
-    while at < len(t):
-        upto = int(np.searchsorted(t, t[at] + length, side="left"))
-        starts[at:upto] = t[at]
-        at = upto
-    return starts
+def _placed_windows(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+    """The window start of every instant. The row whose instant is NEVER holds, as `n`, the
+    end of the window open at the start of the block."""
+    known = pdf["instant"].to_numpy() == NEVER
+    everything = _Groups(pdf, ["key", "block"])
+    opened = np.full(len(everything.first), NEVER)
+    opened[everything.of[known]] = pdf["n"].to_numpy()[known]
+    rows = pdf[~known].reset_index(drop=True)
+    if rows.empty:
+        return pd.DataFrame({"key": [], "instant": [], "n": [], "window_start": []})
+    open_end = opened[np.unique(everything.of[~known])]
+    groups = _Groups(rows, ["key", "block"])
+    t = rows["instant"].to_numpy()
+    following = _following(groups, t - rows["block"].to_numpy() * (FAN * length), length)
+    earlier = t < open_end[groups.of]
+    at = groups.first + np.add.reduceat(earlier.astype(np.int64), groups.first)
+    starts = np.full(len(t), -1)
+    end = groups.end
+    while len(at):
+        on = at < end
+        at, end = at[on], end[on]
+        starts[at] = at
+        at = following[at]
+    opener = np.maximum.accumulate(starts)
+    window = np.where(earlier, open_end[groups.of] - length, t[np.maximum(opener, 0)])
+    return pd.DataFrame(
+        {
+            "key": rows["key"].to_numpy(),
+            "instant": t,
+            "n": rows["n"].to_numpy(),
+            "window_start": window,
+        }
+    )
 
 
 def anchored_windows(
@@ -140,65 +297,80 @@ def anchored_windows(
 ) -> DataFrame:
     """`key, instant, n, window_start`: the window of every instant of a key.
 
-    Times are microseconds since 1970 and `n` counts the events at the instant.
+    Times are microseconds since 1970 and `n` counts the events at the instant. Rows of many
+    small groups are handled together, so keys with few events cost no call of their own.
     """
     length = seconds * MICROS
-    span = FAN * length
     key_type = type_of(events, key).simpleString()
-    block = F.expr(f"(instant - pmod(instant, {span})) div {span}")
-    instants = (
-        events.select(col(key).alias("key"), micros(events, ts).alias("instant"))
-        .na.drop()
-        .groupBy("key", "instant")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("block", block)
-    )
+    most = max(1, 2**61 // (2 * FAN * length))
     function_schema = f"key {key_type}, block bigint, entry bigint, exit bigint"
-    entry_schema = f"key {key_type}, block bigint, end bigint"
-
-    def steps(key, block, entries, exits) -> pd.DataFrame:
-        return pd.DataFrame({"key": key, "block": block, "entry": entries, "exit": exits})
-
-    def leaf(group, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["instant"].to_numpy())
-        return steps(*group, *_block_function(t, group[1] * span, length))
+    end_schema = f"key {key_type}, block bigint, end bigint"
+    window_schema = f"key {key_type}, instant bigint, n bigint, window_start bigint"
 
-    def merge(group, pdf: pd.DataFrame) -> pd.DataFrame:
-        return steps(*group, *_chained(_children(pdf)))
+    def by_group(df: DataFrame, group: str, order: list[str], schema: str, compute) -> DataFrame:
+        """Run a function over whole groups of sorted rows, many groups per call."""
 
-    def push(key, pdf: pd.DataFrame, end: int) -> pd.DataFrame:
-        blocks, ends = [], []
-        for block, entries, exits in _children(pdf):
-            blocks.append(block)
-            ends.append(end)
-            end = int(_after(entries, exits, np.array([end]))[0])
-        return pd.DataFrame({"key": key, "block": blocks, "end": ends})
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in _whole_groups(batches, ["key", group], most):
+                yield compute(rows)
 
-    def top(group, pdf: pd.DataFrame) -> pd.DataFrame:
-        return push(group[0], pdf, NEVER)
+        rows = df.repartition("key", group).sortWithinPartitions("key", group, *order)
+        return rows.mapInPandas(run, schema)
 
-    def down(group, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return push(group[0], pdf, int(known["end"].iloc[0]))
+    def inside(df: DataFrame) -> DataFrame:
+        parent = F.expr(f"(block - pmod(block, {FAN})) div {FAN}").alias("parent")
+        return df.select("key", parent, "block", "entry", "exit")
 
-    def place(group, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("instant")
-        starts = _placed(pdf["instant"].to_numpy(), int(known["end"].iloc[0]), length)
-        return pdf[["key", "instant", "n"]].assign(window_start=starts)
-
-    levels = [instants.groupBy("key", "block").applyInPandas(leaf, function_schema)]
-    parent = F.expr(f"(block - pmod(block, {FAN})) div {FAN}")
+    instants = (
+        events.select(col(key).alias("key"), micros(events, ts).alias("instant"))
+        .na.drop()
+        .groupBy("key", "instant")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn(
+            "block", F.expr(f"(instant - pmod(instant, {FAN * length})) div {FAN * length}")
+        )
+        .select("key", "block", "instant", "n")
+    )
+    leaf = by_group(
+        instants, "block", ["instant"], function_schema, lambda g: _block_functions(g, length)
+    )
+    levels, spans = [leaf], [FAN * length]
     for _ in range(LEVELS):
-        lower = levels[-1].withColumn("parent", parent)
-        levels.append(lower.groupBy("key", "parent").applyInPandas(merge, function_schema))
-    ends = levels[-1].groupBy("key").applyInPandas(top, entry_schema)
-    for lower in reversed(levels[:-1]):
-        inside = lower.withColumn("parent", parent).groupBy("key", "parent")
-        ends = inside.cogroup(ends.groupBy("key", "block")).applyInPandas(down, entry_schema)
-    placed = instants.groupBy("key", "block").cogroup(ends.groupBy("key", "block"))
-    result = placed.applyInPandas(
-        place, f"key {key_type}, instant bigint, n bigint, window_start bigint"
+        levels.append(
+            by_group(
+                inside(levels[-1]), "parent", ["block", "entry"], function_schema,
+                lambda g, span=spans[-1]: _merged_functions(g, span, length),
+            )
+        )
+        spans.append(spans[-1] * FAN)
+    known = None
+    for functions, span in zip(reversed(levels), reversed(spans)):
+        if known is None:
+            whole = F.lit(0).cast("bigint").alias("parent")
+            rows = functions.select("key", whole, "block", "entry", "exit")
+        else:
+            marker = F.lit(NEVER).alias("block")
+            rows = inside(functions).unionByName(
+                known.select(
+                    "key",
+                    F.col("block").alias("parent"),
+                    marker,
+                    F.col("end").alias("entry"),
+                    F.lit(0).cast("bigint").alias("exit"),
+                )
+            )
+        known = by_group(
+            rows, "parent", ["block", "entry"], end_schema,
+            lambda g, span=span: _pushed_ends(g, span, length),
+        )
+    opened = known.select(
+        "key", "block", F.lit(NEVER).alias("instant"), F.col("end").alias("n")
     )
-    return result.withColumnRenamed("key", key)
+    placed = by_group(
+        instants.unionByName(opened), "block", ["instant"], window_schema,
+        lambda g: _placed_windows(g, length),
+    )
+    return placed.withColumnRenamed("key", key)
 
 
 def anchored_counts(

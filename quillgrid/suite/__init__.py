@@ -57,5 +57,4 @@ GAPPY = """g AS (
 
 def load_all() -> None:
     for family in FAMILIES:
-        try: import_module(f"quillgrid.suite.{family}")
-        except ModuleNotFoundError as e: print(e)
+        import_module(f"quillgrid.suite.{family}")
