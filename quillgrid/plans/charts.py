@@ -74,14 +74,6 @@ def key_figure(df: DataFrame, column: str, aggregation: str | None = None, title
     return df.agg(value.alias("value")).select(F.lit(title).alias("label"), "value")
 
 
-def _bounds(df: DataFrame, value: Column) -> DataFrame:
-    """One row `b` with the least value `lo`, the greatest `hi` and the number of values."""
-    values = df.select(value.alias("v"))
-    return values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).select(
-        F.struct("lo", "hi", "n").alias("b")
-    )
-
-
 def _rounded_edge(edge: Column, precision: Column) -> Column:
     """An edge at the given number of decimals, significant ones where it is below 1."""
     size = F.abs(edge)
@@ -115,6 +107,34 @@ def _edge_labels(edges: Column) -> Column:
     return _let(edges, lambda e: _let(rounded(e), intervals))
 
 
+def _bounds() -> Column:
+    """The least value `lo`, the greatest `hi` and the number `n` of the values `v`."""
+    return F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+
+
+def _binned(df: DataFrame, value: Column, beyond, labels) -> DataFrame:
+    """One row with the bounds `b`, the labels and the counts of the ten bins.
+
+    The bounds enter the counting pass as a scalar subquery, and `beyond(v, b, i)` tells
+    whether v is past the inner edge i. The pass is a single aggregate: it needs no join, and
+    every task hands on one row.
+    """
+    values = df.select(value.alias("v"))
+    b = values.agg(_bounds().alias("b")).scalar()
+    counts = values.agg(
+        _bounds().alias("b"),
+        *[F.count_if(beyond(F.col("v"), b, i)).alias(f"past{i}") for i in range(1, BINS)],
+    )
+    past = [F.col("b.n"), *[F.col(f"past{i}") for i in range(1, BINS)], F.lit(0)]
+    in_bin = F.array(*[past[i] - past[i + 1] for i in range(BINS)])
+    return counts.select("b", _let(F.col("b"), labels).alias("labels"), in_bin.alias("in_bin"))
+
+
+def _label_rows(row: DataFrame, counts: Column) -> DataFrame:
+    pairs = F.arrays_zip(F.col("labels"), counts.alias("value"))
+    return row.select(F.inline(pairs)).toDF("label", "value")
+
+
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """Ten equal-width bins, closed on the right, with empty bins kept.
 
@@ -123,21 +143,18 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     """
     if not is_numeric(type_of(df, column)):
         raise ValueError("A histogram needs a numeric column.")
-    value = col(column).cast("double")
-    bounds = _bounds(df, value)
-    b = bounds.scalar()
-    lo, hi = b["lo"], b["hi"]
-    step = (hi - lo) / BINS
-    above = sum(F.when(F.col("v") > lo + i * step, 1).otherwise(0) for i in range(1, BINS))
-    bin_of = F.when(lo == hi, F.lit(BINS // 2 - 1)).otherwise(above)
-    counted = (
-        df.select(value.alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy(bin_of.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("value"))
+    row = _binned(
+        df,
+        col(column).cast("double"),
+        lambda v, b, i: v > b["lo"] + i * ((b["hi"] - b["lo"]) / BINS),
+        _interval_labels,
     )
-    bins = bounds.select(F.posexplode(_let(F.col("b"), _interval_labels)).alias("bin", "label"))
-    return _with_empty_bins(bins, counted)
+    middle = F.transform(
+        F.sequence(F.lit(0), F.lit(BINS - 1)),
+        lambda i: F.when(i == BINS // 2 - 1, F.col("b.n")).otherwise(F.lit(0)),
+    )
+    constant = F.col("b.lo") == F.col("b.hi")
+    return _label_rows(row, F.when(constant, middle).otherwise(F.col("in_bin")))
 
 
 def _interval_labels(b: Column) -> Column:
@@ -156,44 +173,37 @@ def _interval_labels(b: Column) -> Column:
     return F.when(b["n"] == 0, none).otherwise(labels)
 
 
-def _with_empty_bins(bins: DataFrame, counted: DataFrame) -> DataFrame:
-    """Join the counts to all bins: both sides have at most ten rows."""
-    filled = bins.join(counted, "bin", "left").orderBy("bin")
-    return filled.select("label", F.coalesce("value", F.lit(0)).alias("value"))
-
-
 def histogram_lenient(df: DataFrame, column: str) -> DataFrame:
     """Ten bins closed on the left, the last one on both sides, over the readable numbers.
 
     One distinct value gives one bin, no value gives none.
     """
-    value = measure(col(column), type_of(df, column))
-    bounds = _bounds(df, value)
-    b = bounds.scalar()
-    width = (b["hi"] - b["lo"]) / BINS
-    position = F.floor((F.col("v") - b["lo"]) / F.nullif(width, F.lit(0.0))).cast("int")
-    bin_of = F.when(b["lo"] == b["hi"], F.lit(0)).otherwise(F.least(F.lit(BINS - 1), position))
-    counted = (
-        df.select(value.alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy(bin_of.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("value"))
-    )
-    lo, hi = F.col("b.lo"), F.col("b.hi")
+
+    def beyond(v: Column, b: Column, i: int) -> Column:
+        width = F.nullif((b["hi"] - b["lo"]) / BINS, F.lit(0.0))
+        return F.floor((v - b["lo"]) / width) >= i
+
+    row = _binned(df, measure(col(column), type_of(df, column)), beyond, _range_labels)
+    single = F.col("b.lo") == F.col("b.hi")
+    counts = F.when(single, F.array("b.n")).otherwise(F.col("in_bin"))
+    return _label_rows(row.filter("b.n > 0"), counts)
+
+
+def _range_labels(b: Column) -> Column:
+    """`start–end` labels, or the one value there is."""
+    lo, hi = b["lo"], b["hi"]
     step = (hi - lo) / BINS
-    whole = lo == F.floor(lo)
-    single = F.when(whole & (F.abs(lo) < 1e15), lo.cast("decimal(20,0)").cast("string"))
+    whole = (lo == F.floor(lo)) & (F.abs(lo) < 1e15)
+    single = F.when(whole, lo.cast("decimal(20,0)").cast("string")).otherwise(double_text(lo))
     labels = F.transform(
         F.sequence(F.lit(0), F.lit(BINS - 1)),
         lambda i: F.concat(
             display_number(lo + step * i),
             F.lit("–"),
-            F.when(i == BINS - 1, display_number(hi)).otherwise(display_number(lo + step * (i + 1))),
+            display_number(F.when(i == BINS - 1, hi).otherwise(lo + step * (i + 1))),
         ),
     )
-    shown = F.when(lo == hi, F.array(F.coalesce(single, double_text(lo)))).otherwise(labels)
-    bins = bounds.filter(F.col("b.n") > 0).select(F.posexplode(shown).alias("bin", "label"))
-    return _with_empty_bins(bins, counted)
+    return F.when(lo == hi, F.array(single)).otherwise(labels)
 
 
 def _lenient_aggregate(value: Column, aggregation: str) -> Column:

@@ -245,7 +245,10 @@ def _numeric_stats(df: DataFrame, columns: list[Column]) -> DataFrame:
 
 
 def _approximate_stats(df: DataFrame) -> DataFrame:
-    """The same statistics from sketches: two passes over the data, nothing shuffled."""
+    """The same statistics from sketches: two passes over the data, nothing shuffled.
+
+    The sketches are one scalar subquery; the second pass counts values outside its bounds.
+    """
     numeric = numeric_columns(df)
     names = {c: str(i) for i, c in enumerate(df.columns)}
     sketch = df.agg(
@@ -258,31 +261,33 @@ def _approximate_stats(df: DataFrame) -> DataFrame:
             for c in numeric
         ],
     )
-    stats = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.col(f"d{i}").alias("unique_count"),
-            (F.col(f"m{i}") if c in numeric else F.lit(None).cast("double")).alias("mean"),
-            (F.col(f"q{i}")[1] if c in numeric else F.lit(None).cast("double")).alias("median"),
-        )
-        for c, i in names.items()
-    ]
-    found = sketch.select(F.inline(F.array(*stats)))
-    if not numeric:
-        return found.withColumn("outlier_count", F.lit(None).cast("bigint"))
-    bounds = sketch.select(F.struct(*[f"q{names[c]}" for c in numeric]).alias("s")).scalar()
+    s = sketch.select(F.struct("*").alias("s")).scalar()
 
     def outside(c: str) -> Column:
-        q = bounds[f"q{names[c]}"]
+        q = s[f"q{names[c]}"]
         span = (q[2] - q[0]) * OUTLIER_SPAN
         return (col(c) < q[0] - span) | (col(c) > q[2] + span)
 
-    counted = df.agg(*[F.count_if(outside(c)).alias(f"o{names[c]}") for c in numeric])
-    outliers = [
-        F.struct(F.lit(c).alias("column"), F.col(f"o{names[c]}").alias("outlier_count"))
-        for c in numeric
+    counted = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(outside(c)).alias(f"o{names[c]}") for c in numeric],
+    )
+    nothing = F.lit(None)
+    stats = [
+        F.struct(
+            F.lit(c).alias("column"),
+            s[f"d{i}"].alias("unique_count"),
+            (s[f"m{i}"] if c in numeric else nothing.cast("double")).alias("mean"),
+            (s[f"q{i}"][1] if c in numeric else nothing.cast("double")).alias("median"),
+            (
+                F.when(s[f"q{i}"].isNotNull(), F.col(f"o{i}"))
+                if c in numeric
+                else nothing.cast("bigint")
+            ).alias("outlier_count"),
+        )
+        for c, i in names.items()
     ]
-    return found.join(counted.select(F.inline(F.array(*outliers))), "column", "left")
+    return counted.select(F.inline(F.array(*stats)))
 
 
 def _exact_stats(df: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def _series(aggregation, expression, digits):
 
 
 _series("sum", "round(coalesce(sum(value), 0), 2)", 2)
-_series("mean", "round(avg(value), 4)", 4)
+_series("mean", "round(avg(value), 9)", 9)
 _series("count", "count(value)", 0)
 _series("min", "min(value)", 2)
 _series("max", "max(value)", 2)
@@ -57,7 +57,7 @@ _series("max", "max(value)", 2)
 
 @query(
     "chart_scatter_first_groups",
-    """SELECT CAST(user_id AS VARCHAR) AS label, round(avg(value), 4) AS value
+    """SELECT CAST(user_id AS VARCHAR) AS label, round(avg(value), 9) AS value
        FROM events GROUP BY user_id ORDER BY user_id LIMIT 100""",
 )
 def chart_scatter_first_groups(spark, sf):
@@ -67,7 +67,7 @@ def chart_scatter_first_groups(spark, sf):
         "y_column": "value",
         "aggregation": "mean",
     }
-    return rounded(charts.build_chart(table(spark, sf, "events"), spec), 4)
+    return rounded(charts.build_chart(table(spark, sf, "events"), spec), 9)
 
 
 @query(
@@ -114,7 +114,7 @@ def chart_pie_counts_missing(spark, sf):
     "chart_kpi_each",
     f"""WITH {GAPPY}
         SELECT 'sum' AS label, round(sum(value), 2) AS value FROM g
-        UNION ALL SELECT 'mean', round(avg(value), 2) FROM g
+        UNION ALL SELECT 'mean', round(avg(value), 9) FROM g
         UNION ALL SELECT 'count', CAST(count(value) AS DOUBLE) FROM g
         UNION ALL SELECT 'min', min(value) FROM g
         UNION ALL SELECT 'max', max(value) FROM g""",
@@ -123,7 +123,8 @@ def chart_kpi_each(spark, sf):
     events = gappy_events(spark, sf)
     result = None
     for aggregation in charts.AGGREGATIONS:
-        one = rounded(charts.key_figure(events, "value", aggregation, aggregation))
+        digits = 9 if aggregation == "mean" else 2
+        one = rounded(charts.key_figure(events, "value", aggregation, aggregation), digits)
         result = one if result is None else result.unionByName(one)
     return result
 
@@ -287,18 +288,18 @@ def lenient_events(spark, sf):
     )
 
 
-def _lenient(aggregation, expression):
+def _lenient(aggregation, expression, digits=4):
     sql = f"""WITH {LENIENT}, s AS (SELECT label, {expression} AS value FROM t GROUP BY label)
               SELECT * FROM s WHERE value IS NOT NULL"""
 
     @query(f"lenient_group_{aggregation}", sql)
     def run(spark, sf):
         chart = charts.grouped_lenient(lenient_events(spark, sf), "kind", "amount", aggregation)
-        return chart if aggregation == "count" else rounded(chart, 4)
+        return chart if aggregation == "count" else rounded(chart, digits)
 
 
 _lenient("sum", "round(coalesce(sum(v), 0), 4)")
-_lenient("mean", "round(avg(v), 4)")
+_lenient("mean", "round(avg(v), 9)", 9)
 _lenient("count", "count(v)")
 _lenient("min", "min(v)")
 _lenient("max", "max(v)")
@@ -308,7 +309,7 @@ _lenient("max", "max(v)")
     "lenient_kpi",
     f"""WITH {LENIENT}
         SELECT 'sum of amount' AS label, round(sum(v), 2) AS value FROM t
-        UNION ALL SELECT 'mean of amount', round(avg(v), 2) FROM t
+        UNION ALL SELECT 'mean of amount', round(avg(v), 9) FROM t
         UNION ALL SELECT 'count of amount', CAST(count(v) AS DOUBLE) FROM t
         UNION ALL SELECT 'min of amount', min(v) FROM t
         UNION ALL SELECT 'max of amount', max(v) FROM t""",
@@ -317,7 +318,9 @@ def lenient_kpi(spark, sf):
     events = lenient_events(spark, sf)
     result = None
     for aggregation in charts.AGGREGATIONS:
-        one = rounded(charts.build_chart_lenient(events, "kind", "amount", aggregation, "kpi"))
+        digits = 9 if aggregation == "mean" else 2
+        figure = charts.build_chart_lenient(events, "kind", "amount", aggregation, "kpi")
+        one = rounded(figure, digits)
         result = one if result is None else result.unionByName(one)
     return result
 

@@ -241,18 +241,15 @@ def profile_correlations_gaps(spark, sf):
 
 @query(
     "profile_correlation_limit",
-    correlation_sql("lineitem", LINEITEM_NUMBERS[:3]),
+    f"""SELECT *, CAST(3 AS BIGINT) AS columns_analyzed, CAST(5 AS BIGINT) AS columns_truncated
+        FROM ({correlation_sql("lineitem", LINEITEM_NUMBERS[:3])})""",
 )
 def profile_correlation_limit(spark, sf):
-    return profile.correlations(table(spark, sf, "lineitem"), limit=3)
-
-
-@query(
-    "profile_correlation_width",
-    "SELECT CAST(3 AS BIGINT) AS columns_analyzed, CAST(5 AS BIGINT) AS columns_truncated",
-)
-def profile_correlation_width(spark, sf):
-    return profile.correlation_width(table(spark, sf, "lineitem"), limit=3)
+    items = table(spark, sf, "lineitem")
+    width = profile.correlation_width(items, limit=3).first()
+    return profile.correlations(items, limit=3).withColumns(
+        {c: F.lit(width[c]).cast("bigint") for c in ("columns_analyzed", "columns_truncated")}
+    )
 
 
 LINEITEM_TYPES = ["bigint"] * 3 + ["int"] + ["double"] * 4 + ["string"] * 2 + ["timestamp_ntz"]
@@ -268,9 +265,17 @@ def schema_sql(columns: list[str], types: list[str]) -> str:
     )
 
 
-@query("profile_schema", schema_sql(LINEITEM_COLUMNS, LINEITEM_TYPES))
+@query(
+    "profile_schema",
+    f"""SELECT position, "column", type, missing_count
+        FROM ({schema_sql(EVENT_COLUMNS, EVENT_TYPES)})
+        JOIN ({missing_sql("g", EVENT_COLUMNS, f"WITH {GAPPY} ")}) USING ("column")""",
+)
 def profile_schema(spark, sf):
-    return profile.schema_listing(table(spark, sf, "lineitem"))
+    """The schema listing beside the missing cells of each column."""
+    events = gappy_events(spark, sf)
+    missing = profile.missing_values(events).drop("missing_percentage")
+    return profile.schema_listing(events).join(missing, "column")
 
 
 def columns_sql(source: str, columns: list[str], types: list[str], prefix: str = "") -> str:
