@@ -38,7 +38,7 @@ def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     renamed = [mapping.get(c, c) for c in df.columns]
     if len(set(renamed)) != len(renamed):
         raise ValueError("Renaming would create duplicate column names.")
-    return df.withColumnsRenamed(mapping)
+    return df.select(*[col(c).alias(name) for c, name in zip(df.columns, renamed)])
 
 
 def _filled(value: Column, dtype: T.DataType, fill) -> Column:

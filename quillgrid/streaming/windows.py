@@ -15,7 +15,7 @@ events, so its events are not walked in one task:
 5. every block then places its own windows.
 
 A task holds the instants of one block of one key, or the functions of FAN blocks, whose
-steps are at most the instants of one window length each.
+steps are at most the instants of one window length each, plus one.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ from quillgrid.functions.columns import col, type_of
 WINDOW_SECONDS = 60
 ATTEMPT_LIMIT = 10
 
-# How many windows a block spans, how many blocks are chained at once, and how often.
+# How many windows a block spans, which is also how many blocks are chained at once, and how
+# often blocks are chained before the rest is done per key.
 FAN = 64
-LEVELS = 2
+CHAININGS = 2
 
 MICROS = 1_000_000
 NEVER = np.iinfo(np.int64).min
@@ -134,21 +135,21 @@ def _distinct_steps(group: np.ndarray, exits: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _following(groups: _Groups, offsets: np.ndarray, length: int) -> np.ndarray:
+def _following(groups: _Groups, offsets: np.ndarray, span: int, length: int) -> np.ndarray:
     """For every instant the row of the first one a window length later, in rows of all groups.
 
     Instants are made comparable across groups by giving each group a stretch of its own.
     """
-    line = groups.of * (2 * FAN * length) + offsets
+    line = groups.of * (2 * span) + offsets
     return np.searchsorted(line, line + length, side="left")
 
 
-def _block_functions(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+def _block_functions(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
     """The function of every block from its sorted instants."""
     groups = _Groups(pdf, ["key", "block"])
     t = pdf["instant"].to_numpy()
-    offsets = t - pdf["block"].to_numpy() * (FAN * length)
-    following = _following(groups, offsets, length)
+    offsets = t - pdf["block"].to_numpy() * span
+    following = _following(groups, offsets, span, length)
     # A window open at the start of the block ends within the first window length, so the
     # first window opened here opens there or, failing that, at the next instant.
     early = offsets < length
@@ -257,7 +258,7 @@ def _pushed_ends(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
     )
 
 
-def _placed_windows(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+def _placed_windows(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
     """The window start of every instant. The row whose instant is NEVER holds, as `n`, the
     end of the window open at the start of the block."""
     known = pdf["instant"].to_numpy() == NEVER
@@ -270,7 +271,7 @@ def _placed_windows(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     open_end = opened[np.unique(everything.of[~known])]
     groups = _Groups(rows, ["key", "block"])
     t = rows["instant"].to_numpy()
-    following = _following(groups, t - rows["block"].to_numpy() * (FAN * length), length)
+    following = _following(groups, t - rows["block"].to_numpy() * span, span, length)
     earlier = t < open_end[groups.of]
     at = groups.first + np.add.reduceat(earlier.astype(np.int64), groups.first)
     starts = np.full(len(t), -1)
@@ -293,7 +294,12 @@ def _placed_windows(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def anchored_windows(
-    events: DataFrame, key: str, ts: str, seconds: int = WINDOW_SECONDS
+    events: DataFrame,
+    key: str,
+    ts: str,
+    seconds: int = WINDOW_SECONDS,
+    fan: int = FAN,
+    chainings: int = CHAININGS,
 ) -> DataFrame:
     """`key, instant, n, window_start`: the window of every instant of a key.
 
@@ -302,7 +308,8 @@ def anchored_windows(
     """
     length = seconds * MICROS
     key_type = type_of(events, key).simpleString()
-    most = max(1, 2**61 // (2 * FAN * length))
+    span = fan * length
+    most = max(1, 2**61 // (2 * span))
     function_schema = f"key {key_type}, block bigint, entry bigint, exit bigint"
     end_schema = f"key {key_type}, block bigint, end bigint"
     window_schema = f"key {key_type}, instant bigint, n bigint, window_start bigint"
@@ -318,7 +325,7 @@ def anchored_windows(
         return rows.mapInPandas(run, schema)
 
     def inside(df: DataFrame) -> DataFrame:
-        parent = F.expr(f"(block - pmod(block, {FAN})) div {FAN}").alias("parent")
+        parent = F.expr(f"(block - pmod(block, {fan})) div {fan}").alias("parent")
         return df.select("key", parent, "block", "entry", "exit")
 
     instants = (
@@ -326,25 +333,23 @@ def anchored_windows(
         .na.drop()
         .groupBy("key", "instant")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(
-            "block", F.expr(f"(instant - pmod(instant, {FAN * length})) div {FAN * length}")
-        )
+        .withColumn("block", F.expr(f"(instant - pmod(instant, {span})) div {span}"))
         .select("key", "block", "instant", "n")
     )
     leaf = by_group(
-        instants, "block", ["instant"], function_schema, lambda g: _block_functions(g, length)
+        instants, "block", ["instant"], function_schema, lambda g: _block_functions(g, span, length)
     )
-    levels, spans = [leaf], [FAN * length]
-    for _ in range(LEVELS):
+    levels, spans = [leaf], [span]
+    for _ in range(chainings):
         levels.append(
             by_group(
                 inside(levels[-1]), "parent", ["block", "entry"], function_schema,
-                lambda g, span=spans[-1]: _merged_functions(g, span, length),
+                lambda g, inner=spans[-1]: _merged_functions(g, inner, length),
             )
         )
-        spans.append(spans[-1] * FAN)
+        spans.append(spans[-1] * fan)
     known = None
-    for functions, span in zip(reversed(levels), reversed(spans)):
+    for functions, inner in zip(reversed(levels), reversed(spans)):
         if known is None:
             whole = F.lit(0).cast("bigint").alias("parent")
             rows = functions.select("key", whole, "block", "entry", "exit")
@@ -361,14 +366,14 @@ def anchored_windows(
             )
         known = by_group(
             rows, "parent", ["block", "entry"], end_schema,
-            lambda g, span=span: _pushed_ends(g, span, length),
+            lambda g, inner=inner: _pushed_ends(g, inner, length),
         )
     opened = known.select(
         "key", "block", F.lit(NEVER).alias("instant"), F.col("end").alias("n")
     )
     placed = by_group(
         instants.unionByName(opened), "block", ["instant"], window_schema,
-        lambda g: _placed_windows(g, length),
+        lambda g: _placed_windows(g, span, length),
     )
     return placed.withColumnRenamed("key", key)
 
