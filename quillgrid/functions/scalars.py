@@ -101,13 +101,17 @@ def double_text(value: Column) -> Column:
     java = value.cast("string")
     size = F.abs(value)
     whole = F.concat(value.cast("decimal(20,0)").cast("string"), F.lit(".0"))
-    plain = F.regexp_replace(java.cast("decimal(38,18)").cast("string"), r"0+$", "")
+
+    def plain(decimal: str) -> Column:
+        return F.regexp_replace(java.cast(decimal).cast("string"), r"0+$", "")
+
     exponent = F.regexp_replace(F.lower(F.regexp_replace(java, r"\.0E", "E")), r"e(\d)", "e+$1")
     exponent = F.regexp_replace(exponent, r"e([+-])(\d)$", "e$10$2")
     return (
         F.when(value.isNull() | ~java.contains("E"), java)
         .when((size >= 1e7) & (size < 1e16) & (value == F.floor(value)), whole)
-        .when((size >= 1e-4) & (size < 1e16), plain)
+        .when((size >= 1e7) & (size < 1e16), plain("decimal(38,18)"))
+        .when((size >= 1e-4) & (size < 1), plain("decimal(38,24)"))
         .otherwise(exponent)
     )
 
