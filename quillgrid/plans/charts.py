@@ -7,7 +7,7 @@ final aggregate over few rows, ordered limit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,10 +62,18 @@ def grouped_series(
 
 def category_counts(df: DataFrame, x: str, limit: int = PIE_GROUPS) -> DataFrame:
     """The most frequent categories, missing ones counted under their text form."""
-    groups = df.groupBy(col(x).alias("_key")).agg(F.count(F.lit(1)).alias("value"))
-    label = F.coalesce(value_text(F.col("_key"), type_of(df, x)), F.lit(MISSING_LABEL))
-    merged = groups.groupBy(label.alias("label")).agg(F.sum("value").alias("value"))
-    return merged.orderBy(F.col("value").desc(), F.col("label").asc()).limit(limit)
+    dtype = type_of(df, x)
+
+    def label(key: Column) -> Column:
+        return F.coalesce(value_text(key, dtype), F.lit(MISSING_LABEL)).alias("label")
+
+    if isinstance(dtype, T.StringType):
+        counts = df.groupBy(label(col(x))).agg(F.count(F.lit(1)).alias("value"))
+    else:
+        # Count the keys themselves and turn only the distinct ones into text.
+        groups = df.groupBy(col(x).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+        counts = groups.groupBy(label(F.col("_key"))).agg(F.sum("n").alias("value"))
+    return counts.orderBy(F.col("value").desc(), F.col("label").asc()).limit(limit)
 
 
 def key_figure(df: DataFrame, column: str, aggregation: str | None = None, title: str = ""):
@@ -120,10 +128,10 @@ def _binned(df: DataFrame, value: Column, beyond, labels) -> DataFrame:
     every task hands on one row.
     """
     values = df.select(value.alias("v"))
-    b = values.agg(_bounds().alias("b")).scalar()
-    counts = values.agg(
+    bounds = values.agg(_bounds().alias("b")).scalar()
+    counts = values.select("v", bounds.alias("b")).agg(
         _bounds().alias("b"),
-        *[F.count_if(beyond(F.col("v"), b, i)).alias(f"past{i}") for i in range(1, BINS)],
+        *[F.count_if(beyond(F.col("v"), F.col("b"), i)).alias(f"past{i}") for i in range(1, BINS)],
     )
     past = [F.col("b.n"), *[F.col(f"past{i}") for i in range(1, BINS)], F.lit(0)]
     in_bin = F.array(*[past[i] - past[i + 1] for i in range(BINS)])
@@ -234,11 +242,11 @@ def key_figure_lenient(df: DataFrame, column: str, aggregation: str = "count") -
 def shares(series: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """`label, value, percent` of the first eight slices, negatives counted as 0.
 
-    The total is a scalar over those same eight rows.
+    The total is taken over those eight rows, which the limit has already brought together.
     """
     first = (series.orderBy(*order) if order else series).limit(SHARE_SLICES)
     slices = first.select("label", F.greatest(F.col("value"), F.lit(0)).alias("value"))
-    total = slices.agg(F.sum("value").alias("total")).scalar()
+    total = F.sum("value").over(Window.partitionBy(F.lit(0)))
     percent = F.round(F.try_divide(F.col("value"), total) * 100, 1)
     return slices.withColumn("percent", F.coalesce(percent, F.lit(0.0)))
 

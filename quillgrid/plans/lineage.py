@@ -24,7 +24,7 @@ PREVIEW_ROWS = 20
 
 STEP_SCHEMA = (
     "step int, operation string, parameters string, expected_version int,"
-    " before_columns int, after_columns int, before_stage int, after_stage int"
+    " before_columns int, after_columns int, before_at int, after_at int"
 )
 
 
@@ -56,56 +56,58 @@ def preview_sample(
     return preview_cells(shown)
 
 
-def _step_rows(df: DataFrame, steps: list[dict], start_version: int):
-    """The steps with their column counts, and the table after each one that changes rows."""
-    stages, rows = [df], []
-    for number, step in enumerate(steps):
-        before = df
-        df = check_structure(apply_operation(df, step["operation"], step.get("parameters")))
-        stage = len(stages) - 1
-        if step["operation"] not in ROW_PRESERVING:
-            stages.append(df)
-        rows.append(
-            (
-                number,
-                step["operation"],
-                json.dumps(step.get("parameters") or {}, sort_keys=True),
-                start_version + number,
-                len(before.columns),
-                len(df.columns),
-                stage,
-                len(stages) - 1,
-            )
-        )
-    return df, stages, rows
+def _step_row(before: DataFrame, after: DataFrame, step: dict, number: int, version: int) -> tuple:
+    return (
+        number,
+        step["operation"],
+        json.dumps(step.get("parameters") or {}, sort_keys=True),
+        version,
+        len(before.columns),
+        len(after.columns),
+    )
 
 
-def apply_with_lineage(
-    df: DataFrame, steps: list[dict], start_version: int = 1
-) -> tuple[DataFrame, DataFrame]:
-    """The result of all steps and one lineage row per step, both lazy.
-
-    Rows are counted at the start and after steps that can change their number, not after
-    every step.
-    """
-    result, stages, rows = _step_rows(df, steps, start_version)
+def _lineage(steps: list[tuple], tables: list[DataFrame]) -> DataFrame:
+    """Lineage rows; the last two entries of a step name the tables before and after it."""
     counts = reduce(
         DataFrame.unionByName,
         [
-            stage.agg(F.count(F.lit(1)).alias("rows")).withColumn("stage", F.lit(i))
-            for i, stage in enumerate(stages)
+            df.agg(F.count(F.lit(1)).alias("rows")).withColumn("at", F.lit(i))
+            for i, df in enumerate(tables)
         ],
     )
-    listed = df.sparkSession.createDataFrame(rows, STEP_SCHEMA)
-    before = counts.select(F.col("stage").alias("before_stage"), F.col("rows").alias("before_rows"))
-    after = counts.select(F.col("stage").alias("after_stage"), F.col("rows").alias("after_rows"))
-    lineage = listed.join(before, "before_stage").join(after, "after_stage")
-    return result, lineage.select(
+    listed = tables[0].sparkSession.createDataFrame(steps, STEP_SCHEMA)
+    before = counts.select(F.col("at").alias("before_at"), F.col("rows").alias("before_rows"))
+    after = counts.select(F.col("at").alias("after_at"), F.col("rows").alias("after_rows"))
+    return listed.join(before, "before_at").join(after, "after_at").select(
         "step", "operation", "parameters", "expected_version", "before_rows", "after_rows",
         "before_columns", "after_columns", F.lit("completed").alias("status"),
     )
 
 
+def _stepped(df: DataFrame, step: dict) -> DataFrame:
+    return check_structure(apply_operation(df, step["operation"], step.get("parameters")))
+
+
+def apply_with_lineage(
+    df: DataFrame, steps: list[dict], start_version: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """The result of all steps and one lineage row per step, both lazy.
+
+    Rows are counted at the start and after steps that can change their number, not after
+    every step.
+    """
+    tables, rows = [df], []
+    for number, step in enumerate(steps):
+        before, at = df, len(tables) - 1
+        df = _stepped(before, step)
+        if step["operation"] not in ROW_PRESERVING:
+            tables.append(df)
+        row = _step_row(before, df, step, number, start_version + number)
+        rows.append((*row, at, len(tables) - 1))
+    return df, _lineage(rows, tables)
+
+
 def version_path(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/version={version}"
 
@@ -126,23 +128,18 @@ def apply_and_write(
 ) -> DataFrame:
     """Write the table and the result of every step as versions; return the lineage rows.
 
-    Each step reads the version before it, and rows are counted from the written files.
+    Each step reads the version before it, so nothing is computed twice, and rows are counted
+    from the footers of the written files.
     """
-    spark = df.sparkSession
     write_version(check_structure(df), root, start_version)
-    parts = []
+    tables, rows = [read_version(df.sparkSession, root, start_version)], []
     for number, step in enumerate(steps):
         version = start_version + number
-        before = read_version(spark, root, version)
-        after = check_structure(apply_operation(before, step["operation"], step.get("parameters")))
+        after = _stepped(tables[-1], step)
         write_version(after, root, version + 1)
-        _, lineage = apply_with_lineage(before, [step], version)
-        written = read_version(spark, root, version + 1).agg(F.count(F.lit(1)).alias("rows"))
-        lineage = lineage.drop("step", "after_rows").select(
-            F.lit(number).alias("step"), "*", written.scalar().alias("after_rows")
-        )
-        parts.append(lineage)
-    return reduce(DataFrame.unionByName, parts)
+        rows.append((*_step_row(tables[-1], after, step, number, version), number, number + 1))
+        tables.append(read_version(df.sparkSession, root, version + 1))
+    return _lineage(rows, tables)
 
 
 def history(lineage: DataFrame, moment: str = "created_at", key: str = "id") -> DataFrame:

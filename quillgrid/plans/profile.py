@@ -261,14 +261,15 @@ def _approximate_stats(df: DataFrame) -> DataFrame:
             for c in numeric
         ],
     )
-    s = sketch.select(F.struct("*").alias("s")).scalar()
+    sketched = sketch.select(F.struct("*").alias("s")).scalar().alias("_sketch")
+    s = F.col("_sketch")
 
     def outside(c: str) -> Column:
         q = s[f"q{names[c]}"]
         span = (q[2] - q[0]) * OUTLIER_SPAN
         return (col(c) < q[0] - span) | (col(c) > q[2] + span)
 
-    counted = df.agg(
+    counted = df.select(*[col(c) for c in numeric], sketched).agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(outside(c)).alias(f"o{names[c]}") for c in numeric],
     )
@@ -287,7 +288,7 @@ def _approximate_stats(df: DataFrame) -> DataFrame:
         )
         for c, i in names.items()
     ]
-    return counted.select(F.inline(F.array(*stats)))
+    return counted.select("*", sketched).select(F.inline(F.array(*stats)))
 
 
 def _exact_stats(df: DataFrame) -> DataFrame:
@@ -492,10 +493,12 @@ def correlations(df: DataFrame, limit: int = CORRELATION_COLUMNS) -> DataFrame:
         empty = "column_a string, column_b string, correlation double"
         return df.sparkSession.createDataFrame([], empty)
     numbers = [col(c).cast("double") for c in names]
-    means = df.agg(
-        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(numbers)]
-    ).select(F.struct("*").alias("means")).scalar()
-    shifted = df.select(*[(v - means[f"m{i}"]).alias(f"x{i}") for i, v in enumerate(numbers)])
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(numbers)])
+    means = means.select(F.struct("*").alias("means")).scalar()
+    beside = df.select(*[v.alias(f"v{i}") for i, v in enumerate(numbers)], means.alias("means"))
+    shifted = beside.select(
+        *[(F.col(f"v{i}") - F.col(f"means.m{i}")).alias(f"x{i}") for i in range(len(names))]
+    )
     sums = shifted.mapInPandas(
         _pair_moments(len(names)),
         "a int, b int, n double, sx double, sy double, sxy double, sxx double, syy double",
