@@ -1 +1,8 @@
 """quillgrid: profiling, cleaning and chart data for tables of any size, on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with them, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
