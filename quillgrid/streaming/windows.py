@@ -2,8 +2,9 @@
 
 `anchored_windows` opens a window at a key's first event, closes it after a fixed time and
 opens the next one at the first event after that. Where a window starts depends on all
-windows before it, which looks sequential per key. A key may hold a large share of all
-events, so its events are not walked in one task:
+windows before it, which looks sequential per key. Keys with few events are walked, many of
+them at once. A key may also hold a large share of all events; such a key is not walked in
+one task:
 
 1. events are counted per key and instant, and the time axis is cut into blocks of many
    windows;
@@ -35,6 +36,11 @@ from quillgrid.functions.columns import col, type_of
 WINDOW_SECONDS = 60
 ATTEMPT_LIMIT = 10
 
+# The most events of a key that are walked in one go, and the most keys that are treated as
+# large. A key that is not among those has at most one LARGE_KEYS-th of all events.
+WALK_LIMIT = 20_000
+LARGE_KEYS = 100_000
+
 # How many windows a block spans, which is also how many blocks are chained at once, and how
 # often blocks are chained before the rest is done per key.
 FAN = 64
@@ -135,24 +141,32 @@ def _distinct_steps(group: np.ndarray, exits: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _following(groups: _Groups, offsets: np.ndarray, span: int, length: int) -> np.ndarray:
-    """For every instant the row of the first one a window length later, in rows of all groups.
+def _following(groups: _Groups, t: np.ndarray, length: int) -> np.ndarray:
+    """For every instant the row of the first one a window length later, past the group's end
+    if there is none.
 
     Instants are made comparable across groups by giving each group a stretch of its own.
     """
-    line = groups.of * (2 * span) + offsets
-    return np.searchsorted(line, line + length, side="left")
+    offsets = t - t[groups.first][groups.of]
+    stretch = int(offsets.max()) + length + 1
+    at_once = max(1, 2**62 // stretch)
+    following = np.empty(len(t), dtype=np.int64)
+    for low in range(0, len(groups.first), at_once):
+        high = min(low + at_once, len(groups.first))
+        rows = slice(groups.first[low], groups.end[high - 1])
+        line = (groups.of[rows] - low) * stretch + offsets[rows]
+        following[rows] = rows.start + np.searchsorted(line, line + length, side="left")
+    return following
 
 
 def _block_functions(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
     """The function of every block from its sorted instants."""
     groups = _Groups(pdf, ["key", "block"])
     t = pdf["instant"].to_numpy()
-    offsets = t - pdf["block"].to_numpy() * span
-    following = _following(groups, offsets, span, length)
+    following = _following(groups, t, length)
     # A window open at the start of the block ends within the first window length, so the
     # first window opened here opens there or, failing that, at the next instant.
-    early = offsets < length
+    early = t - pdf["block"].to_numpy() * span < length
     head = early.copy()
     head[groups.first] = True
     head[1:] |= early[:-1] & (groups.of[1:] == groups.of[:-1])
@@ -258,7 +272,7 @@ def _pushed_ends(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
     )
 
 
-def _placed_windows(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
+def _placed_windows(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """The window start of every instant. The row whose instant is NEVER holds, as `n`, the
     end of the window open at the start of the block."""
     known = pdf["instant"].to_numpy() == NEVER
@@ -271,7 +285,7 @@ def _placed_windows(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
     open_end = opened[np.unique(everything.of[~known])]
     groups = _Groups(rows, ["key", "block"])
     t = rows["instant"].to_numpy()
-    following = _following(groups, t - rows["block"].to_numpy() * span, span, length)
+    following = _following(groups, t, length)
     earlier = t < open_end[groups.of]
     at = groups.first + np.add.reduceat(earlier.astype(np.int64), groups.first)
     starts = np.full(len(t), -1)
@@ -298,44 +312,77 @@ def anchored_windows(
     key: str,
     ts: str,
     seconds: int = WINDOW_SECONDS,
+    walk: int = WALK_LIMIT,
     fan: int = FAN,
     chainings: int = CHAININGS,
 ) -> DataFrame:
     """`key, instant, n, window_start`: the window of every instant of a key.
 
-    Times are microseconds since 1970 and `n` counts the events at the instant. Rows of many
-    small groups are handled together, so keys with few events cost no call of their own.
+    Times are microseconds since 1970 and `n` counts the events at the instant.
     """
     length = seconds * MICROS
+    slim = events.select(col(key).alias("key"), micros(events, ts).alias("instant")).na.drop()
+    sizes = slim.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    large = sizes.filter(F.col("size") > walk).orderBy(F.col("size").desc()).limit(LARGE_KEYS)
+    # At most LARGE_KEYS keys. Without the broadcast the events would be shuffled by key, and
+    # those of a hot key would meet in one task.
+    large = F.broadcast(large.select("key"))
+
+    whole = F.lit(0).cast("bigint").alias("block")
+    once = F.lit(1).cast("bigint").alias("n")
+    few = slim.join(large, "key", "left_anti").select("key", whole, "instant", once)
+    many = slim.join(large, "key", "left_semi").groupBy("key", "instant").agg(
+        F.count(F.lit(1)).alias("n")
+    )
     key_type = type_of(events, key).simpleString()
+    schema = f"key {key_type}, instant bigint, n bigint, window_start bigint"
+    most = 2**61 // (length + 1)
+    walked = _by_group(
+        few, "block", ["instant"], schema, lambda g: _counted(_placed_windows(g, length)), most
+    )
+    placed = _windows_by_block(many, key_type, length, fan, chainings)
+    return walked.unionByName(placed).withColumnRenamed("key", key)
+
+
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sorted rows with one event each, merged to one row per key and instant."""
+    first = np.flatnonzero(_changes(rows, ["key", "instant"]))
+    return rows.iloc[first].assign(n=np.diff(np.append(first, len(rows))))
+
+
+def _by_group(
+    df: DataFrame, group: str, order: list[str], schema: str, compute, most: int
+) -> DataFrame:
+    """Run a function over whole groups of sorted rows, many groups per call."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, ["key", group], most):
+            yield compute(rows)
+
+    rows = df.repartition("key", group).sortWithinPartitions("key", group, *order)
+    return rows.mapInPandas(run, schema)
+
+
+def _windows_by_block(
+    instants: DataFrame, key_type: str, length: int, fan: int, chainings: int
+) -> DataFrame:
+    """The windows of keys with many instants, block by block."""
     span = fan * length
-    most = max(1, 2**61 // (2 * span))
+    most = max(1, 2**61 // (fan * (length + 1)))
     function_schema = f"key {key_type}, block bigint, entry bigint, exit bigint"
     end_schema = f"key {key_type}, block bigint, end bigint"
     window_schema = f"key {key_type}, instant bigint, n bigint, window_start bigint"
 
     def by_group(df: DataFrame, group: str, order: list[str], schema: str, compute) -> DataFrame:
-        """Run a function over whole groups of sorted rows, many groups per call."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in _whole_groups(batches, ["key", group], most):
-                yield compute(rows)
-
-        rows = df.repartition("key", group).sortWithinPartitions("key", group, *order)
-        return rows.mapInPandas(run, schema)
+        return _by_group(df, group, order, schema, compute, most)
 
     def inside(df: DataFrame) -> DataFrame:
         parent = F.expr(f"(block - pmod(block, {fan})) div {fan}").alias("parent")
         return df.select("key", parent, "block", "entry", "exit")
 
-    instants = (
-        events.select(col(key).alias("key"), micros(events, ts).alias("instant"))
-        .na.drop()
-        .groupBy("key", "instant")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("block", F.expr(f"(instant - pmod(instant, {span})) div {span}"))
-        .select("key", "block", "instant", "n")
-    )
+    instants = instants.withColumn(
+        "block", F.expr(f"(instant - pmod(instant, {span})) div {span}")
+    ).select("key", "block", "instant", "n")
     leaf = by_group(
         instants, "block", ["instant"], function_schema, lambda g: _block_functions(g, span, length)
     )
@@ -373,9 +420,9 @@ def anchored_windows(
     )
     placed = by_group(
         instants.unionByName(opened), "block", ["instant"], window_schema,
-        lambda g: _placed_windows(g, span, length),
+        lambda g: _placed_windows(g, length),
     )
-    return placed.withColumnRenamed("key", key)
+    return placed
 
 
 def anchored_counts(

@@ -45,14 +45,16 @@ def keys_of_every_kind(seed):
     return keys
 
 
-@pytest.mark.parametrize("fan, chainings", [(2, 3), (5, 2), (64, 2), (3, 0)])
-def test_anchored_windows(spark, fan, chainings):
+@pytest.mark.parametrize(
+    "walk, fan, chainings", [(0, 2, 3), (0, 5, 2), (100, 64, 2), (0, 3, 0), (20_000, 64, 2)]
+)
+def test_anchored_windows(spark, walk, fan, chainings):
     keys = keys_of_every_kind(fan)
     rows = [(k, int(t)) for k, ts in keys.items() for t in ts]
     events = spark.createDataFrame(rows, "k string, t bigint").select(
         "k", F.timestamp_micros("t").alias("ts")
     )
-    found = windows.anchored_windows(events.repartition(7), "k", "ts", 10, fan, chainings)
+    found = windows.anchored_windows(events.repartition(7), "k", "ts", 10, walk, fan, chainings)
     got = {}
     for r in found.collect():
         got.setdefault(r.k, []).extend([(r.instant, r.window_start)] * r.n)
