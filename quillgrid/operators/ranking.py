@@ -13,7 +13,10 @@ MAX_BATCH = 10_000
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """Page `number` (from 1) of `size` rows, in the order of the given keys."""
+    """Page `number` (from 1) of `size` rows, in the order of the given keys.
+
+    All rows up to the page are ranked, so filter on the keys to read far into a large table.
+    """
     if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
         raise ValueError(f"Pages start at 1 and hold 1 to {MAX_PAGE_SIZE} rows.")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
