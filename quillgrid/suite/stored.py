@@ -11,9 +11,8 @@ from quillgrid.suite import GAPPY, gappy_events, query, table
 
 def texts(df):
     """Times as text, the form a text file keeps them in."""
-    return df.withColumns(
-        {f.name: F.col(f.name).cast("string") for f in df.schema.fields if "timestamp" in f.dataType.typeName()}
-    )
+    times = [f.name for f in df.schema.fields if "timestamp" in f.dataType.typeName()]
+    return df.withColumns({name: F.col(name).cast("string") for name in times})
 
 
 @query(
