@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm import (
     chat,
+    fm_dedup,
     forced_bpe,
     norm_search,
     sharding,
     simhash_pivots,
+    suffix_decontam,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +126,25 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query("op9_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_decontam.contamination(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"),
+        "text", "item_id", "text", window=13, one_in=20, keep=["doc_id"],
+    )
+    return found.select(
+        "row.doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op3_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_dedup.remove_repeated_words(
+        read(spark, sf_dir, "documents"), "doc_id", "text", window=20, keep=["doc_id"]
+    )
+    return found.select(
+        "row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    )
