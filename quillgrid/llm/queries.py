@@ -13,6 +13,7 @@ from quillgrid.llm import (
     fm_dedup,
     forced_bpe,
     norm_search,
+    rlbwt_dedup,
     sharding,
     simhash_pivots,
     suffix_decontam,
@@ -148,3 +149,14 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
     )
+
+
+@query("op8_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rlbwt_dedup.remove_repeated_bytes(
+        read(spark, sf_dir, "documents"), "doc_id", "text", window=400, keep=["doc_id"]
+    )
+    return found.select(
+        "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
