@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import (
@@ -17,6 +17,8 @@ from quillgrid.llm import (
     sharding,
     simhash_pivots,
     suffix_decontam,
+    toxic_crf,
+    weak_quality,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,10 +122,10 @@ def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_pivots.near_duplicates(
-        read(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3, keep=["doc_id"]
+        read(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=3
     )
     return found.select(
-        "row.doc_id",
+        "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
@@ -160,3 +162,26 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op6_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weak_quality.quality(read(spark, sf_dir, "documents"), "text", keep=["doc_id"])
+    return found.select("row.doc_id", "votes", "posterior", "score", "accepted")
+
+
+def held_out(doc_id: str) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+@query("op7_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxic_crf.toxicity(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"),
+        "doc_id", "text", "toxic", ~held_out("doc_id"), keep=["doc_id"],
+    )
+    return found.select(
+        "row.doc_id", held_out("row.doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"),
+    )

@@ -280,33 +280,58 @@ def links(met: DataFrame, max_bits: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def classes_of(ids: DataFrame, max_bits: int) -> DataFrame:
+    """`fp`, `root` (the class of linked fingerprints) and `component`, the least id of the class."""
+    classes = checkpointed(ids.groupBy("fp").agg(F.min("id").alias("least")))
+    forest = least_reachable(links(bucketed(classes.select("fp"), max_bits), max_bits))
+    rooted = classes.join(forest.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    roots = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rooted.join(roots, "root").select("fp", "root", "component")
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, shingle: int = 3, max_bits: int = 3,
-    keep: list[str] | None = None,
+    df: DataFrame, id_col: str, text_col: str, shingle: int = 3, max_bits: int = 3
 ) -> DataFrame:
-    """`row` (the kept columns, the id among them), `fp` and `component`, the least id reachable.
+    """The id, `fp` and `component`, the least id reachable, of every row.
 
     Fingerprints are linked at `max_bits` or fewer differing bits, and components follow chains
     of links. Missing, empty and blank texts have fingerprint zero and are linked like any other.
     Equal texts, ties and repeated rows share a fingerprint and so a component. A missing id is
-    never the least one; a component without any id has none. An empty table gives an empty
-    result.
+    never the least one; a component without any id has none. Other columns are ignored, and an
+    empty table gives an empty result.
 
     Only distinct fingerprints are compared, so a group of copies is one row from there on.
     """
-    names = df.columns if keep is None else list(dict.fromkeys([id_col, *keep]))
-    marked = fingerprints(df, text_col, shingle, names)
-    ids = checkpointed(fingerprints(df, text_col, shingle, [id_col]).select(
-        F.col("row")[id_col].alias("id"), "fp"
-    )) if keep is None else None
-    if ids is None:
-        marked = checkpointed(marked)
-        ids = marked.select(F.col("row")[id_col].alias("id"), "fp")
-    classes = checkpointed(ids.groupBy("fp").agg(F.min("id").alias("least")))
-    forest = least_reachable(links(bucketed(classes.select("fp"), max_bits), max_bits))
-    rooted = classes.join(forest.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    ids = checkpointed(marked_ids(df, id_col, text_col, shingle))
+    found = ids.join(classes_of(ids, max_bits), "fp")
+    return found.select(F.col("id").alias(id_col), "fp", "component")
+
+
+def marked_ids(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    marked = fingerprints(df, text_col, shingle, [id_col])
+    return marked.select(F.col("row").getField(id_col).alias("id"), "fp")
+
+
+def representatives(
+    df: DataFrame, id_col: str, text_col: str, shingle: int = 3, max_bits: int = 3
+) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that with the least id.
+
+    Groups and special cases are those of near_duplicates. A row without an id stays only if no
+    row of its group has one; of repeated rows one stays.
+    """
+    ids = checkpointed(marked_ids(df, id_col, text_col, shingle))
+    best = F.struct(F.col("id").isNull().alias("without"), F.col("id"), F.col("fp"))
+    stays = (
+        ids.join(classes_of(ids, max_bits), "fp")
+        .groupBy("root").agg(F.min(best).alias("best"))
+        .select(F.col("best.id").alias("kept_id"), F.col("best.fp").alias("kept_fp"))
+    )
+    rows = fingerprints(df, text_col, shingle)
+    rows = rows.withColumn("id", F.col("row").getField(id_col))
+    kept = rows.join(
+        stays, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi"
     )
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    labels = rooted.join(roots, "root").select("fp", "component")
-    return marked.join(labels, "fp").select("row", "fp", "component")
+    return kept.dropDuplicates(["id", "fp"]).select("row.*")

@@ -146,6 +146,10 @@ class Chunk:
 
     def __init__(self, blob: bytes, asked: bytes, setting: Setting) -> None:
         self.batch = pa.ipc.open_stream(blob).read_next_batch()
+        name = (self.batch.schema.metadata or {}).get(b"text")
+        if name is not None:  # the text is in the row already
+            text = self.batch.column("row").field(name.decode())
+            self.batch = self.batch.append_column("text", text)
         self.setting = setting
         self.units = setting.units(self.batch)
         self.marker, self.first, self.length, _ = unpacked(asked)
@@ -259,6 +263,9 @@ def chunks(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None, se
     else:
         raise ValueError(f"{id_col} must be among the kept columns")
 
+    held = rows.schema["row"].dataType
+    carries_text = text_col in held.names and held[text_col].dataType.simpleString() == "string"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -269,6 +276,8 @@ def chunks(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None, se
                 part = part.take(order)
                 units = setting.units(part)
                 asked = fragments(units, setting)
+                if carries_text:
+                    part = part.drop_columns(["text"]).replace_schema_metadata({"text": text_col})
                 sink = pa.BufferOutputStream()
                 options = pa.ipc.IpcWriteOptions(compression="zstd")
                 with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
