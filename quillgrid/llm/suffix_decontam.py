@@ -126,6 +126,8 @@ def longest_matches(
     index: dict, places: np.ndarray, suffixes: np.ndarray, owner: np.ndarray
 ) -> tuple[np.ndarray, ...]:
     """Document, item, item word, place and words of the maximal verbatim matches."""
+    if not len(places):
+        return (np.zeros(0, np.int64),) * 5
     begin = np.concatenate([[0], index["ends"][:-1]])[suffixes]
     count = index["ends"][suffixes] - begin
     entry = expanded(begin, count)
