@@ -127,6 +127,26 @@ def value_text(value: Column, dtype: T.DataType) -> Column:
     return value.cast("string")
 
 
+def short_double_text(value: Column) -> Column:
+    """Shortest text of a double without a needless fraction: 2, 0.00001, 1e-7, 1e+21."""
+    value = value.cast("double")
+    java = value.cast("string")
+    size = F.abs(value)
+    plain = F.regexp_replace(java.cast("decimal(38,24)").cast("string"), r"\.?0+$", "")
+    exponent = F.regexp_replace(F.lower(F.regexp_replace(java, r"\.0E", "E")), r"e(\d)", "e+$1")
+    return (
+        F.when((size < 1e21) & (value == F.rint(value)), value.cast("decimal(22,0)").cast("string"))
+        .when((size >= 1e-6) & (size < 1), plain)
+        .when(java.contains("E") & (size >= 1) & (size < 1e14), plain)
+        .otherwise(exponent)
+    )
+
+
+def label_text(value: Column, dtype: T.DataType) -> Column:
+    """The text form of lenient casts and labels, in which whole numbers have no fraction."""
+    return short_double_text(value) if is_floating(dtype) else value_text(value, dtype)
+
+
 def preview_value(value: Column, dtype: T.DataType, limit: int = PREVIEW_CELL_CHARS) -> Column:
     """One preview cell: bytes as a size, long text cut, times as ISO-8601."""
     if isinstance(dtype, T.BinaryType):

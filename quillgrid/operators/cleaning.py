@@ -14,7 +14,7 @@ from quillgrid.functions.columns import (
     require_columns,
     type_of,
 )
-from quillgrid.functions.scalars import NUMBER_PATTERN, measure, value_text
+from quillgrid.functions.scalars import NUMBER_PATTERN, label_text, measure, value_text
 
 # The type names a cast step takes, and the Spark type each one means.
 TYPE_NAMES = {
@@ -37,7 +37,7 @@ def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     require_columns(df, mapping)
     renamed = [mapping.get(c, c) for c in df.columns]
     if len(set(renamed)) != len(renamed):
-        raise ValueError("Renaming would create duplicate column names.")
+        raise ValueError("Two columns would have the same name.")
     return df.select(*[col(c).alias(name) for c, name in zip(df.columns, renamed)])
 
 
@@ -94,18 +94,21 @@ def cast_types(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.withColumns({c: _cast(col(c), type_of(df, c), t) for c, t in mapping.items()})
 
 
-def _without_maps(df: DataFrame) -> DataFrame:
-    """Maps cannot be compared; their JSON text, with sorted entries, can."""
-    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
-    sorted_maps = {
-        c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(c))))) for c in maps
-    }
-    return df.withColumns(sorted_maps) if maps else df
-
-
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Whole rows, with missing values equal to each other."""
-    return _without_maps(nan_to_null(df)).dropDuplicates()
+    """Whole rows, with missing values equal to each other.
+
+    Maps cannot be compared; their JSON text, with sorted entries, decides for them.
+    """
+    clean = nan_to_null(df)
+    maps = [f.name for f in clean.schema.fields if isinstance(f.dataType, T.MapType)]
+    if not maps:
+        return clean.dropDuplicates()
+    texts = {
+        f"_map{i}": F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(c)))))
+        for i, c in enumerate(maps)
+    }
+    keys = [c for c in clean.columns if c not in maps]
+    return clean.withColumns(texts).dropDuplicates([*keys, *texts]).drop(*texts)
 
 
 def fill_nulls_lenient(df: DataFrame, column: str | None = None, value: str | None = None):
@@ -118,7 +121,7 @@ def cast_lenient(df: DataFrame, column: str | None = None, target: str = "text")
     """Cast one column to `number` or `text`; a cell that is no number becomes NULL."""
     column = column or df.columns[0]
     dtype = type_of(df, column)
-    cast = measure(col(column), dtype) if target == "number" else value_text(col(column), dtype)
+    cast = measure(col(column), dtype) if target == "number" else label_text(col(column), dtype)
     return df.withColumn(column, cast)
 
 
@@ -133,15 +136,22 @@ def lenient_value(text: str):
     return int(number) if number.is_integer() else number
 
 
+# What a form with one column and one text field asks of an operation: the parameter, what an
+# empty field stands for, and how the text is read.
+FORM_FIELDS = {
+    "fill_nulls": ("values", "0", lenient_value),
+    "rename_columns": ("mapping", "{column}_renamed", str.strip),
+    "cast_types": ("mapping", "text", lambda kind: {"number": "float64"}.get(kind, "string")),
+}
+
+
 def step_parameters(operation: str, column: str = "", value: str = "") -> dict:
-    """Parameters of a step from the two text fields of a form."""
-    if operation == "fill_nulls":
-        return {"values": {column: lenient_value(value or "0")}}
-    if operation == "rename_columns":
-        return {"mapping": {column: value.strip() or f"{column}_renamed"}}
-    if operation == "cast_types":
-        return {"mapping": {column: "float64" if value == "number" else "string"}}
-    return {}
+    """Parameters of a step from the fields of a form, as FORM_FIELDS describes them."""
+    if operation not in FORM_FIELDS:
+        return {}
+    parameter, default, read = FORM_FIELDS[operation]
+    text = value if value.strip() else default.format(column=column)
+    return {parameter: {column: read(text)}}
 
 
 # The closed list of operations: how each one reads its parameters.
@@ -159,10 +169,10 @@ ROW_PRESERVING = ("drop_columns", "rename_columns", "fill_nulls", "cast_types")
 
 def apply_operation(df: DataFrame, operation: str, parameters: dict | None = None) -> DataFrame:
     if operation not in OPERATIONS:
-        raise ValueError("Unsupported transformation operation.")
+        raise ValueError(f"No such cleaning step: {operation}")
     result = OPERATIONS[operation](df, parameters or {})
     if not result.columns:
-        raise ValueError("A dataset must keep at least one column.")
+        raise ValueError("No column would be left.")
     return result
 
 

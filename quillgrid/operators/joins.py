@@ -112,13 +112,13 @@ def reconcile(
 ) -> DataFrame:
     """Give rows stuck in a working status their final one.
 
-    A row is stuck if it is older than the cutoff and no active job owns its key.
-    `transitions` maps a working status to the status it falls back to.
+    A row is stuck if it is older than the cutoff and no active job owns its key; a row without
+    a status is not. `transitions` maps a working status to the status it falls back to.
     """
     owners = active.select(col(key)).distinct().withColumn("_owned", F.lit(True))
     flagged = entities.join(owners, key, "left")
     stuck = (
-        col(status).isin(list(transitions))
+        F.coalesce(col(status).isin(list(transitions)), F.lit(False))
         & F.col("_owned").isNull()
         & F.coalesce(col(updated) < cutoff, F.lit(False))
     )
@@ -139,12 +139,20 @@ def reconcile(
 def settle_jobs(
     jobs: DataFrame, stale: Column, cancelling: str = "CANCELLATION_REQUESTED", message: str = ""
 ) -> DataFrame:
-    """End stale jobs: a job asked to cancel is cancelled, any other one has failed."""
-    cancelled = col("status") == cancelling
+    """End stale jobs: a job asked to cancel is cancelled, any other one has failed.
+
+    A failed job gets the message. All others keep theirs, and a job of which it is not known
+    whether it is stale is left alone.
+    """
+    stale = F.coalesce(stale, F.lit(False))
+    cancelled = F.coalesce(col("status") == cancelling, F.lit(False))
+    error = col("error_message") if "error_message" in jobs.columns else F.lit(None)
     return jobs.withColumns(
         {
             "reconciled": stale,
-            "error_message": F.when(stale & ~cancelled, F.lit(message)),
+            "error_message": F.when(stale & ~cancelled, F.lit(message)).otherwise(
+                error.cast("string")
+            ),
             "status": F.when(stale & cancelled, F.lit("CANCELLED"))
             .when(stale, F.lit("FAILURE"))
             .otherwise(col("status")),

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrid.functions.columns import col, is_numeric, type_of
-from quillgrid.functions.scalars import display_number, double_text, measure, value_text
+from quillgrid.functions.scalars import (
+    display_number,
+    double_text,
+    label_text,
+    measure,
+    value_text,
+)
 from quillgrid.operators.filters import apply_filters
 
 # The chart kinds, the aggregations, and how many entries each chart shows.
@@ -223,7 +229,7 @@ def grouped_lenient(df: DataFrame, x: str, y: str, aggregation: str = "sum") ->
 
     Sum and count keep groups without numbers, the others leave them out.
     """
-    key = F.coalesce(value_text(col(x), type_of(df, x)), F.lit(UNKNOWN_LABEL))
+    key = F.coalesce(label_text(col(x), type_of(df, x)), F.lit(UNKNOWN_LABEL))
     value = _lenient_aggregate(F.col("_value"), aggregation)
     slim = df.select(key.alias("label"), measure(col(y), type_of(df, y)).alias("_value"))
     groups = slim.groupBy("label").agg(value.alias("value"))

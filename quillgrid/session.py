@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,12 @@ def build_session(app_name: str = "quillgrid", master: str | None = None, **conf
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder the cluster names.
 
-    `spark.checkpoint.dir` decides. Only where it is unset, as in local tests, a temporary
-    folder of this machine is used.
+    `spark.checkpoint.dir` decides. Only a local session without that setting, as in tests, gets
+    a temporary folder of this machine; elsewhere the executors could not read it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/quillgrid-{label}-{uuid.uuid4().hex}"
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("Name a folder that all executors share in spark.checkpoint.dir.")
     return os.path.join(tempfile.mkdtemp(prefix=f"quillgrid-{label}-"), "data")

@@ -241,6 +241,32 @@ def join_settle_jobs(spark, sf):
     return joins.follow_jobs(items, ended, "l_orderkey", final=("N",))
 
 
+@query(
+    "join_settled_messages",
+    """SELECT o_orderkey,
+              o_orderstatus IN ('O', 'P') AND o_orderdate < TIMESTAMP '1997-01-01' AS reconciled,
+              CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN o_orderstatus
+                   WHEN o_orderstatus = 'O' THEN 'CANCELLED' WHEN o_orderstatus = 'P' THEN 'FAILURE'
+                   ELSE o_orderstatus END AS status,
+              CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1997-01-01' THEN 'timed out'
+                   WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS error_message
+       FROM orders""",
+)
+def join_settled_messages(spark, sf):
+    """Only jobs that fail get the message; stored ones stay."""
+    cutoff = moment("1997-01-01")
+    jobs = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderdate").alias("updated_at"),
+        F.lit(None).cast("timestamp_ntz").alias("lease_expires_at"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("error_message"),
+    )
+    stale = stale_condition(cutoff, cutoff, waiting=("P",), running=("O",))
+    settled = joins.settle_jobs(jobs, stale, cancelling="O", message="timed out")
+    return settled.select("o_orderkey", "reconciled", "status", "error_message")
+
+
 @query(
     "count_by_status",
     """SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS completed,

@@ -160,3 +160,23 @@ def test_storage(spark):
     assert {(r.owner_id, r.files, r.used_bytes, r.over_quota) for r in used.collect()} == {
         (1, 2, 10, True), (2, 1, 5, False)
     }
+
+
+def test_settled_jobs_keep_their_messages(spark):
+    rows = [(1, "RUNNING", "disk full", False), (2, "RUNNING", "old", True),
+            (3, "CANCELLATION_REQUESTED", "kept", True), (4, None, None, True), (5, "x", "y", None)]
+    jobs = spark.createDataFrame(rows, "id int, status string, error_message string, s boolean")
+    got = joins.settle_jobs(jobs, F.col("s"), message="timed out").drop("s").collect()
+    assert [tuple(r[:3]) + (r["reconciled"],) for r in got] == [
+        (1, "RUNNING", "disk full", False), (2, "FAILURE", "timed out", True),
+        (3, "CANCELLED", "kept", True), (4, "FAILURE", "timed out", True), (5, "x", "y", False),
+    ]
+
+
+def test_a_row_without_a_status_is_not_stuck(spark):
+    rows = [(1, None, 5, "a"), (2, "working", 5, "b"), (3, "working", 99, "c")]
+    entities = spark.createDataFrame(rows, "id int, status string, updated_at int, lease string")
+    active = spark.createDataFrame([], "id int")
+    got = joins.reconcile(entities, active, "id", F.lit(50), {"working": "ready"}, clear=["lease"])
+    state = sorted((r["id"], r["status"], r["reconciled"], r["lease"]) for r in got.collect())
+    assert state == [(1, None, False, "a"), (2, "ready", True, None), (3, "working", False, "c")]

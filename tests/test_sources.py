@@ -137,6 +137,13 @@ def test_work_folder_follows_the_session():
     class Session:
         conf = {"spark.checkpoint.dir": "/tmp/shared-folder/"}
 
+        class sparkContext:
+            master = "local[2]"
+
     assert work_folder(Session, "x").startswith("/tmp/shared-folder/quillgrid-x-")
     Session.conf = {}
     assert "quillgrid-x-" in work_folder(Session, "x")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_folder(Session, "x")
