@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,19 +33,24 @@ FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parqu
 def load_dataset(
     spark: SparkSession, path: str, fmt: str | None = None, where: dict | None = None
 ) -> DataFrame:
-    """Read a dataset, choosing the reader by `fmt` or by the suffix of the path."""
+    """Read a dataset, choosing the reader by `fmt` or by the suffix of the path.
+
+    `where` takes filter rules for any format; Parquet also skips row groups by them.
+    """
     if fmt is None:
         suffix = "." + path.rstrip("/").rsplit(".", 1)[-1].lower()
         if suffix not in FORMATS:
-            raise ValueError("Unsupported file format.")
+            raise ValueError(f"No reader for files ending in {suffix}")
         fmt = FORMATS[suffix]
     if fmt == "parquet":
         return read_parquet(spark, path, where)
     if fmt == "csv":
-        return read_csv(spark, path)
-    if fmt in ("json", "jsonl"):
-        return read_json(spark, path, lines=fmt == "jsonl")
-    raise ValueError("Unsupported file format.")
+        df = read_csv(spark, path)
+    elif fmt in ("json", "jsonl"):
+        df = read_json(spark, path, lines=fmt == "jsonl")
+    else:
+        raise ValueError(f"No reader for the format {fmt}")
+    return df.filter(rules_condition(df, where)) if where else df
 
 
 def read_parquet(spark: SparkSession, path: str, where: dict | None = None) -> DataFrame:
@@ -70,11 +78,14 @@ def read_json(
     return df.withColumns({c: col(c).cast("timestamp") for c in timestamps or []})
 
 
-def _header(spark: SparkSession, path: str, **options) -> list[str]:
-    """Column names from the first record: repeated names get a counter, as in `a`, `a.1`."""
+def _header(spark: SparkSession, path: str, **options) -> tuple[list[str], list[str]]:
+    """Column names from the first record, and that record.
+
+    Repeated names get a counter, as in `a`, `a.1`.
+    """
     first = spark.read.csv(path, header=False, **options).first()
     if first is None:
-        raise ValueError("The CSV file is empty.")
+        raise ValueError("The file has no header, as it is empty.")
     names: list[str] = []
     for position, cell in enumerate(first):
         base = cell if cell else f"Unnamed: {position}"
@@ -83,24 +94,50 @@ def _header(spark: SparkSession, path: str, **options) -> list[str]:
             counter += 1
             name = f"{base}.{counter}"
         names.append(name)
-    return names
+    return names, list(first)
+
+
+@F.pandas_udf(T.BooleanType())
+def _never_ends(texts: pd.Series) -> pd.Series:
+    """Whether a quoted field of the text is still open at its end.
+
+    A quote opens a field only at its start; anywhere else in an unquoted field it is text.
+    """
+    closed = re.compile(r'(^|[,\n])"[^"]*(?:""[^"]*)*"(?=,|\r?\n|\Z)')
+    opened = re.compile(r'(?:^|[,\n])"[^"]*(?:""[^"]*)*\Z')
+    return texts.map(lambda text: bool(opened.search(closed.sub(r"\1", text))))
+
+
+def _check_quotes(spark: SparkSession, path: str, multiline: bool) -> None:
+    """Refuse files with a quoted field that never ends; without `multiline` it ends in its line."""
+    lines = spark.read.text(path, wholetext=multiline)
+    broken = lines.filter(_never_ends("value")).select(F.col("_metadata.file_path").alias("file"))
+    found = broken.first()
+    if found:
+        raise ValueError(f"A quoted field never ends in {found.file}.")
 
 
-def _check_quotes(spark: SparkSession, path: str) -> None:
-    """A file with an odd number of quotes holds a quoted field that never ends."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.length(F.regexp_replace("value", '[^"]', "")).alias("quotes"),
+BROKEN = "_broken_record"
+
+
+def _strings(spark, path, names, header, **options) -> DataFrame:
+    """All cells as text, and BROKEN: the record, where it has more cells than the header.
+
+    Every file must have the same header (unless repeated or empty names had to be replaced).
+    """
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
+    raw = spark.read.schema(schema).csv(
+        path, header=True, enforceSchema=names != header, columnNameOfCorruptRecord=BROKEN, **options
     )
-    odd = lines.groupBy("file").agg(F.sum("quotes").alias("quotes")).filter("quotes % 2 = 1")
-    broken = odd.select("file").first()
-    if broken:
-        raise ValueError(f"A quoted field never ends in {broken.file}.")
+    cells = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    parsed = F.from_csv(F.col(BROKEN), F.lit(cells), {"quote": '"', "escape": '"'})
+    surplus = F.when(parsed[f"c{len(names)}"].isNotNull(), F.col(BROKEN))
+    return raw.withColumn(BROKEN, surplus)
 
 
-def _strings(spark, path, names, **options) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options)
+def _refuse_surplus(record: str | None) -> None:
+    if record is not None:
+        raise ValueError(f"A record has more cells than the header: {record[:200]}")
 
 
 def _csv_options(multiline: bool) -> dict:
@@ -122,27 +159,46 @@ def _kind(text: Column) -> Column:
 
 
 def read_csv(
-    spark: SparkSession, path: str, multiline: bool = True, check_quotes: bool = True
-) -> DataFrame:
+    spark: SparkSession, path: str, multiline: bool = True, check_quotes: bool = True,
+    schema: T.StructType | None = None,
+) -> DataFrame:
     """Read CSV with a header; one aggregate over the cells decides each column's type.
 
-    Missing-value tokens become NULL and date-looking text stays text. With
-    `multiline=False` files without line breaks inside quotes can be split between tasks.
+    Missing-value tokens become NULL and date-looking text stays text. Records with more cells
+    than the header and files with another header are refused; missing cells at the end of a
+    record are NULL. With `multiline=False` files without line breaks inside quotes can be split
+    between tasks. With a `schema` nothing is read beforehand: its names must be those of the
+    header, and cells are cast to its types (one that cannot be fails the job).
     """
     options = _csv_options(multiline)
     if check_quotes:
-        _check_quotes(spark, path)
-    names = _header(spark, path, **options)
-    raw = _strings(spark, path, names, **options)
-    raw = raw.select(*[F.when(~col(n).isin(MISSING_TOKENS), col(n)).alias(n) for n in names])
+        _check_quotes(spark, path, multiline)
+    if schema is not None:
+        raw = _strings(spark, path, schema.names, schema.names, **options)
+        refused = F.raise_error(F.concat(F.lit("More cells than the header: "), F.col(BROKEN)))
+        return raw.select(
+            *[
+                F.when(F.col(BROKEN).isNotNull(), refused.cast(f.dataType))
+                .when(~col(f.name).isin(MISSING_TOKENS), col(f.name).cast(f.dataType))
+                .alias(f.name)
+                for f in schema.fields
+            ]
+        )
+    names, header = _header(spark, path, **options)
+    raw = _strings(spark, path, names, header, **options)
+    raw = raw.select(
+        *[F.when(~col(n).isin(MISSING_TOKENS), col(n)).alias(n) for n in names], BROKEN
+    )
     kinds = raw.agg(
         *[
             F.struct(F.min(_kind(col(n))).alias("low"), F.max(_kind(col(n))).alias("high")).alias(
                 str(i)
             )
             for i, n in enumerate(names)
-        ]
+        ],
+        F.max(BROKEN).alias(BROKEN),
     ).first()
+    _refuse_surplus(kinds[BROKEN])
 
     def typed(name: str, low: int | None, high: int | None) -> Column:
         text = F.trim(col(name))
@@ -154,27 +210,28 @@ def read_csv(
             return col(name)
         return text.try_cast("bigint" if high == 1 else "double")
 
-    return raw.select(*[typed(n, *kinds[i]).alias(n) for i, n in enumerate(names)])
+    return raw.select(*[typed(n, *kinds[str(i)]).alias(n) for i, n in enumerate(names)])
 
 
 def read_lenient_csv(
-    spark: SparkSession, path: str, max_rows: int | None = 100, multiline: bool = True
+    spark: SparkSession, path: str, multiline: bool = True
 ) -> DataFrame:
     """Read CSV forgivingly: cells trimmed, blank records dropped, empty cells NULL.
 
     A column turns numeric only if every cell in it reads as a number. A file without
-    data rows is an error. `max_rows` is the size of the sample; None reads everything.
+    data rows is an error, and so is a record with more cells than the header. All rows are
+    read; for the first ones by some keys see `ranking.head`.
     """
     options = _csv_options(multiline) | {
         "ignoreLeadingWhiteSpace": True,
         "ignoreTrailingWhiteSpace": True,
     }
-    names = _header(spark, path, **options)
-    raw = _strings(spark, path, names, **options)
-    raw = raw.select(*[F.when(F.trim(col(n)) != "", F.trim(col(n))).alias(n) for n in names])
+    names, header = _header(spark, path, **options)
+    raw = _strings(spark, path, names, header, **options)
+    raw = raw.select(
+        *[F.when(F.trim(col(n)) != "", F.trim(col(n))).alias(n) for n in names], BROKEN
+    )
     raw = raw.na.drop(how="all")
-    if max_rows is not None:
-        raw = raw.limit(max_rows)
     facts = raw.agg(
         F.count(F.lit(1)).alias("rows"),
         *[
@@ -183,9 +240,11 @@ def read_lenient_csv(
             for i, n in enumerate(names)
         ],
         *[F.count(col(n)).alias(f"n{i}") for i, n in enumerate(names)],
+        F.max(BROKEN).alias(BROKEN),
     ).first()
+    _refuse_surplus(facts[BROKEN])
     if facts["rows"] == 0:
-        raise ValueError("The CSV file does not contain any data rows.")
+        raise ValueError("There are no data rows below the header.")
     return raw.select(
         *[
             (as_number(col(n)) if facts[str(i)] and facts[f"n{i}"] else col(n)).alias(n)

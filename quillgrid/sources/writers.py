@@ -34,5 +34,5 @@ WRITERS = {"csv": write_csv, "json": write_json, "parquet": write_parquet}
 
 def write_dataset(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists"):
     if fmt not in WRITERS:
-        raise ValueError("Unsupported file format.")
+        raise ValueError(f"No writer for the format {fmt}")
     WRITERS[fmt](df, path, mode)

@@ -72,7 +72,36 @@ def source_csv_lenient(spark, sf):
         }
     )
     parts.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return readers.read_lenient_csv(spark, path, max_rows=None)
+    return readers.read_lenient_csv(spark, path)
+
+
+@query(
+    "source_csv_filtered",
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 250000 AND o_orderstatus = 'F'",
+)
+def source_csv_filtered(spark, sf):
+    """Filter rules hold for text formats too; the cells hold stray quotes."""
+    path = work_folder(spark, "csv")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    lines = orders.select(
+        F.concat_ws(",", "o_orderkey", "o_totalprice", "o_orderstatus", F.lit('5" pipe')).alias("value")
+    )
+    header = "o_orderkey,o_totalprice,o_orderstatus,note"
+    lines.mapInArrow(header_first(header), "value string").write.text(path)
+    rules = {"o_totalprice": {"gte": 250_000}, "o_orderstatus": {"eq": "F"}}
+    return readers.load_dataset(spark, path, "csv", rules).select("o_orderkey", "o_totalprice")
+
+
+def header_first(header: str):
+    """Put a header line before the lines of each file."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": [header]})
+        yield from batches
+
+    return run
 
 
 @query("source_json", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -138,7 +167,7 @@ def source_parquet_pushed_filter(spark, sf):
 def by_segment(spark, sf, fmt):
     """Customers in one folder and one file per market segment."""
     path = work_folder(spark, fmt)
-    customers = table(spark, sf, "customer").repartition("c_mktsegment")
+    customers = table(spark, sf, "customer")
     customers.write.partitionBy("c_mktsegment").format(fmt).save(path)
     return path
 
@@ -165,7 +194,7 @@ def file_inventory(spark, sf):
 def file_text_sniff(spark, sf):
     """One segment's file starts with a NUL character."""
     path = work_folder(spark, "text")
-    customers = table(spark, sf, "customer").repartition("c_mktsegment")
+    customers = table(spark, sf, "customer")
     broken = F.when(F.col("c_mktsegment") == "MACHINERY", F.unhex(F.lit("00")).cast("string"))
     customers.select(
         "c_mktsegment", F.concat(F.coalesce(broken, F.lit("")), F.col("c_name")).alias("value")
