@@ -41,7 +41,14 @@ QUARTILES = (0.25, 0.5, 0.75)
 SKETCH_ACCURACY = 10_000
 CUT_MARGIN = 2 / SKETCH_ACCURACY
 LONG_TEXT_BYTES = 64
-NARROW_ROW_BYTES = 32
+
+
+# JSON in which different values differ: missing fields are written, times to the microsecond.
+EXACT_JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def schema_listing(df: DataFrame) -> DataFrame:
@@ -77,7 +84,7 @@ def _comparable_text(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.MapType):
         value = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(value))))
     elif isinstance(dtype, (T.ArrayType, T.StructType)):
-        value = F.to_json(value)
+        value = F.to_json(value, EXACT_JSON)
     elif isinstance(dtype, T.BinaryType):
         value = F.hex(value)
     elif not isinstance(dtype, T.StringType):
@@ -335,36 +342,24 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def _row_key(df: DataFrame) -> list[Column]:
-    """All columns in a comparable form: maps as sorted JSON text."""
-    return [
-        F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(f.name))))).alias(f"c{i}")
-        if isinstance(f.dataType, T.MapType)
-        else col(f.name).alias(f"c{i}")
-        for i, f in enumerate(df.schema.fields)
-    ]
+    """All columns in a comparable form: maps as sorted JSON text, one zero for floats."""
 
+    def form(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.MapType):
+            return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(f.name)))))
+        return col(f.name) + F.lit(0.0).cast(f.dataType) if is_floating(f.dataType) else col(f.name)
 
-def _row_bytes(dtype: T.DataType) -> int:
-    """A rough size of one value; text and nested values count as wide."""
-    fixed = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4}
-    if isinstance(dtype, (T.LongType, T.DoubleType)) or dtype in (T.DateType(), T.TimestampType()):
-        return 8
-    return fixed.get(type(dtype), 16)
+    return [form(f).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row `duplicate_rows`: rows beyond the first of each group of equal ones.
 
-    Narrow rows are grouped as they are. Wide rows are first counted by a 64-bit hash, so
-    that 16 bytes per row are shuffled; only rows whose hash occurs again are then compared
-    in full, which keeps the count exact when hashes collide.
+    Rows are grouped by the SHA-256 of their cells, so that rows of any width are shuffled once
+    and as 32 bytes, after equal ones of a task were merged.
     """
-    rows = df.select(*_row_key(df))
-    if sum(_row_bytes(f.dataType) for f in rows.schema.fields) > NARROW_ROW_BYTES:
-        hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
-        again = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = hashed.join(again.select("_hash"), "_hash", "left_semi").drop("_hash")
-    groups = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*_row_key(df)), EXACT_JSON), 256))
+    groups = df.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -466,50 +466,66 @@ def stream_attempts(
     ts: str,
     seconds: int = WINDOW_SECONDS,
     limit: int = ATTEMPT_LIMIT,
+    delay: str = "1 hour",
 ) -> DataFrame:
-    """The running attempt number of every streamed event, in order of arrival.
+    """The running attempt number of every streamed event, in the order of event times.
 
-    The state of a key is the end of its open window and the count in it, whatever the
-    number of its events. Rows of a key reach the function in batches, never all at once;
-    an event older than the open window counts towards it.
+    Events may arrive in any order up to `delay`; those behind the watermark are dropped, as in
+    every stateful stream. An event is counted once the watermark has passed it, when nothing
+    earlier can come any more, so the result is that of the batch form for all such events.
+
+    The state of a key is its events ahead of the watermark, the end of its open window and the
+    count in it. It is removed once the window has ended and nothing waits.
     """
     length = seconds * MICROS
     key_type = type_of(events, key).simpleString()
-    slim = events.select(col(key).alias("key"), micros(events, ts).alias("instant"))
+    slim = events.select(
+        col(key).alias("key"), micros(events, ts).alias("instant"), col(ts).cast("timestamp").alias("at")
+    ).withWatermark("at", delay)
 
     def count(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        end, used = state.get if state.exists else (NEVER, 0)
-        for pdf in batches:
-            t = np.sort(pdf["instant"].to_numpy())
-            attempts = np.empty(len(t), dtype=np.int64)
-            starts = np.empty(len(t), dtype=np.int64)
-            at = 0
-            while at < len(t):
-                if t[at] >= end:
-                    end, used = int(t[at]) + length, 0
-                upto = int(np.searchsorted(t, end, side="left"))
-                attempts[at:upto] = used + 1 + np.arange(upto - at)
-                starts[at:upto] = end - length
-                used += upto - at
-                at = upto
-            yield pd.DataFrame(
-                {
-                    "key": group[0],
-                    "instant": t,
-                    "window_start": starts,
-                    "attempt": attempts,
-                    "over_limit": attempts > limit,
-                }
-            )
-        state.update((end, used))
+        waiting, end, used = state.get if state.exists else ([], NEVER, 0)
+        parts = [np.array(waiting, dtype=np.int64)]
+        if not state.hasTimedOut:
+            parts += [pdf["instant"].to_numpy() for pdf in batches]
+        t = np.sort(np.concatenate(parts))
+        passed = state.getCurrentWatermarkMs()
+        ready = int(np.searchsorted(t, passed * 1000, side="right"))
+        t, rest = t[:ready], t[ready:]
+        attempts = np.empty(len(t), dtype=np.int64)
+        starts = np.empty(len(t), dtype=np.int64)
+        at = 0
+        while at < len(t):
+            if t[at] >= end:
+                end, used = int(t[at]) + length, 0
+            upto = int(np.searchsorted(t, end, side="left"))
+            attempts[at:upto] = used + 1 + np.arange(upto - at)
+            starts[at:upto] = end - length
+            used += upto - at
+            at = upto
+        if len(rest) or end > passed * 1000:
+            state.update((rest.tolist(), end, used))
+            following = int(rest[0]) if len(rest) else end
+            state.setTimeoutTimestamp(max(following // 1000 + 1, passed + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(
+            {
+                "key": [group[0]] * len(t),
+                "instant": t,
+                "window_start": starts,
+                "attempt": attempts,
+                "over_limit": attempts > limit,
+            }
+        )
 
     counted = slim.groupBy("key").applyInPandasWithState(
         count,
         f"key {key_type}, instant bigint, window_start bigint, attempt bigint, over_limit boolean",
-        "window_end bigint, used bigint",
+        "waiting array<bigint>, window_end bigint, used bigint",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
     return counted.withColumnRenamed("key", key)

@@ -91,8 +91,22 @@ def run_stream(spark, stream, mode="append"):
           FROM p""",
 )
 def stream_attempts(spark, sf):
-    attempts = windows.stream_attempts(streamed_events(spark, sf), "user_id", "ts", DAY, limit=4)
-    return run_stream(spark, attempts)
+    """All events in six files of any order; a closing event moves the watermark past them."""
+    events = table(spark, sf, "events").select("user_id", "ts")
+    closing = events.agg(
+        F.lit(CLOSING).cast("bigint").alias("user_id"),
+        (F.max("ts") + F.expr("INTERVAL 200 DAYS")).alias("ts"),
+    )
+    folder = work_folder(spark, "events")
+    events.repartition(6, F.xxhash64("user_id", "ts")).write.parquet(folder)
+    closing.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    attempts = windows.stream_attempts(stream, "user_id", "ts", DAY, limit=4, delay="100 days")
+    return run_stream(spark, attempts).where(F.col("user_id") != CLOSING)
+
+
+# The key of an event that only ends a stream.
+CLOSING = -1
 
 
 @query(

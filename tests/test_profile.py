@@ -179,3 +179,21 @@ def test_value_counts_are_shuffled_once(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ReusedExchange") >= 2
+
+
+def test_nested_times_a_microsecond_apart_differ(spark):
+    df = spark.sql(
+        "SELECT array(timestamp '2024-01-01 00:00:00.000001') t, named_struct('a', NULL, 'b', 1) s"
+        " UNION ALL SELECT array(timestamp '2024-01-01 00:00:00.000002'), named_struct('a', 1, 'b', NULL)"
+    )
+    got = {r["column"]: r["unique_count"] for r in profile.distinct_counts(df).collect()}
+    assert got == {"t": 2, "s": 2}
+
+
+def test_duplicates_by_digest(spark):
+    rows = [(None, "a", 0.0), ("a", None, 0.0), (None, "a", -0.0), ("", "a", 0.0), (None, "a", float("nan"))]
+    df = spark.createDataFrame(rows, "x string, y string, z double")
+    assert profile.duplicate_rows(df).first()[0] == 1
+    plan = profile.duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffled) == 1 and "hashpartitioning(_groupingexpression" in shuffled[0]

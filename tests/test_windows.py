@@ -111,9 +111,23 @@ def split_events(spark):
     return events, stream
 
 
-def test_streamed_attempts_equal_the_batch(spark, split_events):
-    events, stream = split_events
-    got = written(spark, windows.stream_attempts(stream, "user_id", "ts", 86400, limit=2))
+@pytest.mark.parametrize("hot", [False, True])
+def test_streamed_attempts_equal_the_batch(spark, tmp_path, hot):
+    """Files in no order of time; a closing event moves the watermark past all others."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts")
+    if hot:
+        events = events.withColumn("user_id", F.lit(7).cast("bigint"))
+    slim = events.select("user_id", "ts")
+    slim.repartition(6, F.xxhash64("ts")).write.parquet(str(tmp_path / "in"))
+    closing = slim.agg(F.lit(-1).cast("bigint").alias("user_id"), (F.max("ts") + F.expr("INTERVAL 200 DAYS")).alias("ts"))
+    closing.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = written(spark, windows.stream_attempts(stream, "user_id", "ts", 86400, limit=2, delay="100 days"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = got.filter("user_id >= 0")
     want = windows.anchored_attempts(events, "user_id", "ts", "event_id", 86400, limit=2)
     columns = ["user_id", "instant", "window_start", "attempt", "over_limit"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(
