@@ -6,6 +6,8 @@ the optimizer, which knows their sizes at run time.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,3 +175,87 @@ def follow_jobs(
     return joined.withColumn(
         "status", F.when(open_target, outcome).otherwise(col("status"))
     ).drop("cancelled")
+
+
+def live_references(
+    datasets: DataFrame, changes: DataFrame, reports: DataFrame, active: DataFrame
+) -> DataFrame:
+    """`path`, distinct: the stored files that some record still needs.
+
+    The file of a dataset that is neither cancelled nor deleted, the input of every change, the
+    output of a completed or undone change, or of an open one whose task is `active`, and the
+    file of a completed report. Missing and empty paths name nothing.
+    """
+    kept = col("deleted_at").isNull() & F.coalesce(col("status") != "cancelled", F.lit(True))
+    running = changes.filter(col("status").isin("pending", "processing")).join(
+        active.select("task_id"), "task_id", "left_semi"
+    )
+    done = changes.filter(col("status").isin("completed", "undone"))
+    paths = [
+        datasets.filter(kept).select(col("stored_path").alias("path")),
+        changes.select(col("input_path").alias("path")),
+        done.select(col("output_path").alias("path")),
+        running.select(col("output_path").alias("path")),
+        reports.filter(col("status") == "completed").select(col("file_path").alias("path")),
+    ]
+    return reduce(DataFrame.unionByName, paths).filter(F.col("path") != "").distinct()
+
+
+def settle_datasets(
+    datasets: DataFrame, ended: DataFrame, changes: DataFrame, moment: Column
+) -> DataFrame:
+    """Datasets after jobs ended: `ended` has kind, dataset_id, change_id and `cancelled`.
+
+    An ended import leaves the dataset cancelled, and deleted at the moment, or failed. An ended
+    profile makes a dataset that is still profiling ready. An ended change that is neither
+    completed nor undone releases the dataset if this still has the version the change expected.
+    """
+    open_changes = changes.filter(~F.coalesce(col("status").isin("completed", "undone"), F.lit(False)))
+    expected = open_changes.select(col("id").alias("change_id"), "expected_version")
+    facts = (
+        ended.join(expected, "change_id", "left")
+        .groupBy("dataset_id")
+        .agg(
+            F.bool_or((F.col("kind") == "import") & F.col("cancelled")).alias("_cancelled"),
+            F.bool_or((F.col("kind") == "import") & ~F.col("cancelled")).alias("_failed"),
+            F.bool_or(F.col("kind") == "profile").alias("_profiled"),
+            F.collect_set(
+                F.when(F.col("kind") == "transformation", F.col("expected_version"))
+            ).alias("_versions"),
+        )
+        .withColumnRenamed("dataset_id", "id")
+    )
+    joined = datasets.join(facts, "id", "left")
+    released = F.coalesce(F.array_contains("_versions", col("version")), F.lit(False))
+    return joined.withColumns(
+        {
+            "status": F.when(F.col("_cancelled"), F.lit("cancelled"))
+            .when(F.col("_failed"), F.lit("failed"))
+            .when(F.col("_profiled") & (col("status") == "profiling"), F.lit("ready"))
+            .when(released, F.lit("ready"))
+            .otherwise(col("status")),
+            "deleted_at": F.when(F.col("_cancelled"), moment).otherwise(col("deleted_at")),
+        }
+    ).drop("_cancelled", "_failed", "_profiled", "_versions")
+
+
+def settle_outcomes(
+    targets: DataFrame, ended: DataFrame, key: str, final: tuple[str, ...], message: str,
+    clear: tuple[str, ...] = (),
+) -> DataFrame:
+    """Changes or reports after their jobs ended, unless already final.
+
+    They are cancelled without a message or failed with one; `clear` columns (the file of a
+    report) are emptied. `ended` holds one row per key with a `cancelled` flag.
+    """
+    joined = targets.join(ended.select(key, F.col("cancelled").alias("_cancelled")), key, "left")
+    is_final = F.coalesce(col("status").isin(list(final)), F.lit(False))
+    moved = F.col("_cancelled").isNotNull() & ~is_final
+    failed = moved & ~F.col("_cancelled")
+    return joined.withColumns(
+        {
+            "status": F.when(failed, F.lit("failed")).when(moved, F.lit("cancelled")).otherwise(col("status")),
+            "error_message": F.when(failed, F.lit(message)).when(~moved, col("error_message")),
+            **{c: F.when(~moved, col(c)) for c in clear},
+        }
+    ).drop("_cancelled")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions.columns import col
+from quillgrid.operators.columns import PREVIEW_COLUMNS
 
 # The largest page, and the largest batch a retention run may remove.
 MAX_PAGE_SIZE = 100
@@ -31,11 +32,39 @@ def newest_first(df: DataFrame, moment: str, key: str) -> DataFrame:
     return df.orderBy(col(moment).desc(), col(key).asc())
 
 
+def page_facts(df: DataFrame, number: int, size: int, width: int = PREVIEW_COLUMNS) -> DataFrame:
+    """One row beside a page: total rows and columns, hidden columns, page and page size."""
+    columns = len(df.columns)
+    return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
+        "total_rows",
+        F.lit(columns).alias("total_columns"),
+        F.lit(max(0, columns - width)).alias("columns_truncated"),
+        F.lit(number).alias("page"),
+        F.lit(size).alias("page_size"),
+    )
+
+
+def page_after(df: DataFrame, keys: list[str], last: tuple, size: int) -> DataFrame:
+    """The `size` rows behind the row whose ascending keys are `last`.
+
+    However far the page, only rows behind it are ranked, and none are skipped over.
+    """
+    behind = F.lit(False)
+    for i in reversed(range(len(keys))):
+        key = col(keys[i])
+        behind = (key > F.lit(last[i])) | ((key == F.lit(last[i])) & behind)
+    return df.filter(behind).orderBy(*[col(k).asc() for k in keys]).limit(size)
+
+
 def oldest_batch(
-    df: DataFrame, condition: Column, moment: str, key: str, batch: int, maximum: int = MAX_BATCH
-) -> DataFrame:
-    """The oldest matching rows, at least one and never more than the maximum."""
-    size = min(max(batch, 1), maximum)
+    df: DataFrame, condition: Column, moment: str, key: str, batch: int,
+    maximum: int | None = MAX_BATCH,
+) -> DataFrame:
+    """The oldest matching rows, at least one and never more than the maximum.
+
+    A larger `batch` is cut to the maximum; None lifts it.
+    """
+    size = max(batch, 1) if maximum is None else min(max(batch, 1), maximum)
     return df.filter(condition).orderBy(col(moment).asc(), col(key).asc()).limit(size)
 
 

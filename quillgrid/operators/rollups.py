@@ -54,10 +54,18 @@ def distinct_references(sources: list[tuple[DataFrame, str | None, list[str]]])
     return reduce(DataFrame.unionByName, [paths(*s) for s in sources]).distinct()
 
 
-def storage_per_owner(references: DataFrame, inventory: DataFrame, quota: int) -> DataFrame:
-    """Stored bytes per owner over distinct paths, and whether they exceed the quota."""
+def storage_per_owner(
+    references: DataFrame, inventory: DataFrame, quota: int, incoming: Column | None = None
+) -> DataFrame:
+    """Stored bytes per owner over distinct paths, and whether they exceed the quota.
+
+    With `incoming` bytes (an expression over owner_id) also whether those still fit.
+    """
     sized = sizes_of(references, inventory)
     used = sized.groupBy("owner_id").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("used_bytes")
     )
-    return used.withColumn("over_quota", F.col("used_bytes") > quota)
+    used = used.withColumn("over_quota", F.col("used_bytes") > quota)
+    if incoming is None:
+        return used
+    return used.withColumn("fits", F.col("used_bytes") + incoming <= quota)

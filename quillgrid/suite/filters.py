@@ -164,6 +164,37 @@ def page_of_rows(spark, sf):
     return ranking.page(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 3, 50)
 
 
+@query(
+    "page_of_rows_facts",
+    """SELECT count(*) AS total_rows, 11 AS total_columns, 3 AS columns_truncated, 3 AS page,
+              50 AS page_size FROM lineitem""",
+)
+def page_of_rows_facts(spark, sf):
+    return ranking.page_facts(table(spark, sf, "lineitem"), 3, 50, width=8)
+
+
+@query(
+    "page_of_rows_after",
+    """SELECT o_custkey, o_orderkey FROM orders WHERE (o_custkey, o_orderkey) > (100, 50)
+       ORDER BY o_custkey, o_orderkey LIMIT 100""",
+)
+def page_of_rows_after(spark, sf):
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    return ranking.page_after(orders, ["o_custkey", "o_orderkey"], (100, 50), 100)
+
+
+@query("newest_first_ranked", """SELECT o_orderkey, row_number() OVER (
+           ORDER BY CAST(o_orderdate AS VARCHAR) DESC, o_orderkey) - 1 AS place
+       FROM orders ORDER BY place LIMIT 1000""")
+def newest_first_ranked(spark, sf):
+    """The first thousand of the newest, with the place each has in the result."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("string").alias("day")
+    )
+    newest = ranking.newest_first(orders, "day", "o_orderkey").limit(1000).coalesce(1)
+    return newest.select("o_orderkey", F.monotonically_increasing_id().alias("place"))
+
+
 @query(
     "head_of_rows",
     """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem

@@ -363,3 +363,41 @@ def storage_per_owner(spark, sf):
     )
     references = rollups.distinct_references(reference_sources(spark, sf))
     return rollups.storage_per_owner(references, orders.unionByName(parts), quota=12_000)
+
+
+@query(
+    "join_live_references",
+    """WITH d AS (SELECT 'd' || o_orderkey AS path, CASE o_orderstatus WHEN 'F' THEN 'cancelled' ELSE 'ready' END AS status,
+                         CASE WHEN o_totalprice < 50000 THEN o_orderdate END AS deleted_at FROM orders),
+       c AS (SELECT 'd' || l_orderkey AS i, 'v' || l_partkey AS o,
+                    CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'N' THEN 'pending' ELSE 'failed' END AS status,
+                    l_suppkey AS task_id FROM lineitem WHERE l_quantity < 3),
+       r AS (SELECT 'r' || event_id AS path, event_type AS status FROM events)
+       SELECT path FROM d WHERE status <> 'cancelled' AND deleted_at IS NULL
+       UNION SELECT i FROM c UNION SELECT o FROM c WHERE status = 'completed'
+       UNION SELECT o FROM c WHERE status = 'pending' AND task_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)
+       UNION SELECT path FROM r WHERE status = 'purchase'""",
+)
+def join_live_references(spark, sf):
+    """Orders stand for datasets, line items of small quantity for changes, events for reports."""
+    status = F.when(F.col("o_orderstatus") == "F", "cancelled").otherwise("ready")
+    datasets = table(spark, sf, "orders").select(
+        F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("stored_path"),
+        status.alias("status"),
+        F.when(F.col("o_totalprice") < 50_000, F.col("o_orderdate")).alias("deleted_at"),
+    )
+    state = F.when(F.col("l_returnflag") == "A", "completed").when(F.col("l_returnflag") == "N", "pending")
+    changes = table(spark, sf, "lineitem", {"l_quantity": {"lte": 2}}).select(
+        F.concat(F.lit("d"), F.col("l_orderkey").cast("string")).alias("input_path"),
+        F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("output_path"),
+        state.otherwise("failed").alias("status"),
+        F.col("l_suppkey").alias("task_id"),
+    )
+    kind = F.when(F.col("event_type") == "purchase", "completed").otherwise("failed")
+    reports = table(spark, sf, "events").select(
+        F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("file_path"), kind.alias("status")
+    )
+    active = table(spark, sf, "supplier").filter("s_acctbal > 5000")
+    return joins.live_references(
+        datasets, changes, reports, active.select(F.col("s_suppkey").alias("task_id"))
+    )

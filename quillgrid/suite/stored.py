@@ -98,8 +98,12 @@ def header_first(header: str):
     def run(batches):
         import pyarrow as pa
 
-        yield pa.RecordBatch.from_pydict({"value": [header]})
-        yield from batches
+        first = True
+        for batch in batches:
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], schema=batch.schema)
+            first = False
+            yield batch
 
     return run
 
@@ -165,17 +169,18 @@ def source_parquet_pushed_filter(spark, sf):
 
 
 def by_segment(spark, sf, fmt):
-    """Customers in one folder and one file per market segment."""
+    """Customers in a folder per market segment and one of eight parts of it, each one file."""
     path = work_folder(spark, fmt)
-    customers = table(spark, sf, "customer")
-    customers.write.partitionBy("c_mktsegment").format(fmt).save(path)
+    customers = table(spark, sf, "customer").withColumn("part", F.col("c_custkey") % 8)
+    dealt = customers.repartition("c_mktsegment", "part")
+    dealt.write.partitionBy("c_mktsegment", "part").format(fmt).save(path)
     return path
 
 
 @query(
     "file_inventory",
-    """SELECT c_mktsegment AS segment, CAST(1 AS BIGINT) AS files, true AS sized FROM customer
-       GROUP BY c_mktsegment""",
+    """SELECT c_mktsegment AS segment, count(DISTINCT c_custkey % 8) AS files, true AS sized
+       FROM customer GROUP BY c_mktsegment""",
 )
 def file_inventory(spark, sf):
     files = inventory.file_inventory(spark, by_segment(spark, sf, "parquet"), "*.parquet")

@@ -180,3 +180,48 @@ def test_a_row_without_a_status_is_not_stuck(spark):
     got = joins.reconcile(entities, active, "id", F.lit(50), {"working": "ready"}, clear=["lease"])
     state = sorted((r["id"], r["status"], r["reconciled"], r["lease"]) for r in got.collect())
     assert state == [(1, None, False, "a"), (2, "ready", True, None), (3, "working", False, "c")]
+
+
+def test_live_references(spark):
+    datasets = spark.createDataFrame(
+        [("a", "ready", None), ("b", "cancelled", None), ("c", "ready", 1), ("d", None, None), ("", "ready", None)],
+        "stored_path string, status string, deleted_at int",
+    )
+    changes = spark.createDataFrame(
+        [("i1", "o1", "completed", "t1"), ("i2", "o2", "pending", "t2"), ("i3", "o3", "pending", "t3"),
+         (None, "o4", "undone", None), ("i1", "o5", "failed", "t2")],
+        "input_path string, output_path string, status string, task_id string",
+    )
+    reports = spark.createDataFrame([("r1", "completed"), ("r2", "failed")], "file_path string, status string")
+    active = spark.createDataFrame([("t2",)], "task_id string")
+    found = joins.live_references(datasets, changes, reports, active).collect()
+    assert sorted(r["path"] for r in found) == ["a", "d", "i1", "i2", "i3", "o1", "o2", "o4", "r1"]
+
+
+def test_outcomes_by_kind_of_job(spark):
+    datasets = spark.createDataFrame(
+        [(1, "queued", 1, None), (2, "queued", 1, None), (3, "profiling", 1, None), (4, "ready", 1, None),
+         (5, "transforming", 2, None), (6, "transforming", 3, None), (7, "transforming", 2, None), (8, "x", 1, 5)],
+        "id int, status string, version int, deleted_at int",
+    )
+    ended = spark.createDataFrame(
+        [("import", 1, None, True), ("import", 2, None, False), ("profile", 3, None, False),
+         ("profile", 4, None, True), ("transformation", 5, 50, False), ("transformation", 6, 60, False),
+         ("transformation", 7, 70, True)],
+        "kind string, dataset_id int, change_id int, cancelled boolean",
+    )
+    changes = spark.createDataFrame(
+        [(50, "processing", 2, "m"), (60, "processing", 2, None), (70, "completed", 2, "n"), (80, None, 1, "k")],
+        "id int, status string, expected_version int, error_message string",
+    )
+    got = joins.settle_datasets(datasets, ended, changes, F.lit(9)).orderBy("id").collect()
+    assert [(r["status"], r["deleted_at"]) for r in got] == [
+        ("cancelled", 9), ("failed", None), ("ready", None), ("ready", None),
+        ("ready", None), ("transforming", None), ("transforming", None), ("x", 5),
+    ]
+    by_change = ended.filter("change_id IS NOT NULL").withColumnRenamed("change_id", "id")
+    moved = joins.settle_outcomes(changes, by_change, "id", ("completed", "undone"), "timed out", ("expected_version",))
+    assert [tuple(r) for r in moved.orderBy("id").collect()] == [
+        (50, "failed", None, "timed out"), (60, "failed", None, "timed out"),
+        (70, "completed", 2, "n"), (80, None, 1, "k"),
+    ]
