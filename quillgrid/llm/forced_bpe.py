@@ -14,7 +14,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +25,10 @@ from quillgrid.llm.common import carried, slices
 #: The tokenizer file is broadcast; a larger one is refused.
 MOST_FILE_BYTES = 64 << 20
 #: Words and fragments that one task remembers before it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+#: Fragments up to this size are merged without a queue.
+FEW_SYMBOLS = 32
+NEVER = 1 << 60
 #: Longer words are encoded but not remembered.
 CACHE_LENGTH = 256
 
@@ -43,6 +46,22 @@ def byte_symbols() -> list[str]:
     return symbols
 
 
+class Remembered(dict):
+    """Packed words by word; a missing one is encoded, and kept unless it is very long."""
+
+    def __init__(self, encode: Callable[[str], tuple[bytes, str]]) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        found = self.encode(word)
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class ForcedBpe:
     """Encoder and decoder over one parsed tokenizer file."""
 
@@ -62,11 +81,10 @@ class ForcedBpe:
         self.symbols = byte_symbols()
         rules = parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(rules)
-        self.spaces = regex.compile(r"\s+")
         self.special = regex.compile(
             "(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len)[::-1]) + ")"
         )
-        self.packed: dict[str, tuple[bytes, str]] = {}
+        self.packed = Remembered(self._pack)
         self.fragments: dict[tuple[str, ...], list[str]] = {}
 
     def _inside_pairs(self) -> set[tuple[str, str]]:
@@ -82,9 +100,11 @@ class ForcedBpe:
         return found
 
     def normal(self, text: str) -> str:
-        """Composed, white space as one space, lower case character by character."""
-        text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # no final form of sigma
+        """Composed and in lower case character by character.
+
+        White space is in no word, so it may stay as it is.
+        """
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
 
     def cut(self, symbols: list[str]) -> list[list[str]]:
         """The symbols of a word, split at every pair that no token has inside."""
@@ -97,7 +117,26 @@ class ForcedBpe:
         return pieces
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Merges by rank, then from the left, with a queue of pairs over a linked list."""
+        """Merges by rank, then from the left: by looking for the best pair if there are few."""
+        if len(symbols) > FEW_SYMBOLS:
+            return self.merge_many(symbols)
+        symbols, rank_of = list(symbols), self.ranks.get
+        ranks = [rank_of(pair, NEVER) for pair in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
+                break
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((symbols[i - 1], symbols[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank_of((symbols[i], symbols[i + 1]), NEVER)
+        return symbols
+
+    def merge_many(self, symbols: list[str]) -> list[str]:
+        """The same with a queue of pairs over a linked list."""
         count = len(symbols)
         symbols, after, before = list(symbols), list(range(1, count + 1)), list(range(-1, count - 1))
         queue = [
@@ -142,30 +181,18 @@ class ForcedBpe:
         return tokens
 
     def _pack(self, word: str) -> tuple[bytes, str]:
-        found = self.packed.get(word)
-        if found is None:
-            tokens = self.word(word)
-            ids = b"".join(self.vocabulary[t].to_bytes(4, "little") for t in tokens)
-            found = ids, " ".join(tokens)
-            if len(word) <= CACHE_LENGTH:
-                if len(self.packed) >= CACHE_WORDS:
-                    self.packed.clear()
-                self.packed[word] = found
-        return found
+        tokens = self.word(word)
+        return b"".join([self.vocabulary[t].to_bytes(4, "little") for t in tokens]), " ".join(tokens)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and their tokens joined by spaces."""
-        ids, tokens = [], []
+        found: list[tuple[bytes, str]] = []
         for part in self.special.split(text) if "<|" in text else (text,):
             if part in self.specials:
-                ids.append(self.specials[part].to_bytes(4, "little"))
-                tokens.append(part)
-                continue
-            for word in self.words.findall(self.normal(part)):
-                packed = self._pack(word)
-                ids.append(packed[0])
-                tokens.append(packed[1])
-        return b"".join(ids), " ".join(tokens)
+                found.append((self.specials[part].to_bytes(4, "little"), part))
+            else:
+                found += map(self.packed.__getitem__, self.words.findall(self.normal(part)))
+        return b"".join([ids for ids, _ in found]), " ".join([tokens for _, tokens in found])
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids joined by spaces: what a file without a decoder asks for."""
