@@ -88,6 +88,25 @@ def key_figure(df: DataFrame, column: str, aggregation: str | None = None, title
     return df.agg(value.alias("value")).select(F.lit(title).alias("label"), "value")
 
 
+def key_figures(df: DataFrame, column: str, titles: dict[str, str]) -> DataFrame:
+    """A row for each title and its aggregate of the column, all from one scan, as doubles."""
+    dtype = type_of(df, column)
+    found = df.agg(
+        *[_aggregate(col(column), dtype, a).alias(str(i)) for i, a in enumerate(titles.values())]
+    )
+    entries = [
+        F.struct(F.lit(title).alias("label"), F.col(str(i)).cast("double").alias("value"))
+        for i, title in enumerate(titles)
+    ]
+    return found.select(F.inline(F.array(*entries)))
+
+
+def key_figures_lenient(df: DataFrame, column: str, aggregations: list[str]) -> DataFrame:
+    """The same over the readable numbers of a column, each titled after itself."""
+    slim = df.select(measure(col(column), type_of(df, column)).alias("value"))
+    return key_figures(slim, "value", {f"{a} of {column}": a for a in aggregations})
+
+
 def _rounded_edge(edge: Column, precision: Column) -> Column:
     """An edge at the given number of decimals, significant ones where it is below 1."""
     size = F.abs(edge)
@@ -274,16 +293,16 @@ def build_chart(df: DataFrame, spec: dict, order: list[Column] | None = None) ->
     if kind == "table":
         return table_rows(rows, order)
     if kind == "kpi":
-        column = _require(df, y or x, "Invalid value column.")
+        column = _require(df, y or x, "No such value column.")
         return key_figure(rows, column, aggregation, spec.get("title", ""))
-    x = _require(df, x, "Invalid X column.")
+    x = _require(df, x, "No such x column.")
     if kind == "histogram":
         return histogram(rows, x)
     if kind == "pie":
         if y in df.columns:
             return grouped_series(rows, x, y, aggregation, PIE_GROUPS)
         return category_counts(rows, x)
-    return grouped_series(rows, x, _require(df, y, "Invalid Y column."), aggregation)
+    return grouped_series(rows, x, _require(df, y, "No such y column."), aggregation)
 
 
 def build_chart_lenient(

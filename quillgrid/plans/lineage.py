@@ -203,9 +203,9 @@ def undo_one(lineage: DataFrame, dataset_id, user_id, moment: Column) -> DataFra
     candidate = undo_candidates(lineage.filter(F.col("dataset_id") == dataset_id)).filter(mine)
     found = candidate.select("allowed").first()
     if found is None:
-        raise ValueError("There is no completed transformation to undo.")
+        raise ValueError("Nothing to undo: no completed change is left.")
     if not found["allowed"]:
-        raise ValueError("The latest transformation is no longer the active dataset version.")
+        raise ValueError("The newest change does not belong to the active version.")
     return undo_latest(lineage, moment, only=mine)
 
 

@@ -120,13 +120,15 @@ def chart_pie_counts_missing(spark, sf):
         UNION ALL SELECT 'max', max(value) FROM g""",
 )
 def chart_kpi_each(spark, sf):
-    events = gappy_events(spark, sf)
-    result = None
-    for aggregation in charts.AGGREGATIONS:
-        digits = 9 if aggregation == "mean" else 2
-        one = rounded(charts.key_figure(events, "value", aggregation, aggregation), digits)
-        result = one if result is None else result.unionByName(one)
-    return result
+    titles = {aggregation: aggregation for aggregation in charts.AGGREGATIONS}
+    return rounded_figures(charts.key_figures(gappy_events(spark, sf), "value", titles))
+
+
+def rounded_figures(figures):
+    """Means to nine digits and all else to two: sums of doubles depend on their order."""
+    mean = F.col("label").startswith("mean")
+    value = F.when(mean, F.round("value", 9)).otherwise(F.round("value", 2))
+    return figures.withColumn("value", value)
 
 
 @query(
@@ -316,13 +318,7 @@ _lenient("max", "max(v)")
 )
 def lenient_kpi(spark, sf):
     events = lenient_events(spark, sf)
-    result = None
-    for aggregation in charts.AGGREGATIONS:
-        digits = 9 if aggregation == "mean" else 2
-        figure = charts.build_chart_lenient(events, "kind", "amount", aggregation, "kpi")
-        one = rounded(figure, digits)
-        result = one if result is None else result.unionByName(one)
-    return result
+    return rounded_figures(charts.key_figures_lenient(events, "amount", charts.AGGREGATIONS))
 
 
 @query(

@@ -64,9 +64,9 @@ def test_chart_errors(spark):
     df = spark.createDataFrame([("a", 1)], "k string, v int")
     for spec, message in [
         ({"chart_type": "radar"}, "Unsupported chart type"),
-        ({"chart_type": "bar", "x_column": "none", "y_column": "v"}, "Invalid X"),
-        ({"chart_type": "bar", "x_column": "k", "y_column": "none"}, "Invalid Y"),
-        ({"chart_type": "kpi", "y_column": "none"}, "Invalid value"),
+        ({"chart_type": "bar", "x_column": "none", "y_column": "v"}, "No such x"),
+        ({"chart_type": "bar", "x_column": "k", "y_column": "none"}, "No such y"),
+        ({"chart_type": "kpi", "y_column": "none"}, "No such value"),
         ({"chart_type": "bar", "x_column": "v", "y_column": "k", "aggregation": "sum"}, "numeric"),
     ]:
         with pytest.raises(ValueError, match=message):
