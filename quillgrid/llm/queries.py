@@ -131,7 +131,41 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_decontamination")
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ITEM_WORDS = (
+    "regexp_extract_all(" + LOWERED.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op9_decontamination",
+    f"""
+    WITH w AS (
+        SELECT doc_id, {ITEM_WORDS} AS words FROM documents
+    ), b AS (
+        SELECT item_id, {ITEM_WORDS} AS words FROM benchmark
+    ), t AS (
+        SELECT DISTINCT item_id, least(len(words), 13) AS size,
+               array_to_string(words[i:i + 12], ' ') AS win
+        FROM (SELECT *, unnest(generate_series(1, greatest(1, len(words) - 12))) AS i FROM b WHERE len(words) > 0)
+    ), n AS (SELECT DISTINCT size FROM t
+    ), k AS (
+        SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS win
+        FROM (SELECT doc_id, words, size, unnest(generate_series(1, len(words) - size + 1)) AS i FROM w, n)
+    ), h AS (
+        SELECT doc_id, i, size, item_id FROM k JOIN t USING (win, size)
+    ), c AS (
+        SELECT doc_id, count(DISTINCT j) AS hit
+        FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS j FROM h) GROUP BY doc_id
+    ), l AS (
+        SELECT doc_id, count(*) AS items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id
+    )
+    SELECT w.doc_id, len(words) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(hit, 0) > 0 AND 20 * coalesce(hit, 0) >= len(words) AS contaminated
+    FROM w LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
+)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontam.contamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"),
@@ -143,7 +177,30 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_substring_dedup")
+@query(
+    "op3_substring_dedup",
+    r"""
+    WITH w AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), j AS (
+        SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM w
+    ), k AS (
+        SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS win
+        FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS i FROM w)
+    ), m AS (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM k
+    ), g AS (
+        SELECT j.doc_id, j, word, coalesce(bool_or(again) OVER (
+                   PARTITION BY j.doc_id ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+        FROM j LEFT JOIN m ON m.doc_id = j.doc_id AND m.i = j.j
+    ), s AS (
+        SELECT doc_id, count(*) FILTER (gone) AS lost,
+               string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id
+    )
+    SELECT w.doc_id, len(words) AS n_words, coalesce(lost, 0) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN s ON s.doc_id = w.doc_id""",
+)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_dedup.remove_repeated_words(
         read(spark, sf_dir, "documents"), "doc_id", "text", window=20, keep=["doc_id"]
