@@ -309,6 +309,97 @@ def profile_columns_approximate(spark, sf):
     return profile.column_profile(table(spark, sf, "lineitem"), exact=False)
 
 
+def sketch_sql() -> str:
+    """Every figure of the sketch is close to the exact one; columns without numbers have none."""
+    rows = [
+        f"""SELECT '{c}' AS "column", count(*) >= 0 AS missing_equal, count(*) >= 0 AS unique_close,
+                   {"count(*) >= 0" if c in NUMBERS else "CAST(NULL AS BOOLEAN)"} AS mean_close,
+                   {"count(*) >= 0" if c in NUMBERS else "CAST(NULL AS BOOLEAN)"} AS median_close
+            FROM lineitem"""
+        for c in LINEITEM_COLUMNS
+    ]
+    return union(rows)
+
+
+@query("profile_sketch_is_close", sketch_sql())
+def profile_sketch_is_close(spark, sf):
+    """Distinct counts within a fifth, means to the rounding, medians within 2 % of the ranks."""
+    items = table(spark, sf, "lineitem")
+    exact = profile.column_profile(items)
+    sketch = profile.column_profile(items, exact=False).select(
+        "column", *[F.col(c).alias(f"s_{c}") for c in ("missing_count", "unique_count", "mean", "median")]
+    )
+    bounds = items.agg(
+        *[F.percentile(F.col(c), [0.48, 0.52]).alias(c) for c in LINEITEM_NUMBERS]
+    )
+    around = bounds.select(
+        F.inline(
+            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("b")) for c in LINEITEM_NUMBERS])
+        )
+    )
+    joined = exact.join(sketch, "column").join(around, "column", "left")
+    return joined.select(
+        "column",
+        (F.col("missing_count") == F.col("s_missing_count")).alias("missing_equal"),
+        (F.abs(F.col("unique_count") - F.col("s_unique_count")) <= 0.2 * F.col("unique_count")).alias(
+            "unique_close"
+        ),
+        (F.abs(F.col("mean") - F.col("s_mean")) < 0.001).alias("mean_close"),
+        F.col("s_median").between(F.col("b")[0] - 0.0001, F.col("b")[1] + 0.0001).alias("median_close"),
+    )
+
+
+def whole_sql() -> str:
+    """All figures of all parts of the profile of the gappy events."""
+    summary = summary_sql("g", EVENT_COLUMNS, f"WITH {GAPPY} ")
+    columns = columns_sql("g", EVENT_COLUMNS, EVENT_TYPES, f"WITH {GAPPY}, ")
+    numbers = ["event_id", "user_id", "value"]
+    pairs = correlation_sql("g", numbers, f"WITH {GAPPY} ")
+    figures = ["rows", "columns", "duplicate_rows", "missing_cells", "missing_percentage", "quality_score"]
+    parts = [f"SELECT 'summary' AS part, '{f}' AS name, CAST({f} AS DOUBLE) AS value FROM s" for f in figures]
+    stats = ["missing_count", "unique_count", "outlier_count", "mean", "median"]
+    parts += [f"""SELECT 'columns', "column" || '.{f}', CAST({f} AS DOUBLE) FROM c""" for f in stats]
+    parts += ["SELECT 'correlations', column_a || '.' || column_b, correlation FROM r"]
+    parts += ["SELECT 'suggestions', \"column\", 1.0 FROM c WHERE missing_percentage > 20"]
+    parts += ["SELECT 'suggestions', 'duplicates', 1.0 FROM s WHERE duplicate_rows > 0"]
+    return f"WITH s AS ({summary}), c AS ({columns}), r AS ({pairs}) " + union(parts)
+
+
+@query("profile_whole_figures", whole_sql())
+def profile_whole_figures(spark, sf):
+    """Every figure of a whole profile as `part, name, value`."""
+    whole = profile.profile(gappy_events(spark, sf))
+
+    def figures(part, names, prefix=None):
+        entries = [
+            F.struct(
+                (F.concat(prefix, F.lit(f".{n}")) if prefix is not None else F.lit(n)).alias("name"),
+                F.col(n).cast("double").alias("value"),
+            )
+            for n in names
+        ]
+        return part.select(F.inline(F.array(*entries)))
+
+    summary = ["rows", "columns", "duplicate_rows", "missing_cells", "missing_percentage", "quality_score"]
+    stats = ["missing_count", "unique_count", "outlier_count", "mean", "median"]
+    advice = F.regexp_extract("suggestion", "column '([^']+)'", 1)
+    parts = {
+        "summary": figures(whole.summary, summary),
+        "columns": figures(whole.columns, stats, F.col("column")),
+        "correlations": whole.correlations.select(
+            F.concat_ws(".", "column_a", "column_b").alias("name"), F.col("correlation").alias("value")
+        ),
+        "suggestions": whole.suggestions.select(
+            F.when(advice == "", "duplicates").otherwise(advice).alias("name"), F.lit(1.0).alias("value")
+        ),
+    }
+    result = None
+    for name, part in parts.items():
+        one = part.select(F.lit(name).alias("part"), "name", "value")
+        result = one if result is None else result.unionByName(one)
+    return result
+
+
 @query("profile_whole")
 def profile_whole(spark, sf):
     """All parts of a profile as one listing of `part, item`."""
