@@ -51,3 +51,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first `limit` rows in the order given, or all rows where it is None."""
+    return df if limit is None else df.limit(limit)

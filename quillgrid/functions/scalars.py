@@ -24,8 +24,10 @@ def half_even(value: Column, digits: int = 0) -> Column:
     return F.bround(value, digits)
 
 
-def cut_text(value: Column, limit: int = PREVIEW_CELL_CHARS) -> Column:
-    """Text longer than `limit` becomes its first `limit` characters and a marker."""
+def cut_text(value: Column, limit: int | None = PREVIEW_CELL_CHARS) -> Column:
+    """Text longer than `limit` (None: no text) becomes its first `limit` characters and a marker."""
+    if limit is None:
+        return value
     return F.when(
         F.length(value) > limit, F.concat(F.substring(value, 1, limit), F.lit(CUT_MARKER))
     ).otherwise(value)
@@ -147,7 +149,7 @@ def label_text(value: Column, dtype: T.DataType) -> Column:
     return short_double_text(value) if is_floating(dtype) else value_text(value, dtype)
 
 
-def preview_value(value: Column, dtype: T.DataType, limit: int = PREVIEW_CELL_CHARS) -> Column:
+def preview_value(value: Column, dtype: T.DataType, limit: int | None = PREVIEW_CELL_CHARS) -> Column:
     """One preview cell: bytes as a size, long text cut, times as ISO-8601."""
     if isinstance(dtype, T.BinaryType):
         return byte_placeholder(value)

@@ -16,13 +16,13 @@ def search_columns(df: DataFrame, text: str) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if text.lower() in c.lower()])
 
 
-def truncate_columns(df: DataFrame, limit: int = PREVIEW_COLUMNS) -> tuple[DataFrame, int]:
-    """The first `limit` columns, and how many were hidden."""
+def truncate_columns(df: DataFrame, limit: int | None = PREVIEW_COLUMNS) -> tuple[DataFrame, int]:
+    """The first `limit` columns (None: all), and how many were hidden."""
     kept = df.columns[:limit]
     return df.select(*[col(c) for c in kept]), len(df.columns) - len(kept)
 
 
-def preview_cells(df: DataFrame, limit: int = PREVIEW_CELL_CHARS) -> DataFrame:
+def preview_cells(df: DataFrame, limit: int | None = PREVIEW_CELL_CHARS) -> DataFrame:
     """Every cell in the form a preview prints."""
     return df.select(
         *[preview_value(col(f.name), f.dataType, limit).alias(f.name) for f in df.schema.fields]

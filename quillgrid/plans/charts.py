@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.functions.columns import col, is_numeric, type_of
+from quillgrid.functions.columns import col, first_rows, is_numeric, type_of
 from quillgrid.functions.scalars import (
     display_number,
     double_text,
@@ -51,7 +51,7 @@ def _require(df: DataFrame, name: str | None, message: str) -> str:
 
 
 def grouped_series(
-    df: DataFrame, x: str, y: str, aggregation: str | None = None, limit: int = SERIES_GROUPS
+    df: DataFrame, x: str, y: str, aggregation: str | None = None, limit: int | None = SERIES_GROUPS
 ) -> DataFrame:
     """`label, value` per group in key order, the missing key last.
 
@@ -61,12 +61,12 @@ def grouped_series(
     value = _aggregate(col(y), type_of(df, y), aggregation or "sum")
     groups = df.groupBy(col(x).alias("_key")).agg(value.alias("value"))
     shown = groups.filter(F.col("value").isNotNull())
-    shown = shown.orderBy(F.col("_key").asc_nulls_last()).limit(limit)
+    shown = first_rows(shown.orderBy(F.col("_key").asc_nulls_last()), limit)
     label = F.coalesce(value_text(F.col("_key"), type_of(df, x)), F.lit(MISSING_LABEL))
     return shown.select(label.alias("label"), "value")
 
 
-def category_counts(df: DataFrame, x: str, limit: int = PIE_GROUPS) -> DataFrame:
+def category_counts(df: DataFrame, x: str, limit: int | None = PIE_GROUPS) -> DataFrame:
     """The most frequent categories, missing ones counted under their text form."""
     dtype = type_of(df, x)
 
@@ -79,7 +79,7 @@ def category_counts(df: DataFrame, x: str, limit: int = PIE_GROUPS) -> DataFrame
         # Count the keys themselves and turn only the distinct ones into text.
         groups = df.groupBy(col(x).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
         counts = groups.groupBy(label(F.col("_key"))).agg(F.sum("n").alias("value"))
-    return counts.orderBy(F.col("value").desc(), F.col("label").asc()).limit(limit)
+    return first_rows(counts.orderBy(F.col("value").desc(), F.col("label").asc()), limit)
 
 
 def key_figure(df: DataFrame, column: str, aggregation: str | None = None, title: str = ""):
@@ -264,26 +264,31 @@ def key_figure_lenient(df: DataFrame, column: str, aggregation: str = "count") -
     )
 
 
-def shares(series: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """`label, value, percent` of the first eight slices, negatives counted as 0.
+def shares(
+    series: DataFrame, order: list[Column] | None = None, limit: int = SHARE_SLICES
+) -> DataFrame:
+    """`label, value, percent` of the first slices, negatives counted as 0.
 
-    The total is taken over those eight rows, which the limit has already brought together.
+    The total is taken over those rows, which the limit has already brought together.
     """
-    first = (series.orderBy(*order) if order else series).limit(SHARE_SLICES)
+    first = (series.orderBy(*order) if order else series).limit(limit)
     slices = first.select("label", F.greatest(F.col("value"), F.lit(0)).alias("value"))
     total = F.sum("value").over(Window.partitionBy(F.lit(0)))
     percent = F.round(F.try_divide(F.col("value"), total) * 100, 1)
     return slices.withColumn("percent", F.coalesce(percent, F.lit(0.0)))
 
 
-def table_rows(df: DataFrame, order: list[Column] | None = None, limit: int = TABLE_ROWS):
+def table_rows(
+    df: DataFrame, order: list[Column] | None = None, limit: int | None = TABLE_ROWS
+) -> DataFrame:
     """The first rows by the given keys; without keys, any rows."""
-    return (df.orderBy(*order) if order else df).limit(limit)
+    return first_rows(df.orderBy(*order) if order else df, limit)
 
 
 def build_chart(df: DataFrame, spec: dict, order: list[Column] | None = None) -> DataFrame:
     """Chart data for a spec with `chart_type` and, as needed, `x_column`, `y_column`,
-    `aggregation`, `filters` and `title`. `order` sorts the rows of a table chart.
+    `aggregation`, `filters` and `title`. `order` sorts the rows of a table chart. `limit` in
+    the spec changes how many entries are shown; None shows all.
     """
     kind = spec.get("chart_type")
     if kind not in CHART_TYPES:
@@ -291,7 +296,7 @@ def build_chart(df: DataFrame, spec: dict, order: list[Column] | None = None) ->
     x, y, aggregation = spec.get("x_column"), spec.get("y_column"), spec.get("aggregation")
     rows = apply_filters(df, spec.get("filters"))
     if kind == "table":
-        return table_rows(rows, order)
+        return table_rows(rows, order, spec.get("limit", TABLE_ROWS))
     if kind == "kpi":
         column = _require(df, y or x, "No such value column.")
         return key_figure(rows, column, aggregation, spec.get("title", ""))
@@ -300,9 +305,10 @@ def build_chart(df: DataFrame, spec: dict, order: list[Column] | None = None) ->
         return histogram(rows, x)
     if kind == "pie":
         if y in df.columns:
-            return grouped_series(rows, x, y, aggregation, PIE_GROUPS)
-        return category_counts(rows, x)
-    return grouped_series(rows, x, _require(df, y, "No such y column."), aggregation)
+            return grouped_series(rows, x, y, aggregation, spec.get("limit", PIE_GROUPS))
+        return category_counts(rows, x, spec.get("limit", PIE_GROUPS))
+    y = _require(df, y, "No such y column.")
+    return grouped_series(rows, x, y, aggregation, spec.get("limit", SERIES_GROUPS))
 
 
 def build_chart_lenient(

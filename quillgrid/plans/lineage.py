@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.functions.columns import col
+from quillgrid.functions.columns import col, first_rows
 from quillgrid.operators.cleaning import ROW_PRESERVING, apply_operation
-from quillgrid.operators.columns import preview_cells, truncate_columns
+from quillgrid.operators.columns import PREVIEW_COLUMNS, preview_cells, truncate_columns
 from quillgrid.operators.ranking import latest_per_key
 from quillgrid.operators.rules import check_structure
 from quillgrid.sources.writers import write_dataset
@@ -47,13 +47,27 @@ def preview_counts(df: DataFrame, operation: str, parameters: dict | None = None
 
 
 def preview_sample(
-    df: DataFrame, operation: str, parameters: dict | None = None, order: list[Column] | None = None
-) -> DataFrame:
-    """The first rows after a step, in display form; `order` gives the row order."""
+    df: DataFrame, operation: str, parameters: dict | None = None, order: list[Column] | None = None,
+    rows: int | None = PREVIEW_ROWS, columns: int | None = PREVIEW_COLUMNS,
+) -> DataFrame:
+    """The first rows after a step, in display form; `order` gives the row order.
+
+    None for `rows` or `columns` shows all; see preview_hidden for what is left out.
+    """
+    after = check_structure(apply_operation(df, operation, parameters))
+    first = first_rows(after.orderBy(*order) if order else after, rows)
+    return preview_cells(truncate_columns(first, columns)[0])
+
+
+def preview_hidden(
+    df: DataFrame, operation: str, parameters: dict | None = None,
+    rows: int | None = PREVIEW_ROWS, columns: int | None = PREVIEW_COLUMNS,
+) -> DataFrame:
+    """One row `columns_truncated, rows_hidden`: what a preview of the step does not show."""
     after = check_structure(apply_operation(df, operation, parameters))
-    shown, _ = truncate_columns(after.orderBy(*order).limit(PREVIEW_ROWS) if order else
-                                after.limit(PREVIEW_ROWS))
-    return preview_cells(shown)
+    hidden = truncate_columns(after, columns)[1]
+    left = F.lit(0).cast("bigint") if rows is None else F.greatest(F.count(F.lit(1)) - rows, F.lit(0))
+    return after.agg(F.lit(hidden).alias("columns_truncated"), left.alias("rows_hidden"))
 
 
 def _step_row(before: DataFrame, after: DataFrame, step: dict, number: int, version: int) -> tuple:

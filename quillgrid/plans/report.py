@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.functions.columns import first_rows
 from quillgrid.functions.scalars import double_text
+from quillgrid.operators.columns import truncate_columns
 from quillgrid.plans.profile import column_profile, suggestions_for, summary
 
 # How many columns and recommendations a report prints.
@@ -28,12 +30,14 @@ def executive_summary(df: DataFrame) -> DataFrame:
     return summary(df).select(F.inline(F.array(*rows)))
 
 
-def column_quality(df: DataFrame, exact: bool = True) -> DataFrame:
-    """The first 25 columns with type, missing share, distinct values and outliers.
+def column_quality(
+    df: DataFrame, exact: bool = True, limit: int | None = REPORT_COLUMNS
+) -> DataFrame:
+    """The first columns with type, missing share, distinct values and outliers.
 
-    Only those columns are profiled.
+    Only those columns are profiled; None profiles all.
     """
-    shown = df.select(*[df[f"`{c}`"] for c in df.columns[:REPORT_COLUMNS]])
+    shown = truncate_columns(df, limit)[0]
     return column_profile(shown, exact).select(
         "position",
         "column",
@@ -44,7 +48,7 @@ def column_quality(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
-def recommendations(df: DataFrame) -> DataFrame:
-    """The first 50 suggestions, numbered."""
-    first = suggestions_for(df).orderBy("position").limit(REPORT_SUGGESTIONS)
+def recommendations(df: DataFrame, limit: int | None = REPORT_SUGGESTIONS) -> DataFrame:
+    """The first suggestions, numbered; None prints all."""
+    first = first_rows(suggestions_for(df).orderBy("position"), limit)
     return first.select("position", F.concat(F.lit("- "), F.col("suggestion")).alias("line"))

@@ -41,6 +41,15 @@ def preview_step_sample(spark, sf):
     return lineage.preview_sample(events, "fill_nulls", fill, [F.col("event_id").asc()])
 
 
+@query(
+    "preview_step_hidden",
+    "SELECT 4 AS columns_truncated, CAST(greatest(count(*) - 20, 0) AS BIGINT) AS rows_hidden FROM events",
+)
+def preview_step_hidden(spark, sf):
+    fill = {"values": {"value": 0}}
+    return lineage.preview_hidden(gappy_events(spark, sf), "fill_nulls", fill, columns=2)
+
+
 LINEAGE_SQL = f"""{PIPELINE_SQL}, n AS (
     SELECT (SELECT count(*) FROM g) AS all_rows,
            (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type, amount FROM f)) AS kept),

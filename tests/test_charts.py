@@ -160,3 +160,12 @@ def test_shares(spark, rows):
     assert found == [("Computers", 250.0, 76.9), ("Furniture", 75.0, 23.1), ("Loss", 0.0, 0.0)]
     nothing = spark.createDataFrame([("a", -1.0)], "label string, value double")
     assert rows(charts.shares(nothing)) == [("a", 0.0, 0.0)]
+
+
+def test_limits_can_be_lifted(spark):
+    df = spark.range(300).selectExpr("id AS k", "id AS v")
+    for kind, shown in (("bar", 100), ("pie", 20), ("table", 100)):
+        spec = {"chart_type": kind, "x_column": "k", "y_column": "v"}
+        assert charts.build_chart(df, spec).count() == shown
+        assert charts.build_chart(df, spec | {"limit": 7}).count() == 7
+        assert charts.build_chart(df, spec | {"limit": None}).count() == 300
