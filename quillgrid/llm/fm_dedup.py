@@ -178,16 +178,24 @@ def earlier_windows(window: int):
 def word_units(batch: pa.RecordBatch) -> Units:
     raw, offsets = text_buffer(batch.column("text"))
     starts, stops, owner = word_spans(WORD[raw], offsets)
-    data, begin, end = raw.tobytes(), starts.tolist(), stops.tolist()
-    flat = b" ".join([data[a:b] for a, b in zip(begin, end)])
     lengths = stops - starts
-    place = (np.cumsum(lengths + 1) - lengths - 1).tolist()
-    lengths = lengths.tolist()
+    place = np.cumsum(lengths + 1) - lengths - 1
+    joined: list[bytes] = []
 
     def content(first: int, stop: int) -> bytes:
-        return flat[place[first] : place[stop - 1] + lengths[stop - 1]]
-
-    return Units(span_hashes(raw, starts, stops), owner, content)
+        if not joined:  # all words with one space behind each, made when it is first asked for
+            flat = np.full(int((lengths + 1).sum()), 32, np.uint8)
+            inside = np.ones(len(flat), bool)
+            inside[place + lengths] = False
+            flat[inside] = raw[WORD[raw]]
+            joined.append(flat.tobytes())
+        return joined[0][begin[first] : end[stop - 1]]
+
+    begin, end = place.tolist(), (place + lengths).tolist()
+    return Units(
+        len(starts), lambda at: span_hashes(raw, starts[at], stops[at]),
+        lambda at: owner if at is None else owner[at], content,
+    )
 
 
 def covered(marked: np.ndarray, window: int) -> np.ndarray:
@@ -223,9 +231,9 @@ def remove_repeated_words(
 
     def finish(batch: pa.RecordBatch, units: Units, marked: np.ndarray) -> dict:
         gone = covered(marked, window)
-        words = np.bincount(units.owner, minlength=batch.num_rows)
+        words = np.bincount(units.owner(None), minlength=batch.num_rows)
         ends = np.cumsum(words)
-        removed = np.bincount(units.owner[gone], minlength=batch.num_rows)
+        removed = np.bincount(units.owner(np.flatnonzero(gone)), minlength=batch.num_rows)
         kept, spans = [], []
         for end, count, lost in zip(ends.tolist(), words.tolist(), removed.tolist()):
             first = end - count

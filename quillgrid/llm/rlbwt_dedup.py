@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillgrid.llm.common import expanded, span_hashes, text_buffer
+from quillgrid.llm.common import expanded, span_hashes, text_buffer, text_lengths
 from quillgrid.llm.fm_dedup import covered
 from quillgrid.llm.window_exchange import Setting, Units, marked_rows
 
@@ -167,9 +167,16 @@ def repeated_windows(window: int):
 
 def byte_units(batch: pa.RecordBatch) -> Units:
     raw, offsets = text_buffer(batch.column("text"))
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
     data = raw.tobytes()
-    return Units(BYTE_HASH[raw], owner, lambda first, stop: data[first:stop])
+
+    def owner(at: np.ndarray | None) -> np.ndarray:
+        if at is None:
+            return np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        return np.searchsorted(offsets, at, "right") - 1
+
+    return Units(
+        len(raw), lambda at: BYTE_HASH[raw[at]], owner, lambda first, stop: data[first:stop]
+    )
 
 
 def remove_repeated_bytes(
@@ -197,8 +204,9 @@ def remove_repeated_bytes(
 
     def finish(batch: pa.RecordBatch, units: Units, marked: np.ndarray) -> dict:
         gone = covered(marked, window)
-        size = np.bincount(units.owner, minlength=batch.num_rows)
-        removed = np.bincount(units.owner[gone], minlength=batch.num_rows)
+        size = text_lengths(batch.column("text"))
+        lost_before = np.concatenate([[0], np.cumsum(gone)])
+        removed = np.diff(lost_before[np.concatenate([[0], np.cumsum(size)])])
         kept, spans = [], []
         for end, count, lost in zip(np.cumsum(size).tolist(), size.tolist(), removed.tolist()):
             first = end - count

@@ -46,10 +46,11 @@ LONGEST_RUN = 1024
 
 @dataclass(frozen=True)
 class Units:
-    """What windows are made of in one chunk: a hash and a document for each word or byte."""
+    """What windows are made of in one chunk: `count` words or bytes."""
 
-    hashes: np.ndarray
-    owner: np.ndarray
+    count: int
+    hashes: Callable[[np.ndarray | slice], np.ndarray]  # a hash of each of the given units
+    owner: Callable[[np.ndarray | None], np.ndarray]  # the document of the given, or of all units
     content: Callable[[int, int], bytes]  # the units from one up to another, as bytes
 
 
@@ -109,15 +110,16 @@ def occurrences(
 
 def fragments(units: Units, setting: Setting) -> tuple[np.ndarray, ...]:
     """Marker, first window, number of windows and occurrences of the marker of every fragment."""
-    count = len(units.hashes) - setting.window + 1
+    count = units.count - setting.window + 1
     if count <= 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    gram = grams(units.hashes, setting.gram)
+    gram = grams(units.hashes(slice(None)), setting.gram)
     marker = sliding_min(gram, setting.window - setting.gram + 1)
-    inside = units.owner[:count] == units.owner[setting.window - 1 :]
+    owner = units.owner(None)
+    inside = owner[:count] == owner[setting.window - 1 :]
     change = np.ones(count, bool)
-    change[1:] = (marker[1:] != marker[:-1]) | (units.owner[1:count] != units.owner[: count - 1])
+    change[1:] = (marker[1:] != marker[:-1]) | (owner[1:count] != owner[: count - 1])
     change[1:] |= inside[1:] != inside[:-1]
     first = np.flatnonzero(change)
     length = np.diff(np.append(first, count))
@@ -130,9 +132,14 @@ def fragments(units: Units, setting: Setting) -> tuple[np.ndarray, ...]:
     return marker[first], first, length, occurrences(gram, marker, first, length)
 
 
-def window_digests(hashes: np.ndarray, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of the windows that start at the given units."""
+def window_digests(
+    units: Units, window: int, first: np.ndarray, length: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each window of the given fragments; nothing else of the chunk is hashed."""
     size = 1 << (window.bit_length() - 1)
+    span = length + window - 1
+    hashes = units.hashes(expanded(first, span))
+    at = expanded(np.cumsum(span) - span, length)
     found = []
     for seed in (1, 2):
         parts = grams(hashes, size, seed)
@@ -195,7 +202,7 @@ class Chunk:
             b = int(bucket[part[0]])
             start = self.first[at][heads[part]]
             send.setdefault(b, {})["fragments"] = (
-                [bodies[i] for i in part.tolist()], documents[self.units.owner[start]], start,
+                [bodies[i] for i in part.tolist()], documents[self.units.owner(start)], start,
                 counts[part], self.length[at][heads[part]],
             )
             ours.setdefault(b, {})["fragments"] = [
@@ -204,7 +211,7 @@ class Chunk:
         crowd = np.flatnonzero(codes == CROWDED)
         if len(crowd):
             windows = expanded(self.first[crowd], self.length[crowd])
-            high, low = window_digests(self.units.hashes, window, windows)
+            high, low = window_digests(self.units, window, self.first[crowd], self.length[crowd])
             order = np.lexsort((windows, low, high))
             high, low, windows = high[order], low[order], windows[order]
             new = np.ones(len(high), bool)
@@ -217,14 +224,14 @@ class Chunk:
                 b = int(bucket[part[0]])
                 h = heads[part]
                 send.setdefault(b, {})["windows"] = (
-                    high[h], low[h], documents[self.units.owner[windows[h]]], windows[h], sizes[part]
+                    high[h], low[h], documents[self.units.owner(windows[h])], windows[h], sizes[part]
                 )
                 ours.setdefault(b, {})["windows"] = (h, sizes[part], windows)
         return send, ours
 
     def repeated(self, codes: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:
         """For every unit, whether the window that starts there is one to remove."""
-        marked = np.zeros(len(self.units.hashes), bool)
+        marked = np.zeros(self.units.count, bool)
         _, ours = self.requests(codes, buckets)
         first_stays = self.setting.keep_first
         for answer in answers:
@@ -294,8 +301,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None, se
                 number += 1
 
     made = rows.mapInArrow(run, "chunk long, blob binary, asked binary, fragments long")
-    dealt = made.repartition(shuffle_partitions(df.sparkSession), "chunk")
-    return checkpointed(dealt), rows.schema["row"].dataType
+    return checkpointed(made), rows.schema["row"].dataType
 
 
 def message(bucket: list, chunk: list, payload: list, more: dict | None = None) -> pa.RecordBatch:
