@@ -29,6 +29,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def co_located(df: DataFrame, *keys: str) -> DataFrame:
+    """Checkpointed and dealt by the keys, so that later joins on them move only the other side.
+
+    An adaptive plan does not tell how its rows are dealt, so this one table is planned without.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df.repartition(shuffle_partitions(df.sparkSession), *keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,6 +33,7 @@ from quillgrid.llm.common import (
     MIX_B,
     carried,
     checkpointed,
+    co_located,
     expanded,
     shuffle_partitions,
     slices,
@@ -301,7 +302,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None, se
                 number += 1
 
     made = rows.mapInArrow(run, "chunk long, blob binary, asked binary, fragments long")
-    return checkpointed(made), rows.schema["row"].dataType
+    return co_located(made, "chunk"), rows.schema["row"].dataType
 
 
 def message(bucket: list, chunk: list, payload: list, more: dict | None = None) -> pa.RecordBatch:
