@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import carried, slices, span_hashes, text_buffer, word_spans
 
 #: Labelled training documents of either class, drawn by a hash of their ids.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 3000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 1600
 #: Longer texts are scored whole but not drawn for training, which bounds the sample's bytes.
 LONGEST_SAMPLED = 32_768
 #: Likelihood ratio (G squared) from which a word beginning marks tokens, and its least support.
@@ -179,11 +179,12 @@ def token_labels(found: Tokens, labels: np.ndarray) -> np.ndarray:
     seen = np.unique(found.owner * np.int64(len(found.features) or 1) + found.number)
     document, word = np.divmod(seen, np.int64(len(found.features) or 1))
     size = np.bincount(labels, minlength=2).astype(float)
-    pairs = (document[:, None] * np.int64(SLOTS) + features[word]).ravel()
-    pairs = np.unique(pairs)
-    slot, owner = pairs % SLOTS, pairs // SLOTS
-    bad = np.bincount(slot, weights=labels[owner] == 1, minlength=SLOTS)
-    good = np.bincount(slot, weights=labels[owner] == 0, minlength=SLOTS)
+    bad, good = np.zeros(SLOTS), np.zeros(SLOTS)
+    for column in range(features.shape[1]):  # one kind of feature at a time bounds the memory
+        pairs = np.unique(document * np.int64(SLOTS) + features[word, column])
+        slot, bad_one = pairs % SLOTS, labels[pairs // SLOTS] == 1
+        bad += np.bincount(slot[bad_one], minlength=SLOTS)
+        good += np.bincount(slot[~bad_one], minlength=SLOTS)
     share = (bad + good) / max(size.sum(), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         part = bad * np.log(bad / (size[1] * share)) + np.where(
@@ -253,8 +254,12 @@ def calibrate(inputs: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return weights
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """A model from labelled texts; without texts of both classes every score is their rate."""
+def fit(texts: list[str], labels: list[int], known: tuple[int, int] | None = None) -> Model:
+    """A model from labelled texts; without texts of both classes every score is their rate.
+
+    `known` counts all clean and toxic documents the texts were drawn from; the scores are those
+    of documents mixed in that proportion.
+    """
     truth = np.array(labels, np.int64)
     found = tokens(pa.array(texts, pa.string()))
     if not len(found.number) or truth.min(initial=1) == truth.max(initial=0):
@@ -264,23 +269,31 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     weights, move = fit_chain(found, tags, len(texts))
     chain = Chain(np.bincount(found.owner, minlength=len(texts)))
     marginals, _, _ = chain.marginals(weights[slots(found.features)].sum(1)[found.number], move)
-    return Model(weights, move, calibrate(summary(marginals, found.owner, len(texts)), truth))
+    calibration = calibrate(summary(marginals, found.owner, len(texts)), truth)
+    if known is not None:
+        calibration[0] += np.log(known[1] / known[0]) - np.log(truth.sum() / (1 - truth).sum())
+    return Model(weights, move, calibration)
 
 
 def training_sample(
     df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
     may_learn: Column, toxic: int, clean: int,
-) -> tuple[list[str], list[int]]:
-    """Labelled texts, some `toxic` and `clean` at most, in the order of a hash of their ids."""
+) -> tuple[list[str], list[int], tuple[int, int]]:
+    """Labelled texts, some `toxic` and `clean` at most, in the order of a hash of their ids.
+
+    Also how many clean and toxic documents there are to draw from.
+    """
     known = labels.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")
     ).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     short = F.octet_length(F.col(f"`{text_col}`")) <= LONGEST_SAMPLED
     able = df.where(may_learn & short).select(F.col(f"`{id_col}`").alias("id"))
+    able = known.join(able, "id", "left_semi")
+    size = {r["label"]: r["count"] for r in able.groupBy("label").count().collect()}
     texts, truth = [], []
     for label, most in ((1, toxic), (0, clean)):
-        drawn = known.where(F.col("label") == label).join(able, "id", "left_semi")
+        drawn = able.where(F.col("label") == label)
         drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(most)
         rows = (
             df.where(may_learn & short)
@@ -290,7 +303,7 @@ def training_sample(
         )
         texts += [r["text"] for r in rows]
         truth += [label] * len(rows)
-    return texts, truth
+    return texts, truth, (size.get(0, 0), size.get(1, 0))
 
 
 def toxicity(
@@ -309,10 +322,10 @@ def toxicity(
     of both classes all texts get one low score. Spans are runs of tokens that are rather toxic
     than not, as code points of the text.
     """
-    texts, truth = training_sample(
+    texts, truth, known = training_sample(
         df, labels, id_col, text_col, label_col, may_learn, toxic_sample, clean_sample
     )
-    model = fit(texts, truth)
+    model = fit(texts, truth, known)
     used = np.flatnonzero(model.weights)
     shipped = df.sparkSession.sparkContext.broadcast(
         (used.astype(np.int32), model.weights[used], model.move, model.calibration)
