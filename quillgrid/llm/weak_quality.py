@@ -22,7 +22,7 @@ SAMPLE = 4000
 #: Longer texts are judged whole but not drawn, which bounds the sample's bytes.
 LONGEST_SAMPLED = 32_768
 SLOTS = 1 << 12
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 EM_ROUNDS = 200
 BAD, NONE, GOOD = 0, 1, 2
 
@@ -239,9 +239,16 @@ def fit(df: DataFrame, text_col: str, sample: int = SAMPLE) -> dict:
         .groupBy("mark").agg(F.min("text").alias("text"))
         .orderBy("mark").limit(2 * sample).collect()
     )
-    votes, owner, slot = measures(pa.array([r["text"] for r in drawn], pa.string()))
-    target = np.array([by_votes.get(bytes(v + 48).decode(), share) for v in votes])
-    weights = fit_scorer(*feature_rows(len(drawn), owner, slot), target)
+    parts, target = [], []
+    for first in range(0, len(drawn), 200):  # a few texts at a time: their measures take memory
+        some = drawn[first : first + 200]
+        votes, owner, slot = measures(pa.array([r["text"] for r in some], pa.string()))
+        target += [by_votes.get(bytes(v + 48).decode(), share) for v in votes]
+        row, column, value = feature_rows(len(some), owner, slot)
+        parts.append((row + first, column, value))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    row, column, value = (np.concatenate(c) for c in zip(none, *parts))
+    weights = fit_scorer(row, column, value, np.array(target))
     return {"posterior": by_votes, "weights": weights, "rates": rates, "share": share}
 
 
