@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import carried, slices, span_hashes, text_buffer, word_spans
+from quillgrid.llm.common import carried, checkpointed, slices, span_hashes, text_buffer, word_spans
 
-#: Labelled training documents of either class, drawn by a hash of their ids.
+#: Labelled training texts of either class, drawn by a hash of the text, equal ones once.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 1600
 #: Longer texts are scored whole but not drawn for training, which bounds the sample's bytes.
 LONGEST_SAMPLED = 32_768
@@ -279,27 +279,28 @@ def training_sample(
     df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
     may_learn: Column, toxic: int, clean: int,
 ) -> tuple[list[str], list[int], tuple[int, int]]:
-    """Labelled texts, some `toxic` and `clean` at most, in the order of a hash of their ids.
+    """Distinct labelled texts, some `toxic` and `clean` at most, in the order of a hash of them.
 
-    Also how many clean and toxic documents there are to draw from.
+    Also how many clean and toxic documents there are to draw from, copies counted each.
     """
     known = labels.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")
     ).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     short = F.octet_length(F.col(f"`{text_col}`")) <= LONGEST_SAMPLED
-    able = df.where(may_learn & short).select(F.col(f"`{id_col}`").alias("id"))
-    able = known.join(able, "id", "left_semi")
-    size = {r["label"]: r["count"] for r in able.groupBy("label").count().collect()}
+    able = df.where(may_learn & short).select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
+        F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)).alias("digest"),
+    )
+    found = known.join(able.select("id", "digest").distinct(), "id")
+    found = checkpointed(found.groupBy("digest", "label").count())
+    size = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.sum("count").alias("n")).collect()}
     texts, truth = [], []
     for label, most in ((1, toxic), (0, clean)):
-        drawn = able.where(F.col("label") == label)
-        drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(most)
+        drawn = found.where(F.col("label") == label).orderBy("digest").limit(most)
         rows = (
-            df.where(may_learn & short)
-            .select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-            .join(F.broadcast(drawn.select("id")), "id")
-            .groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
+            able.join(F.broadcast(drawn.select("digest")), "digest")
+            .groupBy("digest").agg(F.min("text").alias("text")).orderBy("digest").collect()
         )
         texts += [r["text"] for r in rows]
         truth += [label] * len(rows)
@@ -314,8 +315,8 @@ def toxicity(
     """`row` (the kept columns), `score` from 0 to 1 and `spans` (start, stop, score).
 
     Learns from rows that `may_learn` and that `labels` calls 0 or 1 (of several labels the
-    largest; of several texts with one id the least); rows without an id teach nothing. The
-    sample is bounded: `toxic_sample` and `clean_sample` texts of at most LONGEST_SAMPLED bytes.
+    largest; of several texts with one id each teaches); rows without an id teach nothing. The
+    sample is bounded: `toxic_sample` and `clean_sample` distinct texts of at most LONGEST_SAMPLED bytes.
     Only the text enters a score. Missing and empty texts get the score of a text without a
     suspicious word; texts of any length are scored whole; repeated rows each get the same
     score. Other columns pass in `row`, and an empty table gives an empty result. Without labels

@@ -99,6 +99,18 @@ def test_toxicity_of_awkward_rows(spark, awkward):
     assert run(frame.limit(0), labels, "doc_id", "text", "toxic", F.lit(True)).count() == 0
 
 
+def test_copies_do_not_crowd_out_other_toxic_texts(spark):
+    texts = ["you idiot of a copied man"] * 300 + [f"what trash number {i}" for i in range(20)]
+    texts += [f"a nice day number {i}" for i in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = frame.select("doc_id", (F.col("doc_id") < 320).cast("int").alias("toxic"))
+    got = toxic_crf.toxicity(
+        frame, labels, "doc_id", "text", "toxic", F.lit(True), toxic_sample=30, clean_sample=60
+    ).collect()
+    scores = {r["row"]["doc_id"]: r["score"] for r in got}
+    assert min(scores[i] for i in range(300, 320)) > max(scores[i] for i in range(320, 420))
+
+
 def test_estimated_accuracies():
     rng = np.random.default_rng(3)
     good = rng.random(20_000) < 0.8
