@@ -1,15 +1,16 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Documents are labelled as wholes, so tokens get their labels first: beginnings of words that are
-much more frequent in toxic than in clean training documents (a likelihood-ratio test) mark the
-tokens of toxic documents. A two-state chain with hashed word features is fitted to these tagged
-texts by maximum likelihood. Forward-backward marginals of a text then give its offending
+much more frequent in toxic than in clean training texts (a likelihood-ratio test over all of
+them) mark the tokens of toxic texts. A two-state chain with hashed word features is fitted to a
+bounded sample of these tagged texts by maximum likelihood; the gradients are summed over parts
+of the sample, which stay in the executors. Forward-backward marginals of a text then give its offending
 offsets, and their maximum and sum, calibrated on the training labels, its score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from quillgrid.llm.common import carried, checkpointed, slices, span_hashes, text_buffer, word_spans
 
 #: Labelled training texts of either class, drawn by a hash of the text, equal ones once.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 1600
-#: Longer texts are scored whole but not drawn for training, which bounds the sample's bytes.
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 3000
+#: Parts of the sample, each with its share of the gradients.
+PARTS = 16
+#: Longer texts are counted and scored whole but not drawn, which bounds the sample's bytes.
 LONGEST_SAMPLED = 32_768
 #: Likelihood ratio (G squared) from which a word beginning marks tokens, and its least support.
 LEAST_RATIO, LEAST_DOCUMENTS = 24.0, 3
@@ -172,54 +175,154 @@ def emission(model_weights: np.ndarray, found: Tokens) -> np.ndarray:
     return model_weights[slots(found.features)].sum(1)[found.number]
 
 
-def token_labels(found: Tokens, labels: np.ndarray) -> np.ndarray:
+def counted_beginnings(texts: DataFrame) -> DataFrame:
+    """`feature`, `bad` and `good`: how many toxic and how many clean texts have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                found = tokens(part.column("text"))
+                sides = [part.column(c).to_numpy() for c in ("toxic", "clean")]
+                words = np.int64(len(found.features) or 1)
+                document, word = np.divmod(np.unique(found.owner * words + found.number), words)
+                for column in range(found.features.shape[1]):  # one kind at a time bounds the memory
+                    feature, number = np.unique(found.features[:, column], return_inverse=True)
+                    size = np.int64(len(feature) or 1)
+                    owner, at = np.divmod(np.unique(document * size + number[word]), size)
+                    counts = [
+                        np.bincount(at, weights=side[owner], minlength=len(feature)).astype(np.int64)
+                        for side in sides
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(feature.view(np.int64)), *map(pa.array, counts)],
+                        ["feature", "bad", "good"],
+                    )
+
+    counted = texts.mapInArrow(run, "feature long, bad long, good long")
+    return counted.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def telling_beginnings(counted: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """Features that a likelihood-ratio test finds much more frequent in toxic than in clean texts."""
+    bad, good = F.col("bad"), F.col("good")
+    share = (bad + good) / (toxic + clean)
+    part = bad * F.log(bad / (toxic * share)) + F.when(
+        good > 0, good * F.log(good / (clean * share))
+    ).otherwise(0)
+    more = bad / toxic > LEAST_LIFT * good / clean
+    telling = counted.where((bad >= LEAST_DOCUMENTS) & more & (2 * part >= LEAST_RATIO))
+    return np.array([r["feature"] for r in telling.select("feature").collect()], np.int64)
+
+
+def token_labels(found: Tokens, labels: np.ndarray, telling: np.ndarray) -> np.ndarray:
     """Tokens of toxic documents that have a telling beginning."""
-    features = slots(found.features)
-    toxic = labels[found.owner] == 1
-    seen = np.unique(found.owner * np.int64(len(found.features) or 1) + found.number)
-    document, word = np.divmod(seen, np.int64(len(found.features) or 1))
-    size = np.bincount(labels, minlength=2).astype(float)
-    bad, good = np.zeros(SLOTS), np.zeros(SLOTS)
-    for column in range(features.shape[1]):  # one kind of feature at a time bounds the memory
-        pairs = np.unique(document * np.int64(SLOTS) + features[word, column])
-        slot, bad_one = pairs % SLOTS, labels[pairs // SLOTS] == 1
-        bad += np.bincount(slot[bad_one], minlength=SLOTS)
-        good += np.bincount(slot[~bad_one], minlength=SLOTS)
-    share = (bad + good) / max(size.sum(), 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part = bad * np.log(bad / (size[1] * share)) + np.where(
-            good > 0, good * np.log(good / (size[0] * share)), 0.0
-        )
-        more = bad / max(size[1], 1) > LEAST_LIFT * good / max(size[0], 1)
-    telling = more & (bad >= LEAST_DOCUMENTS) & (2 * part >= LEAST_RATIO)
-    return telling[features].any(1)[found.number] & toxic
+    marked = np.isin(found.features.view(np.int64), telling).any(1)
+    return marked[found.number] & (labels[found.owner] == 1)
+
+
+PIECE = {"features": np.int32, "number": np.int32, "tags": np.int8, "counts": np.int32, "labels": np.int8}
+
+
+def tagged_pieces(sample: DataFrame, telling: np.ndarray) -> DataFrame:
+    """The words, tags and labels of the sample, one row for each part of it."""
+    shipped = sample.sparkSession.sparkContext.broadcast(telling)
+
+    def piece(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("digest", "ascending"), ("label", "ascending")])
+        labels = table["label"].to_numpy().astype(np.int64)
+        found = tokens(table["text"])
+        values = {
+            "features": slots(found.features), "number": found.number, "labels": labels,
+            "tags": token_labels(found, labels, shipped.value),
+            "counts": np.bincount(found.owner, minlength=len(labels)),
+        }
+        columns = [pa.array([values[c].astype(kind).tobytes()], pa.binary()) for c, kind in PIECE.items()]
+        return pa.table([table["part"].slice(0, 1), *columns], ["part", *PIECE])
+
+    part = F.pmod(F.xxhash64("digest"), F.lit(PARTS))
+    schema = ", ".join(["part long", *[f"{c} binary" for c in PIECE]])
+    pieces = sample.withColumn("part", part).groupBy("part").applyInArrow(piece, schema)
+    return checkpointed(pieces.coalesce(PARTS))
+
+
+class Piece:
+    """One row of `tagged_pieces`, in an executor."""
+
+    def __init__(self, row: dict) -> None:
+        values = {c: np.frombuffer(row[c], kind).astype(np.int64) for c, kind in PIECE.items()}
+        self.features = values["features"].reshape(-1, len(PREFIXES))
+        self.number, self.tags = values["number"], values["tags"]
+        self.counts, self.labels = values["counts"], values["labels"]
+
+    def marginals(self, weights: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        scores = weights[self.features].sum(1)[self.number]
+        return Chain(self.counts).marginals(scores, move)[:2]
+
+    def slopes(self, weights: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the tags have more than the chain expects: of each slot, and of each move."""
+        marginals, moves = self.marginals(weights, move)
+        before = np.zeros(len(self.tags), np.int64)
+        before[1:] = self.tags[:-1]
+        before[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = 0
+        seen = np.bincount(before * 2 + self.tags, minlength=4).reshape(2, 2)
+        gap = np.bincount(self.number, self.tags - marginals, minlength=len(self.features))
+        slope = np.zeros(SLOTS)
+        for column in range(self.features.shape[1]):
+            slope += np.bincount(self.features[:, column], weights=gap, minlength=SLOTS)
+        return slope, seen - moves
 
+    def inputs(self, weights: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the calibration sees of each text, and the labels."""
+        marginals, _ = self.marginals(weights, move)
+        owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        return summary(marginals, owner, len(self.counts)), self.labels.astype(float)
 
-def fit_chain(found: Tokens, tags: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+
+def of_pieces(
+    pieces: DataFrame, what: Callable, weights: np.ndarray, move: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two arrays that `what` makes of each piece, in the order of the parts."""
+    used = np.flatnonzero(weights)
+    shipped = pieces.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used], move))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, values, move = shipped.value
+        weights = np.zeros(SLOTS)
+        weights[used] = values
+        for batch in batches:
+            for nth in range(batch.num_rows):
+                row = batch.slice(nth, 1).to_pylist()[0]
+                first, second = what(Piece(row), weights, move)
+                first = first.ravel()
+                some = np.flatnonzero(first)
+                yield pa.RecordBatch.from_pydict({
+                    "part": [row["part"]], "size": [first.size], "at": [some.astype(np.int32).tobytes()],
+                    "first": [first[some].tobytes()], "second": [second.tobytes()],
+                })
+
+    schema = "part long, size long, at binary, first binary, second binary"
+    rows = pieces.mapInArrow(run, schema).collect()
+    shipped.destroy()
+    for row in sorted(rows, key=lambda r: r["part"]):
+        first = np.zeros(row["size"])
+        first[np.frombuffer(row["at"], np.int32)] = np.frombuffer(row["first"])
+        yield first, np.frombuffer(row["second"])
+
+
+def fit_chain(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the hashed features and of the moves, by adaptive gradient ascent."""
-    features = slots(found.features)
+    size = pieces.agg(F.sum(F.octet_length("tags"))).first()[0]
     weights, move = np.zeros(SLOTS), np.zeros((2, 2))
-    counts = np.bincount(found.owner, minlength=documents)
-    chain = Chain(counts)
-    before = np.zeros(len(tags), np.int64)
-    before[1:] = tags[:-1]
-    before[(np.cumsum(counts) - counts)[counts > 0]] = 0
-    seen_moves = np.bincount(before * 2 + tags, minlength=4).reshape(2, 2).astype(float)
-    words = len(features)
-    tagged = np.bincount(found.number, weights=tags, minlength=words)
     weight_norm, move_norm = np.full(SLOTS, 1e-3), np.full((2, 2), 1e-3)
     for _ in range(ROUNDS):
-        marginals, moves, _ = chain.marginals(weights[features].sum(1)[found.number], move)
-        gap = tagged - np.bincount(found.number, weights=marginals, minlength=words)
-        slope = np.zeros(SLOTS)
-        for column in range(features.shape[1]):
-            slope += np.bincount(features[:, column], weights=gap, minlength=SLOTS)
-        slope -= DECAY * len(tags) * weights
+        slope, move_slope = -DECAY * size * weights, -0.1 * move
+        for part, move_part in of_pieces(pieces, Piece.slopes, weights, move):
+            slope += part
+            move_slope += move_part.reshape(2, 2)
         weight_norm += slope**2
         weights += RATE * slope / np.sqrt(weight_norm)
-        slope = seen_moves - moves - 0.1 * move
-        move_norm += slope**2
-        move += RATE * slope / np.sqrt(move_norm)
+        move_norm += move_slope**2
+        move += RATE * move_slope / np.sqrt(move_norm)
     return weights, move
 
 
@@ -254,57 +357,59 @@ def calibrate(inputs: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return weights
 
 
-def fit(texts: list[str], labels: list[int], known: tuple[int, int] | None = None) -> Model:
-    """A model from labelled texts; without texts of both classes every score is their rate.
-
-    `known` counts all clean and toxic documents the texts were drawn from; the scores are those
-    of documents mixed in that proportion.
-    """
-    truth = np.array(labels, np.int64)
-    found = tokens(pa.array(texts, pa.string()))
-    if not len(found.number) or truth.min(initial=1) == truth.max(initial=0):
-        rate = (truth.sum() + 0.5) / (len(truth) + 5)
-        return Model(np.zeros(SLOTS), np.zeros((2, 2)), np.array([np.log(rate / (1 - rate)), 0, 0, 0]))
-    tags = token_labels(found, truth).astype(np.int64)
-    weights, move = fit_chain(found, tags, len(texts))
-    chain = Chain(np.bincount(found.owner, minlength=len(texts)))
-    marginals, _, _ = chain.marginals(weights[slots(found.features)].sum(1)[found.number], move)
-    calibration = calibrate(summary(marginals, found.owner, len(texts)), truth)
-    if known is not None:
-        calibration[0] += np.log(known[1] / known[0]) - np.log(truth.sum() / (1 - truth).sum())
-    return Model(weights, move, calibration)
-
-
-def training_sample(
+def fit(
     df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
     may_learn: Column, toxic: int, clean: int,
-) -> tuple[list[str], list[int], tuple[int, int]]:
-    """Distinct labelled texts, some `toxic` and `clean` at most, in the order of a hash of them.
+) -> Model:
+    """A model of the labelled texts; without texts of both classes every score is their rate.
 
-    Also how many clean and toxic documents there are to draw from, copies counted each.
+    Word beginnings are counted in all labelled texts, the chain and the calibration are fitted
+    to `toxic` and `clean` texts at most, in the order of a hash of them. Equal texts of a class
+    are one. Scores are those of documents mixed as all those to draw from, copies counted each.
     """
     known = labels.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")
     ).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    short = F.octet_length(F.col(f"`{text_col}`")) <= LONGEST_SAMPLED
-    able = df.where(may_learn & short).select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
-        F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)).alias("digest"),
+    text = F.col(f"`{text_col}`")
+    able = df.where(may_learn & text.isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"), text.alias("text"),
+        F.unhex(F.sha2(text, 256)).alias("digest"),
+        (F.octet_length(text) <= LONGEST_SAMPLED).alias("short"),
     )
-    found = known.join(able.select("id", "digest").distinct(), "id")
-    found = checkpointed(found.groupBy("digest", "label").count())
-    size = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.sum("count").alias("n")).collect()}
-    texts, truth = [], []
-    for label, most in ((1, toxic), (0, clean)):
-        drawn = found.where(F.col("label") == label).orderBy("digest").limit(most)
-        rows = (
-            able.join(F.broadcast(drawn.select("digest")), "digest")
-            .groupBy("digest").agg(F.min("text").alias("text")).orderBy("digest").collect()
-        )
-        texts += [r["text"] for r in rows]
-        truth += [label] * len(rows)
-    return texts, truth, (size.get(0, 0), size.get(1, 0))
+    found = known.join(able.select("id", "digest", "short").distinct(), "id")
+    found = checkpointed(found.groupBy("digest", "label", "short").count())
+    sizes = found.groupBy("label").agg(
+        F.count("*").alias("texts"),
+        F.count_if("short").alias("short"),
+        F.sum(F.when(F.col("short"), F.col("count")).otherwise(0)).alias("documents"),
+    )
+    size = {r["label"]: r for r in sizes.collect()}
+    drawn = {label: min(most, size[label]["short"]) for label, most in ((0, clean), (1, toxic)) if label in size}
+    if not all(drawn.get(label) for label in (0, 1)):
+        rate = (drawn.get(1, 0) + 0.5) / (sum(drawn.values()) + 5)
+        return Model(np.zeros(SLOTS), np.zeros((2, 2)), np.array([np.log(rate / (1 - rate)), 0, 0, 0]))
+    sides = found.groupBy("digest").agg(
+        F.max(1 - F.col("label")).alias("clean"), F.max("label").alias("toxic")
+    )
+    texts = able.groupBy("digest").agg(F.min("text").alias("text")).join(sides, "digest")
+    counted = counted_beginnings(texts.select("text", "toxic", "clean"))
+    telling = telling_beginnings(counted, size[1]["texts"], size[0]["texts"])
+    chosen = [
+        found.where(F.col("short") & (F.col("label") == label)).orderBy("digest").limit(most)
+        for label, most in drawn.items()
+    ]
+    chosen = chosen[0].unionByName(chosen[1]).select("digest", "label")
+    sample = able.select("digest", "text").join(F.broadcast(chosen), "digest")
+    sample = sample.groupBy("digest", "label").agg(F.min("text").alias("text"))
+    pieces = tagged_pieces(sample, telling)
+    weights, move = fit_chain(pieces)
+    inputs, truth = zip(*of_pieces(pieces, Piece.inputs, weights, move))
+    truth = np.concatenate(truth)
+    calibration = calibrate(np.concatenate(inputs).reshape(len(truth), -1), truth)
+    calibration[0] += np.log(size[1]["documents"] / size[0]["documents"])
+    calibration[0] -= np.log(truth.sum() / (1 - truth).sum())
+    return Model(weights, move, calibration)
 
 
 def toxicity(
@@ -316,17 +421,15 @@ def toxicity(
 
     Learns from rows that `may_learn` and that `labels` calls 0 or 1 (of several labels the
     largest; of several texts with one id each teaches); rows without an id teach nothing. The
-    sample is bounded: `toxic_sample` and `clean_sample` distinct texts of at most LONGEST_SAMPLED bytes.
+    beginnings of words are counted in all of these; the chain is fitted to a bounded sample,
+    `toxic_sample` and `clean_sample` distinct texts of at most LONGEST_SAMPLED bytes.
     Only the text enters a score. Missing and empty texts get the score of a text without a
     suspicious word; texts of any length are scored whole; repeated rows each get the same
     score. Other columns pass in `row`, and an empty table gives an empty result. Without labels
     of both classes all texts get one low score. Spans are runs of tokens that are rather toxic
     than not, as code points of the text.
     """
-    texts, truth, known = training_sample(
-        df, labels, id_col, text_col, label_col, may_learn, toxic_sample, clean_sample
-    )
-    model = fit(texts, truth, known)
+    model = fit(df, labels, id_col, text_col, label_col, may_learn, toxic_sample, clean_sample)
     used = np.flatnonzero(model.weights)
     shipped = df.sparkSession.sparkContext.broadcast(
         (used.astype(np.int32), model.weights[used], model.move, model.calibration)

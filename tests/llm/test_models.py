@@ -111,6 +111,19 @@ def test_copies_do_not_crowd_out_other_toxic_texts(spark):
     assert min(scores[i] for i in range(300, 320)) > max(scores[i] for i in range(320, 420))
 
 
+def test_words_are_counted_beyond_the_sample(spark):
+    texts = [f"you idiot {i}" for i in range(360)] + [f"pure scum {i}" for i in range(40)]
+    texts += [f"you pure day {i}" for i in range(800)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = frame.select("doc_id", (F.col("doc_id") < 400).cast("int").alias("toxic"))
+    got = toxic_crf.toxicity(
+        frame, labels, "doc_id", "text", "toxic", F.lit(True), toxic_sample=60, clean_sample=120
+    ).collect()
+    marked = {r["row"]["doc_id"]: [r["row"]["text"][s["start"] : s["stop"]] for s in r["spans"]] for r in got}
+    assert all(any("scum" in m for m in marked[i]) for i in range(360, 400))
+    assert not any(marked[i] for i in range(400, 1200))
+
+
 def test_estimated_accuracies():
     rng = np.random.default_rng(3)
     good = rng.random(20_000) < 0.8
