@@ -238,8 +238,10 @@ SMALL_GROUP = 64
 def links(met: DataFrame, max_bits: int) -> DataFrame:
     """Links (a, b) of fingerprints that join all within `max_bits` in a group: a forest, not all pairs.
 
-    The rows of a key are sorted next to each other and streamed; a task holds one group of at
-    most MOST_IN_BUCKET fingerprints or one Arrow batch.
+    The rows of a key are sorted next to each other and streamed; a task holds one group or one
+    Arrow batch. A group has at most MOST_IN_BUCKET fingerprints, except at the finest level of
+    `bucketed`, whose keys are taken whatever their size: there a very large family of near
+    copies is held and searched by one task.
     """
     ordered = met.repartition("level", "choice", "key").sortWithinPartitions("level", "choice", "key")
     references = pivots()
