@@ -178,7 +178,8 @@ def contamination(
     Missing texts have no words; items without words match nothing; an item without an id is
     called `None`, and rows with the same id are one item. Texts of any length are searched
     whole, repeated rows each for itself; empty tables give no rows and no hits. Documents are
-    read once and never shuffled; of the benchmark only a block of fixed size is held at a time.
+    read once and never shuffled. Each block of the benchmark is of fixed size, but all of them are
+    indexed by the driver and broadcast together, so memory grows with the benchmark.
     """
     context = df.sparkSession.sparkContext
     blocks = []
