@@ -18,8 +18,10 @@ from quillgrid.llm import (
     simhash_pivots,
     suffix_decontam,
     toxic_crf,
+    warc_zip,
     weak_quality,
 )
+from quillgrid.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -242,3 +244,30 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         F.size("spans").alias("n_spans"),
     )
+
+
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@query(
+    "op11_warc",
+    f"""
+    WITH d AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages
+    ), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+    SELECT page_id, n::BIGINT AS payload_bytes,
+           array_to_string(list_transform(generate_series(0, 31), lambda i: substr('{BASE32}',
+               1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '')
+               AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM f""",
+)
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    packages = warc_zip.write_packages(pages, "page_id", "url", "html", work_folder(spark, "warc"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return warc_zip.read_packages(packages).select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
