@@ -14,6 +14,7 @@ from quillgrid.llm import (
     forced_bpe,
     norm_search,
     rlbwt_dedup,
+    run_automaton,
     sharding,
     simhash_pivots,
     suffix_decontam,
@@ -271,3 +272,87 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"),
     )
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+# The CRC-32 of a text, byte by byte and bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length({0})),
+    lambda k: ord(substr({0}, k + 1, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"""
+
+
+@query(
+    "op12_runs",
+    f"""
+    WITH t AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+               {CRC32.format("doc_id::VARCHAR")} AS h FROM documents
+    ), a AS (
+        SELECT *, len(words) AS n, (h // 10) % greatest(len(words), 1) AS a, h // 10 AS g FROM t
+    ), w AS (
+        SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+                   words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+               ELSE words END AS words FROM a
+    ), k AS (
+        SELECT doc_id, i, array_to_string(words[i + 1:i + 8], ' ') AS gram
+        FROM (SELECT *, unnest(range(n - 7)) AS i FROM w WHERE n >= 24)
+    ), m AS (
+        SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i
+    ), s AS (
+        SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m)
+        GROUP BY doc_id, q, island
+    ), r AS (
+        SELECT doc_id, start, length, min(q) AS period FROM s
+        WHERE length >= 24 AND length >= 3 * q GROUP BY doc_id, start, length
+    ), b AS (
+        SELECT *, row_number() OVER (
+            PARTITION BY doc_id ORDER BY length::DECIMAL(18, 0) / period DESC, start, period) AS place FROM r
+    ), l AS (
+        SELECT doc_id, count(*) AS n_runs,
+               string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id
+    ), d AS (
+        SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS j FROM r
+    ), c AS (
+        SELECT e.doc_id, coalesce(string_agg(word, ' ' ORDER BY e.j) FILTER (d.j IS NULL), '') AS text
+        FROM (SELECT doc_id, unnest(words) AS word, unnest(range(n)) AS j FROM w) e
+        LEFT JOIN d ON d.doc_id = e.doc_id AND d.j = e.j GROUP BY e.doc_id
+    )
+    SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period,
+           (1000 * b.length) // b.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+           sha256(coalesce(c.text, '')) AS collapsed_sha256
+    FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN b ON b.doc_id = w.doc_id AND place = 1
+    LEFT JOIN c ON c.doc_id = w.doc_id""",
+)
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periods(read(spark, sf_dir, "documents"), "doc_id", "text")
+    found = run_automaton.collapse_runs(docs, "text", least_length=24, least_exponent=3, keep=["doc_id"])
+    # Runs are in the order of start and period, so the first of equal exponents stays.
+    best = F.aggregate(
+        "runs",
+        F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
+        lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b),
+    )
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_periods(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Ids and texts, of which the contract makes one in ten periodic from some word on."""
+    at = "IF(i < a, i, a + (i - a) % (1 + (n - a) div (3 + g % 8)))"
+    return (
+        docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        .withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+        .withColumn("g", F.floor(F.col("h") / 10))
+        .withColumn("w", F.when(F.col("h") % 10 == 0, F.expr(f"regexp_extract_all(text, r'{WORD}', 0)")))
+        .withColumn("n", F.size("w").cast("long"))
+        .withColumn("a", F.expr("g % greatest(n, 1)"))
+        .withColumn("text", F.when(F.col("n") > 0, F.expr(
+            f"array_join(transform(sequence(0L, n - 1), i -> w[int({at})]), ' ')")).otherwise(F.col("text")))
+        .select("doc_id", "text")
+    )
