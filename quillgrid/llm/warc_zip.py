@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import checkpointed
+from quillgrid.llm.common import checkpointed, shuffle_partitions
 from quillgrid.sources.ranges import RangedFile, open_for_writing
 
 # Fixed values of the ZIP format: signatures, sizes of the fixed parts, marks for "see ZIP64".
@@ -394,10 +394,13 @@ def read_packages(packages: DataFrame) -> DataFrame:
                     yield places_batch(path, places)
 
     stretch = F.floor(F.col("offset") / STRETCH_BYTES)
+    # A fixed number of partitions: places are small, what they point at is not, so adaptive
+    # execution must not join partitions by the size of their rows.
+    parts = shuffle_partitions(packages.sparkSession)
     places = (
-        packages.select("path").repartition("path")
+        packages.select("path").repartition(parts, "path")
         .mapInArrow(locate, "path string, offset long, length long")
-        .repartition("path", stretch).sortWithinPartitions("path", "offset")
+        .repartition(parts, "path", stretch).sortWithinPartitions("path", "offset")
     )
     return places.mapInArrow(read_places, RECORDS)
 
