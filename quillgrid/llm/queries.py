@@ -18,6 +18,7 @@ from quillgrid.llm import (
     sharding,
     simhash_pivots,
     suffix_decontam,
+    token_alignment,
     toxic_crf,
     warc_zip,
     weak_quality,
@@ -356,3 +357,15 @@ def with_periods(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             f"array_join(transform(sequence(0L, n - 1), i -> w[int({at})]), ' ')")).otherwise(F.col("text")))
         .select("doc_id", "text")
     )
+
+
+@query("op13_alignment")
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align_texts(
+        read(spark, sf_dir, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"],
+    )
+    return found.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        "groups_sha256",
+    )
