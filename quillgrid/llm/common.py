@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,25 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.session import checkpointed
+
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The DataFrame read back from the folder that spark.checkpoint.dir names.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgrid-checkpoints-"))
-    return df.checkpoint()
-
-
 def co_located(df: DataFrame, *keys: str) -> DataFrame:
     """Checkpointed and dealt by the keys, so that later joins on them move only the other side.
 

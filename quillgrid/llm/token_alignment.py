@@ -19,7 +19,8 @@ composed in any tree:
    pieces of `piece_chars` characters wherever that falls, every piece becomes a fragment in a task
    of its own, and the fragments of a text are composed FAN at a time, level by level. Closed parts
    stay in rows; what is composed is only the open text and the order of the closed parts.
-2. Between two certain cuts stands a unit, mostly a word. Units that recur are aligned once.
+2. Between two certain cuts stands a unit, mostly a word. The distinct units of a chunk are encoded
+   and aligned once, all of them together.
 3. A chunk of some megabytes of text lists its pairs of linked ids with the number of its documents
    that hold them; Spark sums these over the corpus, and every chunk gets back the counts of its own
    pairs. A pair that occurs everywhere is one row per chunk.
@@ -36,15 +37,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,10 +59,14 @@ CHUNK_BYTES = 8 << 20
 LONG_BYTES, PIECE_CHARS = 4 << 20, 1 << 20
 #: Fragments that are composed at once.
 FAN = 64
-#: Units that a worker keeps at most; then it begins anew.
-MOST_UNITS = 200_000
 #: Units that are handed to the tokenizers at once.
-BLOCK = 5_000
+BLOCK = 20_000
+#: Units that are encoded as one text, and characters of a unit that is not.
+JOINED, LONG_UNIT = 200, 4_096
+# Fixed value: how byte-level tokenizers split words.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Links of a group from which on its equal ids are merged.
+LARGE_GROUP = 4_096
 #: Bytes of a tokenizer file that may be broadcast.
 MOST_MODEL_BYTES = 64 << 20
 
@@ -146,8 +150,9 @@ class TwoTokenizers:
 
     def __init__(self, a_json: str, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        told = json.loads(a_json).get("pre_tokenizer") or {}
-        if told.get("type") != "ByteLevel" or not told.get("use_regex", True):
+        told = json.loads(a_json)
+        splits = told.get("pre_tokenizer") or {}
+        if splits.get("type") != "ByteLevel" or not splits.get("use_regex", True):
             raise ValueError("The first tokenizer is to be a byte-level one that splits words.")
         self.a = Tokenizer.from_str(a_json)
         self.a.no_truncation()
@@ -161,64 +166,81 @@ class TwoTokenizers:
         if any(BLANK in piece.lstrip(BLANK) for piece in pieces):
             raise ValueError("The second tokenizer has pieces that go on after a word.")
         of = byte_of_character()
-        self.a_bytes = {i: bytes(of[c] for c in t) for t, i in self.a.get_vocab(False).items()}
+        vocabulary = self.a.get_vocab(False)
+        self.a_bytes = {i: bytes(of[c] for c in t) for t, i in vocabulary.items()}
+        if not {bytes([b]) for b in range(256)} <= set(self.a_bytes.values()):
+            raise ValueError("The first tokenizer has no token for some byte.")
+        self.fast_a = None
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in told["model"]["merges"]]
+        made = [vocabulary[m] for m in merged]
+        if made == sorted(made) and not told["model"].get("ignore_merges"):
+            # Ids in the order of the merges: the same encoding by ranks, which is faster.
+            ranks = {token: i for i, token in self.a_bytes.items()}
+            self.fast_a = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode()
             for i, p in enumerate(pieces)
         ]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A for a blank and the text and of B for the text, for every text."""
-        found = self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)
-        pieces = self.b.encode(texts, num_threads=1)
-        # For no text at all B leaves out the blank, which here stands at the end of a longer text.
-        return ((e.ids, b if t else [self.blank]) for t, e, b in zip(texts, found, pieces))
-
-    def groups(self, text: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The ids of A and B in every group, or None if they do not spell a blank and the text."""
-        want = f" {text}".encode()
-        first, second = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(first) != want or b"".join(second) != want:
-            return None
-        a_ends, b_ends = list(accumulate(map(len, first))), list(accumulate(map(len, second)))
-        both = set(a_ends).intersection(b_ends)
-        groups = []
-        i = j = 0
-        for end in sorted(both):
-            k, m = a_ends.index(end, i) + 1, b_ends.index(end, j) + 1
-            groups.append((a[i:k], b[j:m]))
-            i, j = k, m
-        return groups
-
-
-class Units(dict):
-    """Numbers of units, without the blank they begin with, and what is known of each.
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, token in self.a_bytes.items():
+            self.a_sizes[i] = len(token)
+        self.b_sizes = np.array([len(token) for token in self.b_bytes])
+        # How ids are written in front of another id of their side, and at the end of their side.
+        self.a_texts = [f"{i}{mark}" for i in range(len(self.a_sizes)) for mark in ",|"]
+        b_texts = [f"{i}{mark}" for i in range(len(self.b_sizes)) for mark in ",;"]
+        self.texts = self.a_texts + b_texts
+
+    def encode_a(self, texts: list[str]) -> np.ndarray:
+        """Ids of A for a blank and each text, one text after another.
+
+        Units that end at certain cuts are encoded as one text; long ones and those that end with
+        white space by themselves.
+        """
+        ids: list[list[int]] = []
+        held: list[str] = []
+
+        def flush() -> None:
+            if held:
+                ids.append(self.fast_a.encode_ordinary(" " + " ".join(held)))
+                held.clear()
+
+        for text in texts:
+            if self.fast_a is None or not text or text[-1].isspace() or len(text) > LONG_UNIT:
+                flush()
+                ids.append(self.a.encode(f" {text}", add_special_tokens=False).ids)
+            else:
+                held.append(text)
+                if len(held) == JOINED:
+                    flush()
+        flush()
+        return flattened(ids)[0]
+
+    def encode_b(self, texts: list[str]) -> list[list[int]]:
+        """Ids of B for each text, which B puts a blank before. For no text at all it leaves the blank
+        out, which here stands at the end of a longer text."""
+        found = self.b.encode(texts, num_threads=1)
+        return [ids if text else [self.blank] for text, ids in zip(texts, found)]
+
+
+class Numbers(dict):
+    """Numbers of units, without the blank they begin with, as they are met.
 
     A word that does not end where a unit ends has the number OPEN. A unit that ends only because
     the text does has a key of its own.
     """
 
-    def __init__(self, tokenizers: TwoTokenizers):
+    def __init__(self):
         super().__init__()
-        self.tokenizers = tokenizers
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.pending: list[str] = []
-        self.lines: list[str] = []
-        self.fields = [array("q") for _ in range(5)]  # the counts, and whether the bytes agree
-        self.pair_ends = array("q", [0])
-        self.pairs = array("q")
-        self.weights = array("q")
+        self.texts: list[str] = []
 
     def __missing__(self, word) -> int:
         text = word if isinstance(word, str) else word[0]
         if isinstance(word, str) and (not text or text[-1].isspace() or text[-1] == BLANK):
             self[word] = OPEN
             return OPEN
-        self[word] = number = len(self.lines) + len(self.pending)
-        self.pending.append(text)
+        self[word] = number = len(self.texts)
+        self.texts.append(text)
         return number
 
     def of(self, text: str) -> list[int]:
@@ -237,33 +259,109 @@ class Units(dict):
             whole.append(self[(" ".join(held),)])
         return whole
 
-    def resolve(self) -> None:
-        """Align the units that were not known yet."""
-        for start in range(0, len(self.pending), BLOCK):
-            texts = self.pending[start : start + BLOCK]
-            for text, (a, b) in zip(texts, self.tokenizers.encode(texts)):
-                self._add(self.tokenizers.groups(text, a, b))
-        self.pending = []
-
-    def _add(self, groups: list | None) -> None:
-        agrees = groups is not None
-        groups = groups or []
-        linked: Counter[int] = Counter()
-        for a, b in groups:
-            once = Counter(b)
-            for i, n in Counter(a).items():
-                for j, m in once.items():
-                    linked[i << 32 | j] += n * m
-        values = (
-            sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups),
-            sum(len(a) * len(b) for a, b in groups), int(agrees),
-        )
-        for field, value in zip(self.fields, values):
-            field.append(value)
-        self.lines.append(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups))
-        self.pairs.extend(linked.keys())
-        self.weights.extend(linked.values())
-        self.pair_ends.append(len(self.pairs))
+
+@dataclass
+class Units:
+    """The alignment of distinct units: the counts of each, whether the bytes agree, how its groups
+    are written, and its links as id pairs with the number of each."""
+
+    counts: np.ndarray
+    agrees: np.ndarray
+    lines: list[str]
+    pair_ends: np.ndarray
+    pairs: np.ndarray
+    weights: np.ndarray
+
+
+def aligned_units(tokenizers: TwoTokenizers, texts: list[str]) -> Units:
+    """Align units block by block, all units of a block at once."""
+    blocks = [aligned_block(tokenizers, texts[i : i + BLOCK]) for i in range(0, len(texts), BLOCK)]
+    blocks = blocks or [aligned_block(tokenizers, [])]
+    shifts = np.cumsum([0, *[len(b.pairs) for b in blocks]])
+    return Units(
+        np.concatenate([b.counts for b in blocks], axis=1),
+        np.concatenate([b.agrees for b in blocks]),
+        [line for b in blocks for line in b.lines],
+        np.concatenate([[0], *[b.pair_ends + shift for b, shift in zip(blocks, shifts)]]),
+        np.concatenate([b.pairs for b in blocks]),
+        np.concatenate([b.weights for b in blocks]),
+    )
+
+
+def aligned_block(tokenizers: TwoTokenizers, texts: list[str]) -> Units:
+    """`pair_ends` is without the 0 at its start here."""
+    wanted = [f" {text}".encode() for text in texts]
+    sizes = np.fromiter(map(len, wanted), np.int64, len(texts))
+    # The bytes of A's tokens are those of the units, which all end where a token ends.
+    a = tokenizers.encode_a(texts)
+    a_unit = np.searchsorted(np.cumsum(sizes), np.cumsum(tokenizers.a_sizes[a]))
+    ids = tokenizers.encode_b(texts)
+    b, b_counts = flattened(ids)
+    b_unit = np.repeat(np.arange(len(texts)), b_counts)
+    agrees = sums_by(b_unit, tokenizers.b_sizes[b], len(texts)) == sizes
+    # With equal lengths everywhere, equal bytes of all units are equal bytes of each.
+    if not agrees.all() or b"".join(map(tokenizers.b_bytes.__getitem__, b.tolist())) != b"".join(wanted):
+        for k, (found, want) in enumerate(zip(ids, wanted)):
+            agrees[k] &= b"".join(map(tokenizers.b_bytes.__getitem__, found)) == want
+        a, a_unit = a[agrees[a_unit]], a_unit[agrees[a_unit]]
+        b, b_unit = b[agrees[b_unit]], b_unit[agrees[b_unit]]
+    a_counts, b_counts = (np.bincount(unit, minlength=len(texts)) for unit in (a_unit, b_unit))
+    # Ends of tokens on one line of bytes; both tokenizers end every unit.
+    a_ends, b_ends = np.cumsum(tokenizers.a_sizes[a]), np.cumsum(tokenizers.b_sizes[b])
+    a_last, b_last = np.isin(a_ends, b_ends, True), np.isin(b_ends, a_ends, True)
+    a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+    groups = int(a_last.sum())
+    in_a, in_b = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
+    of_group = a_unit[a_last]
+    links = in_a * in_b
+    counts = np.array([
+        a_counts, b_counts, np.bincount(of_group, minlength=len(texts)), sums_by(of_group, links, len(texts)),
+    ])
+    pair_unit, pairs, weights = linked_pairs(a, b, in_a, in_b, of_group)
+    ends = np.cumsum(np.bincount(pair_unit, minlength=len(texts)))
+    return Units(counts, agrees, lines_of(tokenizers, a, b, a_last, b_last, in_a, in_b, a_counts + b_counts), ends, pairs, weights)
+
+
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts
+
+
+def lines_of(tokenizers, a, b, a_last, b_last, in_a, in_b, per_unit) -> list[str]:
+    """The groups of every unit as text, each followed by a semicolon: in every group the ids of A
+    come first."""
+    at_a = np.arange(len(a)) + np.repeat(np.cumsum(in_b) - in_b, in_a)
+    at_b = np.arange(len(b)) + np.repeat(np.cumsum(in_a), in_b)
+    code = np.empty(len(a) + len(b), np.int64)
+    code[at_a] = 2 * a + a_last
+    code[at_b] = 2 * b + b_last + len(tokenizers.a_texts)
+    texts = tokenizers.texts
+    written = [texts[c] for c in code.tolist()]
+    ends = np.cumsum(per_unit).tolist()
+    return ["".join(written[i:j]) for i, j in zip([0, *ends], ends)]
+
+
+def linked_pairs(a, b, in_a, in_b, of_group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, id pair and number of links, sorted by unit. In a large group equal ids are merged
+    first, so that what is listed is bounded by the vocabularies."""
+    starts_a, starts_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    large = np.flatnonzero(in_a * in_b > LARGE_GROUP)
+    small = np.where(in_a * in_b > LARGE_GROUP, 0, in_b)
+    # Every token of A with every one of B in its group.
+    per_token = np.repeat(small, in_a)
+    left = np.repeat(a, per_token)
+    right = b[expanded(np.repeat(starts_b, in_a), per_token)]
+    units = [np.repeat(np.repeat(of_group, in_a), per_token)]
+    pairs, weights = [left << 32 | right], [np.ones(len(left), np.int64)]
+    for g in large.tolist():
+        i, n = np.unique(a[starts_a[g] : starts_a[g] + in_a[g]], return_counts=True)
+        j, m = np.unique(b[starts_b[g] : starts_b[g] + in_b[g]], return_counts=True)
+        pairs.append((i[:, None] << 32 | j[None, :]).ravel())
+        weights.append((n[:, None] * m[None, :]).ravel())
+        units.append(np.full(len(pairs[-1]), of_group[g]))
+    units, pairs, weights = (np.concatenate(x) for x in (units, pairs, weights))
+    order = np.argsort(units, kind="stable") if len(large) else slice(None)
+    return units[order], pairs[order], weights[order]
 
 
 @dataclass
@@ -280,37 +378,42 @@ class Aligned:
     pairs: np.ndarray
 
 
-def aligned(units: Units, texts: list[str], whole: bool = True) -> Aligned:
+def aligned(tokenizers: TwoTokenizers, texts: list[str], whole: bool = True) -> Aligned:
     """Texts, each of which follows a blank. An empty one has no tokens if texts are whole ones;
     else it is a blank at the end of a longer text."""
-    if len(units) > MOST_UNITS:
-        units.reset()
-    numbers = [units.of(text) if text or not whole else [] for text in texts]
-    units.resolve()
-    sizes = np.array([len(n) for n in numbers], np.int64)
-    flat = np.fromiter((n for part in numbers for n in part), np.int64, int(sizes.sum()))
+    known = Numbers()
+    numbers = [known.of(text) if text or not whole else [] for text in texts]
+    units = aligned_units(tokenizers, known.texts)
+    sizes = np.fromiter(map(len, numbers), np.int64, len(texts))
+    flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
     of_text = np.repeat(np.arange(len(texts)), sizes)
-    fields = [np.array(field, np.int64)[flat] for field in units.fields]
-    disagree = np.zeros(len(texts), bool)
-    disagree[of_text[fields[4] == 0]] = True
-    agrees = ~disagree & (sizes > 0)
-    counts = [np.bincount(of_text, f, len(texts)).astype(np.int64) * agrees for f in fields[:4]]
+    agrees = sizes > 0
+    agrees[of_text[~units.agrees[flat]]] = False
+    counts = [sums_by(of_text, c[flat], len(texts)) * agrees for c in units.counts]
     lines = [
-        ";".join([units.lines[n] for n in part]) if good else ""
+        "".join([units.lines[n] for n in part])[:-1] if good else ""
         for part, good in zip(numbers, agrees)
     ]
     # Equal units of a text are merged before their pairs are listed.
     kept = agrees[of_text]
-    keys, often = np.unique(of_text[kept] * max(1, len(units.lines)) + flat[kept], return_counts=True)
-    text, unit = np.divmod(keys, max(1, len(units.lines)))
-    ends = np.array(units.pair_ends, np.int64)
-    each = ends[unit + 1] - ends[unit]
-    places = expanded(ends[unit], each)
-    pairs, at = np.unique(np.array(units.pairs, np.int64)[places], return_inverse=True)
-    keys, back = np.unique(np.repeat(text, each) * max(1, len(pairs)) + at, return_inverse=True)
-    weights = np.zeros(len(keys), np.int64)
-    np.add.at(weights, back, np.array(units.weights, np.int64)[places] * np.repeat(often, each))
-    text, at = np.divmod(keys, max(1, len(pairs)))
+    span = max(1, len(units.lines))
+    keys, often = np.unique(of_text[kept] * span + flat[kept], return_counts=True)
+    text, unit = np.divmod(keys, span)
+    each = units.pair_ends[unit + 1] - units.pair_ends[unit]
+    places = expanded(units.pair_ends[unit], each)
+    met = np.zeros(len(units.pairs), bool)
+    met[places] = True
+    pairs, number = np.unique(units.pairs[met], return_inverse=True)
+    at = np.zeros(len(units.pairs), np.int64)
+    at[met] = number
+    span = max(1, len(pairs))
+    keys = np.repeat(text, each) * span + at[places]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    weights = (units.weights[places] * np.repeat(often, each))[order]
+    weights = np.add.reduceat(weights, firsts) if len(firsts) else weights
+    text, at = np.divmod(keys[firsts], span)
     ends = np.searchsorted(text, np.arange(len(texts)), "right")
     return Aligned(np.array(counts).reshape(4, -1), agrees, lines, ends, at, weights, pairs)
 
@@ -329,7 +432,7 @@ def widened(data: bytes, count: int) -> np.ndarray:
 
 
 class Tables:
-    """The models, sent to the executors once, and each worker's units."""
+    """The models, sent to the executors once and loaded once by each worker."""
 
     def __init__(self, docs: DataFrame, a_path: str, b_path: str):
         with open(a_path, encoding="utf-8") as a, open(b_path, "rb") as b:
@@ -339,11 +442,11 @@ class Tables:
         TwoTokenizers(*models)  # what does not fit is refused here, not in a task
         self.models = docs.sparkSession.sparkContext.broadcast(models)
 
-    def units(self) -> Units:
+    def tokenizers(self) -> TwoTokenizers:
         key = self.models.value
         if _kept.get("models") != key:
-            _kept.update(models=key, units=Units(TwoTokenizers(*key)))
-        return _kept["units"]
+            _kept.update(models=key, tokenizers=TwoTokenizers(*key))
+        return _kept["tokenizers"]
 
 
 _kept: dict = {}
@@ -400,10 +503,10 @@ def chunks_of(rows: DataFrame, tables: Tables, chunk_bytes: int) -> DataFrame:
     ])
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, number = tables.units(), TaskContext.get().partitionId() << 32
+        tokenizers, number = tables.tokenizers(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, "text", chunk_bytes):
-                found = aligned(units, part.column("text").to_pylist())
+                found = aligned(tokenizers, part.column("text").to_pylist())
                 yield chunk_row(number, part.column("row"), found)
                 number += 1
 
@@ -470,6 +573,7 @@ def chunk_results(chunks: DataFrame, held: DataFrame, scores: DataFrame) -> Data
 
 
 def sums_by(group: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """Sums of whole numbers by group, exact in 64 bits."""
     out = np.zeros(count, np.int64)
     np.add.at(out, group, values)
     return out
@@ -492,11 +596,11 @@ def long_texts(
     ])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = tables.units()
+        tokenizers = tables.tokenizers()
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, place, text = (batch.column(n)[i].as_py() for n in ("doc", "place", "text"))
-                found = aligned(units, [text[1:]], whole=False)
+                found = aligned(tokenizers, [text[1:]], whole=False)
                 yield pa.record_batch([
                     pa.array([doc]), pa.array([place]), *map(pa.array, found.counts), pa.array(found.agrees),
                     pa.array(found.lines), pa.array([found.pairs]), pa.array([found.weights]),

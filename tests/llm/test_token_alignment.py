@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -129,16 +130,20 @@ def test_the_query_against_whole_texts(spark, brute):
     assert [tuple(r[c] for c in COLUMNS) for r in rows] == brute([d["text"] for d in docs])
 
 
-def test_units_are_forgotten_and_learnt_again(brute, monkeypatch):
+def test_large_groups_and_blocks_change_nothing(brute, monkeypatch):
     with open(A_PATH) as a, open(B_PATH, "rb") as b:
-        units = ta.Units(ta.TwoTokenizers(a.read(), b.read()))
-    texts = ["some words here", "other words there  ", "", "some words here"]
-    before = ta.aligned(units, texts)
-    monkeypatch.setattr(ta, "MOST_UNITS", 2)
-    after = ta.aligned(units, texts)
-    assert before.lines == after.lines and (before.counts == after.counts).all()
-    assert [r[:4] for r in brute(texts)] == [tuple(c) for c in after.counts.T.tolist()]
-    assert (after.weights.sum(), len(after.ends)) == (after.counts[3].sum(), 4)
+        tokenizers = ta.TwoTokenizers(a.read(), b.read())
+    texts = [t or "" for t in TEXTS]
+    want = brute(texts)
+    for block, large in ((20_000, 4_096), (2, 0), (3, 1)):
+        monkeypatch.setattr(ta, "BLOCK", block)
+        monkeypatch.setattr(ta, "LARGE_GROUP", large)
+        found = ta.aligned(tokenizers, texts)
+        assert [r[:4] for r in want] == [tuple(c) for c in found.counts.T.tolist()]
+        ends = np.append(0, found.ends)
+        assert [r[3] for r in want] == [found.weights[i:j].sum() for i, j in zip(ends, ends[1:])]
+        sha = [hashlib.sha256(x.encode()).hexdigest() if g else "" for x, g in zip(found.lines, found.agrees)]
+        assert [r[6] for r in want] == sha
 
 
 def test_tokenizers_without_certain_cuts_are_refused():
