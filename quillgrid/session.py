@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "quillgrid", master: str | None = None, **conf) -> SparkSession:
@@ -29,15 +29,31 @@ def build_session(app_name: str = "quillgrid", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that `spark.checkpoint.dir` names, which all executors share.
 
-    `spark.checkpoint.dir` decides. Only a local session without that setting, as in tests, gets
-    a temporary folder of this machine; elsewhere the executors could not read it.
+    None in a local session without that setting, as in tests, where a temporary folder of this
+    machine will do; any other session is refused, as its executors could not read one.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/quillgrid-{label}-{uuid.uuid4().hex}"
-    if not re.match(r"local($|\[)", spark.sparkContext.master):
+    if not shared and not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("Name a folder that all executors share in spark.checkpoint.dir.")
+    return shared.rstrip("/") if shared else None
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder."""
+    shared = shared_folder(spark)
+    if shared:
+        return f"{shared}/quillgrid-{label}-{uuid.uuid4().hex}"
     return os.path.join(tempfile.mkdtemp(prefix=f"quillgrid-{label}-"), "data")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The DataFrame written to the shared folder and read back; its partitions stay as they are."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = shared_folder(spark) or tempfile.mkdtemp(prefix="quillgrid-checkpoints-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

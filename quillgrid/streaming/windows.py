@@ -1,22 +1,6 @@
 """Attempt counting per key in time windows, in batch and as a stream.
 
-`anchored_windows` opens a window at a key's first event, closes it after a fixed time and
-opens the next one at the first event after that. Where a window starts depends on all
-windows before it, which looks sequential per key. Keys with few events are walked, many of
-them at once. A key may also hold a large share of all events; such a key is not walked in
-one task:
-
-1. events are counted per key and instant, and the time axis is cut into blocks of many
-   windows;
-2. for each block one small function is computed on its own: "if the window open at the
-   block's start ends at e, then the window open at the block's end ends at f(e)";
-3. functions of neighbouring blocks are chained level by level into functions of larger
-   blocks, until a key has few of them;
-4. from the top down each block learns the end of the window open at its start;
-5. every block then places its own windows.
-
-A task holds the instants of one block of one key, or the functions of FAN blocks, whose
-steps are at most the instants of one window length each, plus one.
+How anchored windows are found over any number of events per key is in `anchored.py`.
 """
 
 from __future__ import annotations
@@ -25,29 +9,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgrid.functions.columns import col, type_of
+from quillgrid.streaming.anchored import NEVER, PIECE_ROWS, distinct_instants, in_windows
 
 # The default window length and how many attempts it allows.
 WINDOW_SECONDS = 60
 ATTEMPT_LIMIT = 10
 
-# The most events of a key that are walked in one go, and the most keys that are treated as
-# large. A key that is not among those has at most one LARGE_KEYS-th of all events.
-WALK_LIMIT = 20_000
-LARGE_KEYS = 100_000
-
-# How many windows a block spans, which is also how many blocks are chained at once, and how
-# often blocks are chained before the rest is done per key.
-FAN = 64
-CHAININGS = 2
-
 MICROS = 1_000_000
-NEVER = np.iinfo(np.int64).min
 
 
 def micros(df: DataFrame, ts: str) -> Column:
@@ -85,344 +59,19 @@ def tumbling_counts(
     )
 
 
-def _whole_groups(
-    batches: Iterator[pd.DataFrame], names: list[str], most: int
-) -> Iterator[pd.DataFrame]:
-    """Cut sorted batches so that no group is split; at most `most` groups at a time."""
-
-    def pieces(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not parts:
-            return
-        whole = pd.concat(parts, ignore_index=True)
-        firsts = np.append(np.flatnonzero(_changes(whole, names)), len(whole))
-        for at in range(0, len(firsts) - 1, most):
-            upto = firsts[min(at + most, len(firsts) - 1)]
-            yield whole.iloc[firsts[at] : upto].reset_index(drop=True)
-
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        tail = np.flatnonzero(_changes(pdf, names))[-1]
-        follows = held and all(held[-1][c].iat[-1] == pdf[c].iat[0] for c in names)
-        if tail:
-            yield from pieces([*held, pdf.iloc[:tail]])
-            held = []
-        elif not follows:
-            yield from pieces(held)
-            held = []
-        held.append(pdf.iloc[tail:])
-    yield from pieces(held)
-
-
-def _changes(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
-    """True at the first row of every group of sorted rows."""
-    first = np.zeros(len(pdf), dtype=bool)
-    first[0] = True
-    for name in names:
-        values = pdf[name].to_numpy()
-        first[1:] |= values[1:] != values[:-1]
-    return first
-
-
-class _Groups:
-    """Where the groups of sorted rows begin and end, and which group each row is in."""
-
-    def __init__(self, pdf: pd.DataFrame, names: list[str]):
-        self.first = np.flatnonzero(_changes(pdf, names))
-        self.end = np.append(self.first[1:], len(pdf))
-        self.of = np.repeat(np.arange(len(self.first)), self.end - self.first)
-
-
-def _distinct_steps(group: np.ndarray, exits: np.ndarray) -> np.ndarray:
-    """Which steps to keep: one that leads where the next step of its group leads is dropped."""
-    keep = np.ones(len(group), dtype=bool)
-    keep[:-1] = (group[1:] != group[:-1]) | (exits[1:] != exits[:-1])
-    return keep
-
-
-def _following(groups: _Groups, t: np.ndarray, length: int) -> np.ndarray:
-    """For every instant the row of the first one a window length later, past the group's end
-    if there is none.
-
-    Instants are made comparable across groups by giving each group a stretch of its own.
-    """
-    offsets = t - t[groups.first][groups.of]
-    stretch = int(offsets.max()) + length + 1
-    at_once = max(1, 2**62 // stretch)
-    following = np.empty(len(t), dtype=np.int64)
-    for low in range(0, len(groups.first), at_once):
-        high = min(low + at_once, len(groups.first))
-        rows = slice(groups.first[low], groups.end[high - 1])
-        line = (groups.of[rows] - low) * stretch + offsets[rows]
-        following[rows] = rows.start + np.searchsorted(line, line + length, side="left")
-    return following
-
-
-def _block_functions(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
-    """The function of every block from its sorted instants."""
-    groups = _Groups(pdf, ["key", "block"])
-    t = pdf["instant"].to_numpy()
-    following = _following(groups, t, length)
-    # A window open at the start of the block ends within the first window length, so the
-    # first window opened here opens there or, failing that, at the next instant.
-    early = t - pdf["block"].to_numpy() * span < length
-    head = early.copy()
-    head[groups.first] = True
-    head[1:] |= early[:-1] & (groups.of[1:] == groups.of[:-1])
-    heads = np.flatnonzero(head)
-    end = groups.end[groups.of[heads]]
-    last = heads
-    while True:
-        ahead = following[last]
-        more = ahead < end
-        if not more.any():
-            break
-        last = np.where(more, ahead, last)
-    exits = t[last] + length
-    keep = _distinct_steps(groups.of[heads], exits)
-    chosen = pdf.iloc[heads[keep]]
-    return pd.DataFrame(
-        {
-            "key": chosen["key"].to_numpy(),
-            "block": chosen["block"].to_numpy(),
-            "entry": t[heads[keep]],
-            "exit": exits[keep],
-        }
-    )
-
-
-class _Children:
-    """The functions of the blocks inside larger blocks, sorted by parent, block and entry."""
-
-    def __init__(self, pdf: pd.DataFrame, span: int, length: int):
-        self.length = length
-        self.parents = _Groups(pdf, ["key", "parent"])
-        self.blocks = _Groups(pdf, ["key", "parent", "block"])
-        self.entry = pdf["entry"].to_numpy()
-        self.exit = pdf["exit"].to_numpy()
-        self.start = pdf["block"].to_numpy()[self.blocks.first] * span
-        self.first_block = self.blocks.of[self.parents.first]
-        self.block_count = np.append(self.first_block[1:], len(self.start)) - self.first_block
-        self.line = self._on_line(self.blocks.of, self.entry)
-
-    def _on_line(self, block: np.ndarray, moment: np.ndarray) -> np.ndarray:
-        """Moments in a block's first window length, comparable across blocks."""
-        start = self.start[block]
-        offset = np.minimum(np.maximum(moment, start) - start, self.length)
-        return block * (self.length + 1) + offset
-
-    def after(self, block: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Ends of the open windows after blocks, from their ends before them."""
-        at = np.searchsorted(self.line, self._on_line(block, end), side="left")
-        found = at < self.blocks.end[block]
-        return np.where(found, self.exit[np.minimum(at, len(self.exit) - 1)], end)
-
-
-def _merged_functions(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
-    """The function of every larger block: its blocks' functions in a row."""
-    children = _Children(pdf, span, length)
-    parents, blocks = children.parents, children.blocks
-    position = blocks.of - children.first_block[parents.of]
-    opening = position == 0
-    second = np.zeros(len(pdf), dtype=bool)
-    second[blocks.first] = position[blocks.first] == 1
-    rows = np.flatnonzero(opening | second)
-    parent = parents.of[rows]
-    entry = children.entry[rows]
-    end = np.where(opening[rows], children.exit[rows], entry)
-    for number in range(1, int(children.block_count.max())):
-        on = np.flatnonzero(children.block_count[parent] > number)
-        end[on] = children.after(children.first_block[parent[on]] + number, end[on])
-    keep = _distinct_steps(parent, end)
-    chosen = pdf.iloc[rows[keep]]
-    return pd.DataFrame(
-        {
-            "key": chosen["key"].to_numpy(),
-            "block": chosen["parent"].to_numpy(),
-            "entry": entry[keep],
-            "exit": end[keep],
-        }
-    )
-
-
-def _pushed_ends(pdf: pd.DataFrame, span: int, length: int) -> pd.DataFrame:
-    """The end of the window open at the start of every block, from that of its parent.
-
-    The parent's end is the row whose block is NEVER; where there is none, nothing is open.
-    """
-    known = pdf["block"].to_numpy() == NEVER
-    all_parents = _Groups(pdf, ["key", "parent"])
-    opened = np.full(len(all_parents.first), NEVER)
-    opened[all_parents.of[known]] = pdf["entry"].to_numpy()[known]
-    functions = pdf[~known].reset_index(drop=True)
-    if functions.empty:
-        return pd.DataFrame({"key": [], "block": [], "end": []})
-    children = _Children(functions, span, length)
-    end = opened[np.unique(all_parents.of[~known])]
-    ends = np.empty(len(children.start), dtype=np.int64)
-    for number in range(int(children.block_count.max())):
-        on = np.flatnonzero(children.block_count > number)
-        block = children.first_block[on] + number
-        ends[block] = end[on]
-        end[on] = children.after(block, end[on])
-    chosen = functions.iloc[children.blocks.first]
-    return pd.DataFrame(
-        {"key": chosen["key"].to_numpy(), "block": chosen["block"].to_numpy(), "end": ends}
-    )
-
-
-def _placed_windows(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """The window start of every instant. The row whose instant is NEVER holds, as `n`, the
-    end of the window open at the start of the block."""
-    known = pdf["instant"].to_numpy() == NEVER
-    everything = _Groups(pdf, ["key", "block"])
-    opened = np.full(len(everything.first), NEVER)
-    opened[everything.of[known]] = pdf["n"].to_numpy()[known]
-    rows = pdf[~known].reset_index(drop=True)
-    if rows.empty:
-        return pd.DataFrame({"key": [], "instant": [], "n": [], "window_start": []})
-    open_end = opened[np.unique(everything.of[~known])]
-    groups = _Groups(rows, ["key", "block"])
-    t = rows["instant"].to_numpy()
-    following = _following(groups, t, length)
-    earlier = t < open_end[groups.of]
-    at = groups.first + np.add.reduceat(earlier.astype(np.int64), groups.first)
-    starts = np.full(len(t), -1)
-    end = groups.end
-    while len(at):
-        on = at < end
-        at, end = at[on], end[on]
-        starts[at] = at
-        at = following[at]
-    opener = np.maximum.accumulate(starts)
-    window = np.where(earlier, open_end[groups.of] - length, t[np.maximum(opener, 0)])
-    return pd.DataFrame(
-        {
-            "key": rows["key"].to_numpy(),
-            "instant": t,
-            "n": rows["n"].to_numpy(),
-            "window_start": window,
-        }
-    )
-
-
 def anchored_windows(
-    events: DataFrame,
-    key: str,
-    ts: str,
-    seconds: int = WINDOW_SECONDS,
-    walk: int = WALK_LIMIT,
-    fan: int = FAN,
-    chainings: int = CHAININGS,
+    events: DataFrame, key: str, ts: str, seconds: int = WINDOW_SECONDS, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """`key, instant, n, window_start`: the window of every instant of a key.
 
-    Times are microseconds since 1970 and `n` counts the events at the instant.
+    Times are microseconds since 1970 and `n` counts the events at the instant. Events without a
+    key or a time are left out. Counting the events and finding the windows that are open between
+    pieces runs at once; the result is lazy.
     """
-    length = seconds * MICROS
-    slim = events.select(col(key).alias("key"), micros(events, ts).alias("instant")).na.drop()
-    sizes = slim.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.filter(F.col("size") > walk).orderBy(F.col("size").desc()).limit(LARGE_KEYS)
-    # At most LARGE_KEYS keys. Without the broadcast the events would be shuffled by key, and
-    # those of a hot key would meet in one task.
-    large = F.broadcast(large.select("key"))
-
-    whole = F.lit(0).cast("bigint").alias("block")
-    once = F.lit(1).cast("bigint").alias("n")
-    few = slim.join(large, "key", "left_anti").select("key", whole, "instant", once)
-    many = slim.join(large, "key", "left_semi").groupBy("key", "instant").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    key_type = type_of(events, key).simpleString()
-    schema = f"key {key_type}, instant bigint, n bigint, window_start bigint"
-    most = 2**61 // (length + 1)
-    walked = _by_group(
-        few, "block", ["instant"], schema, lambda g: _counted(_placed_windows(g, length)), most
-    )
-    placed = _windows_by_block(many, key_type, length, fan, chainings)
-    return walked.unionByName(placed).withColumnRenamed("key", key)
-
-
-def _counted(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sorted rows with one event each, merged to one row per key and instant."""
-    first = np.flatnonzero(_changes(rows, ["key", "instant"]))
-    return rows.iloc[first].assign(n=np.diff(np.append(first, len(rows))))
-
-
-def _by_group(
-    df: DataFrame, group: str, order: list[str], schema: str, compute, most: int
-) -> DataFrame:
-    """Run a function over whole groups of sorted rows, many groups per call."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_groups(batches, ["key", group], most):
-            yield compute(rows)
-
-    rows = df.repartition("key", group).sortWithinPartitions("key", group, *order)
-    return rows.mapInPandas(run, schema)
-
-
-def _windows_by_block(
-    instants: DataFrame, key_type: str, length: int, fan: int, chainings: int
-) -> DataFrame:
-    """The windows of keys with many instants, block by block."""
-    span = fan * length
-    most = max(1, 2**61 // (fan * (length + 1)))
-    function_schema = f"key {key_type}, block bigint, entry bigint, exit bigint"
-    end_schema = f"key {key_type}, block bigint, end bigint"
-    window_schema = f"key {key_type}, instant bigint, n bigint, window_start bigint"
-
-    def by_group(df: DataFrame, group: str, order: list[str], schema: str, compute) -> DataFrame:
-        return _by_group(df, group, order, schema, compute, most)
-
-    def inside(df: DataFrame) -> DataFrame:
-        parent = F.expr(f"(block - pmod(block, {fan})) div {fan}").alias("parent")
-        return df.select("key", parent, "block", "entry", "exit")
-
-    instants = instants.withColumn(
-        "block", F.expr(f"(instant - pmod(instant, {span})) div {span}")
-    ).select("key", "block", "instant", "n")
-    leaf = by_group(
-        instants, "block", ["instant"], function_schema, lambda g: _block_functions(g, span, length)
-    )
-    levels, spans = [leaf], [span]
-    for _ in range(chainings):
-        levels.append(
-            by_group(
-                inside(levels[-1]), "parent", ["block", "entry"], function_schema,
-                lambda g, inner=spans[-1]: _merged_functions(g, inner, length),
-            )
-        )
-        spans.append(spans[-1] * fan)
-    known = None
-    for functions, inner in zip(reversed(levels), reversed(spans)):
-        if known is None:
-            whole = F.lit(0).cast("bigint").alias("parent")
-            rows = functions.select("key", whole, "block", "entry", "exit")
-        else:
-            marker = F.lit(NEVER).alias("block")
-            rows = inside(functions).unionByName(
-                known.select(
-                    "key",
-                    F.col("block").alias("parent"),
-                    marker,
-                    F.col("end").alias("entry"),
-                    F.lit(0).cast("bigint").alias("exit"),
-                )
-            )
-        known = by_group(
-            rows, "parent", ["block", "entry"], end_schema,
-            lambda g, inner=inner: _pushed_ends(g, inner, length),
-        )
-    opened = known.select(
-        "key", "block", F.lit(NEVER).alias("instant"), F.col("end").alias("n")
-    )
-    placed = by_group(
-        instants.unionByName(opened), "block", ["instant"], window_schema,
-        lambda g: _placed_windows(g, length),
-    )
-    return placed
+    instants = distinct_instants(col(key), micros(events, ts), events)
+    upper = events.select(col(key), col(ts)).na.drop().count()
+    placed = in_windows(instants, [], seconds * MICROS, upper, piece_rows, running=False)
+    return placed.withColumnRenamed("key", key)
 
 
 def anchored_counts(
@@ -431,9 +80,10 @@ def anchored_counts(
     ts: str,
     seconds: int = WINDOW_SECONDS,
     limit: int = ATTEMPT_LIMIT,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Attempts per key and anchored window, and how many of them exceed the limit."""
-    windows = anchored_windows(events, key, ts, seconds)
+    windows = anchored_windows(events, key, ts, seconds, piece_rows)
     counted = windows.groupBy(col(key), "window_start").agg(F.sum("n").alias("attempts"))
     return counted.withColumn("rejected", F.greatest(F.col("attempts") - limit, F.lit(0)))
 
@@ -445,18 +95,22 @@ def anchored_attempts(
     tie: str,
     seconds: int = WINDOW_SECONDS,
     limit: int = ATTEMPT_LIMIT,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Every event with its running number in its window and whether that exceeds the limit."""
-    in_window = Window.partitionBy(col(key), "window_start").orderBy("instant")
-    windows = anchored_windows(events, key, ts, seconds)
-    numbered = windows.withColumn("_before", F.sum("n").over(in_window) - F.col("n"))
-    at_instant = Window.partitionBy(col(key), "instant").orderBy(col(tie))
-    joined = events.withColumn("instant", micros(events, ts)).join(numbered, [key, "instant"])
-    attempt = F.col("_before") + F.row_number().over(at_instant)
-    return (
-        joined.withColumn("attempt", attempt.cast("bigint"))
-        .withColumn("over_limit", F.col("attempt") > limit)
-        .drop("_before", "n")
+    """Every event with its running number in its window and whether that exceeds the limit.
+
+    Events of one instant are numbered in the order of `tie`. A window, or an instant, with any
+    share of all events is numbered piece by piece.
+    """
+    rows = events.select(
+        col(key).alias("key"), micros(events, ts).alias("instant"), F.lit(1).cast("bigint").alias("n"),
+        col(tie).alias("tie"), F.struct(*[col(c) for c in events.columns]).alias("row"),
+    ).na.drop(subset=["key", "instant"])
+    upper = rows.select("key", "instant").count()
+    placed = in_windows(rows, ["tie"], seconds * MICROS, upper, piece_rows, running=True)
+    attempt = F.col("before") + 1
+    return placed.select(
+        "row.*", "instant", "window_start", attempt.alias("attempt"), (attempt > limit).alias("over_limit")
     )
 
 

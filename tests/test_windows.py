@@ -2,10 +2,12 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillgrid.session import work_folder
-from quillgrid.streaming import requests, windows
+from quillgrid.streaming import anchored, requests, windows
 
 SECOND = 1_000_000
 
@@ -45,36 +47,74 @@ def keys_of_every_kind(seed):
     return keys
 
 
-@pytest.mark.parametrize(
-    "walk, fan, chainings", [(0, 2, 3), (0, 5, 2), (100, 64, 2), (0, 3, 0), (20_000, 64, 2)]
-)
-def test_anchored_windows(spark, walk, fan, chainings):
-    keys = keys_of_every_kind(fan)
+@pytest.mark.parametrize("piece_rows", [30, 3_000, 1_000_000])
+def test_anchored_windows(spark, piece_rows):
+    keys = keys_of_every_kind(piece_rows)
+    if piece_rows == 30:  # more pieces would take minutes
+        keys = {k: [t for t in ts if t < 200 * SECOND] for k, ts in keys.items() if not k.startswith("random")}
     rows = [(k, int(t)) for k, ts in keys.items() for t in ts]
+    rows += [(None, 5), ("even", None)]
     events = spark.createDataFrame(rows, "k string, t bigint").select(
         "k", F.timestamp_micros("t").alias("ts")
     )
-    found = windows.anchored_windows(events.repartition(7), "k", "ts", 10, walk, fan, chainings)
-    got = {}
-    for r in found.collect():
+    events = events.repartition(3)
+    got, attempts = {}, {}
+    for r in windows.anchored_windows(events, "k", "ts", 10, piece_rows).collect():
         got.setdefault(r.k, []).extend([(r.instant, r.window_start)] * r.n)
+    numbered = windows.anchored_attempts(events.withColumn("id", F.rand(1)), "k", "ts", "id", 10, 2, piece_rows)
+    for r in numbered.collect():
+        attempts.setdefault(r.k, []).append((r.instant, r.window_start, r.attempt))
     for k, ts in keys.items():
-        assert sorted(got[k]) == counted([int(t) for t in ts], 10 * SECOND), k
-
-
-def test_groups_are_not_split_between_batches():
-    import pandas as pd
-
-    pdf = pd.DataFrame({"key": [1, 1, 1, 2, 2, 3, 3, 3, 3], "block": [0, 0, 1, 1, 1, 1, 1, 1, 2]})
-    pdf["row"] = range(len(pdf))
-    for size in (1, 2, 3, 9):
-        for most in (1, 2, 100):
-            batches = [pdf.iloc[i : i + size] for i in range(0, len(pdf), size)]
-            pieces = list(windows._whole_groups(iter(batches), ["key", "block"], most))
-            assert [r for p in pieces for r in p["row"]] == list(range(len(pdf)))
-            seen = [set(map(tuple, p[["key", "block"]].to_numpy())) for p in pieces]
-            assert sum(map(len, seen)) == len(set().union(*seen)) == 5
-            assert all(len(s) <= most for s in seen)
+        expected = counted([int(t) for t in ts], 10 * SECOND)
+        assert sorted(got[k]) == expected, k
+        numbers, before = [], None
+        for t, start in expected:
+            numbers.append((t, start, numbers[-1][2] + 1 if start == before else 1))
+            before = start
+        assert sorted(attempts[k]) == numbers, k
+
+
+def test_one_key_with_windows_longer_than_pieces(spark):
+    """No task holds more rows than a piece has, whatever a key or a window holds."""
+    rng = np.random.default_rng(8)
+    instants = np.sort(rng.integers(0, 40 * 86_400, 1_500)) * SECOND
+    events = spark.createDataFrame([(1, int(t)) for t in instants], "k int, t bigint").select(
+        "k", F.timestamp_micros("t").alias("ts")
+    )
+    for seconds in (86_400, 90 * 86_400):
+        found = windows.anchored_counts(events, "k", "ts", seconds, 3, piece_rows=100)
+        expected = {}
+        for _, start in counted(instants.tolist(), seconds * SECOND):
+            expected[start] = expected.get(start, 0) + 1
+        assert {r.window_start: r.attempts for r in found.collect()} == expected
+    placed = windows.anchored_windows(events, "k", "ts", 86_400, piece_rows=100)
+    assert placed.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0] < 250
+
+
+def test_keys_of_any_type(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(-1.5, i % 3, base + dt.timedelta(seconds=7 * i)) for i in range(40)] + [(0.0, 5, base)]
+    events = spark.createDataFrame(rows, "f double, i int, ts timestamp")
+    for key in (F.col("f"), F.struct("f", "i"), F.col("i").cast("decimal(9,2)"), F.col("ts")):
+        keyed = events.withColumn("k", key)
+        few, many = (
+            sorted((str(r.k), r.window_start, r.attempts) for r in windows.anchored_counts(keyed, "k", "ts", 60, 3, n).collect())
+            for n in (100, 4)
+        )
+        assert few == many and sum(r[2] for r in few) == 41
+
+
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=60), st.integers(1, 25), st.integers(-5, 90))
+def test_step_functions(instants, length, end):
+    t = np.unique(instants)
+    entry, before, exits = anchored.steps_of(t, length)
+    assert (np.diff(exits) > 0).all() and before[0] == anchored.NEVER
+    end = min(end, int(t[0]) + length - 1)
+    k = int(np.searchsorted(entry, end))
+    walked = end
+    for x in t.tolist():
+        walked = x + length if x >= walked else walked
+    assert (int(exits[k]) if k < len(entry) else end) == walked
 
 
 def test_attempts_and_limit(spark, rows):
