@@ -54,9 +54,9 @@ from tokenizers import Tokenizer
 from quillgrid.llm.common import carried, checkpointed, expanded, shuffle_partitions, slices
 
 #: Bytes of text of a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Texts with more bytes than this are cut into pieces of so many characters.
-LONG_BYTES, PIECE_CHARS = 4 << 20, 1 << 20
+LONG_BYTES, PIECE_CHARS = 2 << 20, 1 << 20
 #: Fragments that are composed at once.
 FAN = 64
 #: Units that are handed to the tokenizers at once.
