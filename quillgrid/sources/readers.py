@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 from quillgrid.functions.columns import col, nan_to_null
 from quillgrid.functions.scalars import NUMBER_PATTERN, as_number
 from quillgrid.operators.filters import rules_condition
+from quillgrid.sources.records import FIRST, Quotes, csv_ranges, csv_records, json_records
 
 # Text cells that mean "missing" in a CSV file.
 MISSING_TOKENS = [
@@ -31,11 +30,12 @@ FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parqu
 
 
 def load_dataset(
-    spark: SparkSession, path: str, fmt: str | None = None, where: dict | None = None
+    spark: SparkSession, path: str, fmt: str | None = None, where: dict | None = None, **options
 ) -> DataFrame:
     """Read a dataset, choosing the reader by `fmt` or by the suffix of the path.
 
-    `where` takes filter rules for any format; Parquet also skips row groups by them.
+    `where` takes filter rules for any format; Parquet also skips row groups by them. Other options
+    are those of the reader, such as `schema`.
     """
     if fmt is None:
         suffix = "." + path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -43,11 +43,11 @@ def load_dataset(
             raise ValueError(f"No reader for files ending in {suffix}")
         fmt = FORMATS[suffix]
     if fmt == "parquet":
-        return read_parquet(spark, path, where)
+        return read_parquet(spark, path, where, **options)
     if fmt == "csv":
-        df = read_csv(spark, path)
+        df = read_csv(spark, path, **options)
     elif fmt in ("json", "jsonl"):
-        df = read_json(spark, path, lines=fmt == "jsonl")
+        df = read_json(spark, path, lines=fmt == "jsonl", **options)
     else:
         raise ValueError(f"No reader for the format {fmt}")
     return df.filter(rules_condition(df, where)) if where else df
@@ -67,51 +67,57 @@ def read_parquet(spark: SparkSession, path: str, where: dict | None = None) -> D
 
 
 def read_json(
-    spark: SparkSession, path: str, lines: bool = False, timestamps: list[str] | None = None
-) -> DataFrame:
+    spark: SparkSession, path: str, lines: bool = False, timestamps: list[str] | None = None,
+    schema: T.StructType | None = None,
+) -> DataFrame:
     """Read an array of records, or one record per line with `lines=True`.
 
-    One array cannot be split between tasks; large inputs should be lines or many files.
-    Text is never guessed to be a time: name such columns in `timestamps`.
+    One array is read by as many tasks as Spark deals its file to. Without a `schema` the records
+    are read once more to find the types. Text is never guessed to be a time: name such columns in
+    `timestamps`.
     """
-    df = nan_to_null(spark.read.json(path, multiLine=not lines))
-    return df.withColumns({c: col(c).cast("timestamp") for c in timestamps or []})
+    if lines:
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        df = reader.json(path)
+    else:
+        records = json_records(spark, path)
+        if schema is not None:
+            df = records.select(F.from_json("record", schema).alias("r")).select("r.*")
+        else:
+            df = _inferred_json(spark, records)
+    return nan_to_null(df).withColumns({c: col(c).cast("timestamp") for c in timestamps or []})
 
 
-def _header(spark: SparkSession, path: str, **options) -> tuple[list[str], list[str]]:
-    """Column names from the first record, and that record.
+def _inferred_json(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """Spark's own JSON reader over a column of texts, which stay in the JVM."""
+    texts = getattr(records._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark.read._jreader.json(texts), spark)
 
-    Repeated names get a counter, as in `a`, `a.1`.
-    """
-    first = spark.read.csv(path, header=False, **options).first()
-    if first is None:
-        raise ValueError("The file has no header, as it is empty.")
+
+def _names(cells: list[str | None]) -> list[str]:
+    """Column names from the cells of the header. Repeated names get a counter, as in `a`, `a.1`."""
     names: list[str] = []
-    for position, cell in enumerate(first):
+    for position, cell in enumerate(cells):
         base = cell if cell else f"Unnamed: {position}"
         name, counter = base, 0
         while name in names:
             counter += 1
             name = f"{base}.{counter}"
         names.append(name)
-    return names, list(first)
+    return names
 
 
 @F.pandas_udf(T.BooleanType())
-def _never_ends(texts: pd.Series) -> pd.Series:
-    """Whether a quoted field of the text is still open at its end.
+def _never_ends(lines: pd.Series) -> pd.Series:
+    """Whether a quoted cell of the line is still open at its end."""
+    quotes = Quotes(blanks=False)
+    return lines.map(lambda line: quotes.after(line, False))
 
-    A quote opens a field only at its start; anywhere else in an unquoted field it is text.
-    """
-    closed = re.compile(r'(^|[,\n])"[^"]*(?:""[^"]*)*"(?=,|\r?\n|\Z)')
-    opened = re.compile(r'(?:^|[,\n])"[^"]*(?:""[^"]*)*\Z')
-    return texts.map(lambda text: bool(opened.search(closed.sub(r"\1", text))))
 
-
-def _check_quotes(spark: SparkSession, path: str, multiline: bool) -> None:
-    """Refuse files with a quoted field that never ends; without `multiline` it ends in its line."""
-    lines = spark.read.text(path, wholetext=multiline)
-    broken = lines.filter(_never_ends("value")).select(F.col("_metadata.file_path").alias("file"))
+def _check_lines(spark: SparkSession, path: str) -> None:
+    """Refuse files with a line that ends inside quotes."""
+    quoted = spark.read.text(path).where(F.contains("value", F.lit('"')))
+    broken = quoted.filter(_never_ends("value")).select(F.col("_metadata.file_path").alias("file"))
     found = broken.first()
     if found:
         raise ValueError(f"A quoted field never ends in {found.file}.")
@@ -120,18 +126,77 @@ def _check_quotes(spark: SparkSession, path: str, multiline: bool) -> None:
 BROKEN = "_broken_record"
 
 
-def _strings(spark, path, names, header, **options) -> DataFrame:
-    """All cells as text, and BROKEN: the record, where it has more cells than the header.
+def _cells(
+    spark: SparkSession, path: str, multiline: bool, check_quotes: bool, options: dict,
+    names: list[str] | None = None,
+) -> tuple[list[str], DataFrame]:
+    """The column names and all cells as text, and BROKEN: the record, where it has more cells than
+    the header. Every file must begin with the same header, which must hold `names` if given.
 
-    Every file must have the same header (unless repeated or empty names had to be replaced).
+    Where no record spans lines, Spark's own reader parses the lines. Else the records are put
+    together first, range by range of each file, so that one file is read by many tasks.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
+    spans = False
+    if multiline:
+        lines, ranges, quotes = csv_ranges(spark, path, "ignoreLeadingWhiteSpace" in options)
+        unended = [f for f, state in ranges.final.items() if state[0]]
+        if unended and check_quotes:
+            raise ValueError(f"A quoted field never ends in {ranges.files.get(unended[0], path)}.")
+        spans = ranges.spanning
+    elif check_quotes:
+        _check_lines(spark, path)
+    if not spans:
+        first = spark.read.csv(path, header=False, **options).first()
+        header = list(first) if first is not None else None
+        if header is not None and _names(header) == header:
+            return header, _plain_cells(spark, path, header, names, options)
+        if not multiline:
+            lines, ranges, quotes = csv_ranges(spark, path, "ignoreLeadingWhiteSpace" in options)
+    records = csv_records(lines, ranges, quotes)
+    first = records.where(F.col("kind") == FIRST).first()
+    if first is None:
+        raise ValueError("The file has no header, as it is empty.")
+    options = {k: str(v) for k, v in options.items()} | {"multiLine": "true"}
+    parsed = lambda record, n: F.from_csv(record, ", ".join(f"c{i} string" for i in range(n)), options)
+    width = _width(first["record"])
+    cells = spark.range(1).select(parsed(F.lit(first["record"]), width).alias("cells")).first()["cells"]
+    found = _names(list(cells))
+    if names is not None and names != found:
+        raise ValueError(f"The header is {found}, not {names}.")
+    other = F.raise_error(F.concat(F.lit("Another header than in the first file: "), F.col("record")))
+    is_row = (
+        F.when(F.col("kind") != FIRST, F.trim("record") != "")
+        .when(F.col("record") == first["record"], False)
+        .otherwise(other.cast("boolean"))
+    )
+    rows = records.where(is_row).select("record", parsed(F.col("record"), width + 1).alias("c"))
+    surplus = F.when(F.col(f"c.c{width}").isNotNull(), F.col("record")).alias(BROKEN)
+    return found, rows.select(*[F.col(f"c.c{i}").alias(n) for i, n in enumerate(found)], surplus)
+
+
+def _width(record: str) -> int:
+    """The number of cells of a record."""
+    quotes = Quotes(blanks=True)
+    cells, inside = 0, False
+    for part in record.split(","):
+        inside = quotes.after(part, inside)
+        cells += not inside
+    return cells
+
+
+def _plain_cells(
+    spark: SparkSession, path: str, header: list[str], names: list[str] | None, options: dict
+) -> DataFrame:
+    """Cells of files in which every line is a record."""
+    if names is not None and names != header:
+        raise ValueError(f"The header is {header}, not {names}.")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*header, BROKEN]])
     raw = spark.read.schema(schema).csv(
-        path, header=True, enforceSchema=names != header, columnNameOfCorruptRecord=BROKEN, **options
+        path, header=True, enforceSchema=False, columnNameOfCorruptRecord=BROKEN, **options
     )
-    cells = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    cells = ", ".join(f"c{i} string" for i in range(len(header) + 1))
     parsed = F.from_csv(F.col(BROKEN), F.lit(cells), {"quote": '"', "escape": '"'})
-    surplus = F.when(parsed[f"c{len(names)}"].isNotNull(), F.col(BROKEN))
+    surplus = F.when(parsed[f"c{len(header)}"].isNotNull(), F.col(BROKEN))
     return raw.withColumn(BROKEN, surplus)
 
 
@@ -140,8 +205,7 @@ def _refuse_surplus(record: str | None) -> None:
         raise ValueError(f"A record has more cells than the header: {record[:200]}")
 
 
-def _csv_options(multiline: bool) -> dict:
-    return {"quote": '"', "escape": '"', "multiLine": multiline, "mode": "PERMISSIVE"}
+CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
 def _kind(text: Column) -> Column:
@@ -164,17 +228,16 @@ def read_csv(
 ) -> DataFrame:
     """Read CSV with a header; one aggregate over the cells decides each column's type.
 
-    Missing-value tokens become NULL and date-looking text stays text. Records with more cells
-    than the header and files with another header are refused; missing cells at the end of a
-    record are NULL. With `multiline=False` files without line breaks inside quotes can be split
-    between tasks. With a `schema` nothing is read beforehand: its names must be those of the
-    header, and cells are cast to its types (one that cannot be fails the job).
+    Missing-value tokens become NULL and date-looking text stays text. Records end with a line feed,
+    with or without a carriage return. Records with more cells than the header and files with
+    another header are refused; missing cells at the end of a record are NULL. Quoted cells may hold
+    line breaks: a first pass over the lines with quotes finds out where records begin. With
+    `multiline=False` there are none, and that pass only looks for quotes that never end, unless
+    `check_quotes` is false. With a `schema` no pass is needed for the types: its names must be those
+    of the header, and cells are cast to its types (one that cannot be fails the job).
     """
-    options = _csv_options(multiline)
-    if check_quotes:
-        _check_quotes(spark, path, multiline)
     if schema is not None:
-        raw = _strings(spark, path, schema.names, schema.names, **options)
+        _, raw = _cells(spark, path, multiline, check_quotes, CSV_OPTIONS, schema.names)
         refused = F.raise_error(F.concat(F.lit("More cells than the header: "), F.col(BROKEN)))
         return raw.select(
             *[
@@ -184,8 +247,7 @@ def read_csv(
                 for f in schema.fields
             ]
         )
-    names, header = _header(spark, path, **options)
-    raw = _strings(spark, path, names, header, **options)
+    names, raw = _cells(spark, path, multiline, check_quotes, CSV_OPTIONS)
     raw = raw.select(
         *[F.when(~col(n).isin(MISSING_TOKENS), col(n)).alias(n) for n in names], BROKEN
     )
@@ -222,12 +284,8 @@ def read_lenient_csv(
     data rows is an error, and so is a record with more cells than the header. All rows are
     read; for the first ones by some keys see `ranking.head`.
     """
-    options = _csv_options(multiline) | {
-        "ignoreLeadingWhiteSpace": True,
-        "ignoreTrailingWhiteSpace": True,
-    }
-    names, header = _header(spark, path, **options)
-    raw = _strings(spark, path, names, header, **options)
+    trimmed = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    names, raw = _cells(spark, path, multiline, False, CSV_OPTIONS | trimmed)
     raw = raw.select(
         *[F.when(F.trim(col(n)) != "", F.trim(col(n))).alias(n) for n in names], BROKEN
     )

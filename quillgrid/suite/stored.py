@@ -129,6 +129,32 @@ def source_json_missing(spark, sf):
     return back.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query(
+    "source_json_array_files",
+    """SELECT doc_id, text, lang, source, n_chars FROM documents""",
+)
+def source_json_array_files(spark, sf):
+    """Every file is one array, with records in any number of lines; each is read by many tasks."""
+    path = work_folder(spark, "json")
+    documents = table(spark, sf, "documents").repartition(2, "doc_id")
+    records = documents.select(F.to_json(F.struct(*documents.columns), {"pretty": "true"}).alias("value"))
+    records.mapInArrow(one_array, "value string").write.text(path)
+    schema = documents.schema
+    return readers.load_dataset(spark, path, "json", schema=schema)
+
+
+def one_array(batches):
+    """The lines of one array of all records of a task."""
+    import pyarrow as pa
+
+    before = "["
+    for batch in batches:
+        for text in batch.column("value").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array([before + text])], schema=batch.schema)
+            before = ","
+    yield pa.record_batch([pa.array(["]" if before == "," else "[]"])], ["value"])
+
+
 @query("source_json_arrays", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def source_json_arrays(spark, sf):
     """Every line holds an array of at most a hundred records."""

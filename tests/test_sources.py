@@ -1,7 +1,10 @@
+import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.session import work_folder
 from quillgrid.sources import inventory, readers, writers
@@ -186,3 +189,92 @@ def test_work_folder_follows_the_session():
         Session.sparkContext.master = master
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             work_folder(Session, "x")
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are read in ranges of some bytes, so that records begin and end in other ranges."""
+
+    def use(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", str(size))
+
+    yield use
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def csv_text(cells, newline="\n"):
+    quoted = [["" if c is None else '"' + c.replace('"', '""') + '"' if set(c) & set(',"\n\r ') else c for c in r] for r in cells]
+    return newline.join(",".join(r) for r in quoted) + newline
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [7, 40, 333, 10_000_000])
+def test_csv_records_over_many_ranges(spark, tmp_path, small_ranges, newline, size):
+    rng = random.Random(size)
+    parts = ["a", "x,y", 'say "hi"', "\n", "\n\n", "5\" pipe", "\r\n", "é", '"', ",", " ", "long " * 9]
+    count = 12 if size == 7 else 60
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    expected = []
+    for name in ("one", "two"):
+        rows = [[f"k{name}{i}", "".join(rng.choice(parts) for _ in range(rng.randrange(5))) or "z", rng.choice(["p", None])] for i in range(count)]
+        expected += [tuple(r) for r in rows]
+        (folder / f"{name}.csv").write_bytes(csv_text([["k", "text\nname", "a"], *rows], newline).encode())
+    small_ranges(size)
+    df = readers.read_csv(spark, str(folder))
+    assert df.columns == ["k", "text\nname", "a"]
+    assert sorted(map(tuple, df.collect())) == sorted(expected)
+    if size < 1_000:
+        assert df.rdd.getNumPartitions() > 4
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in df.columns])
+    assert sorted(map(tuple, readers.load_dataset(spark, str(folder), "csv", schema=schema).collect())) == sorted(expected)
+
+
+def test_csv_headers_of_every_file_are_compared(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,a\n1,2\n")
+    (tmp_path / "two.csv").write_text("b,c\n3,4\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "two.csv").write_text('a,a\n3,"4\n5"\n')
+    assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path)).collect())) == [(1, "2"), (3, "4\n5")]
+
+
+def test_csv_quote_that_never_ends_over_many_ranges(spark, put, small_ranges):
+    small_ranges(20)
+    text = 'a,b\n' + "x,y\n" * 30 + 'x,"1\n' + "x,y\n" * 30
+    with pytest.raises(ValueError, match="never ends"):
+        readers.read_csv(spark, put(text))
+    assert readers.read_csv(spark, put(text), check_quotes=False).count() == 31
+
+
+@pytest.mark.parametrize("size", [9, 64, 10_000_000])
+def test_json_arrays_over_many_ranges(spark, tmp_path, small_ranges, size):
+    rng = random.Random(size)
+    texts = ["", "}", "{", "[{", '"', "\\", '\\"}', "]", "a\n}", "é", "x" * 30]
+    records = [
+        {"id": i, "t": "".join(rng.choice(texts) for _ in range(rng.randrange(4))), "s": {"u": [{"v": rng.choice(texts)}] * rng.randrange(3)}}
+        for i in range(12 if size == 9 else 80)
+    ]
+    (tmp_path / "one.json").write_text(json.dumps(records[::2]))
+    (tmp_path / "two.json").write_text(json.dumps(records[1::2], indent=2, ensure_ascii=False) + "\n")
+    (tmp_path / "none.json").write_text(" [ ]\n")
+    (tmp_path / "single.json").write_text('{"id": -1, "t": "}"}')
+    small_ranges(size)
+    df = readers.load_dataset(spark, str(tmp_path), "json")
+    assert dict(df.dtypes) == {"id": "bigint", "s": "struct<u:array<struct<v:string>>>", "t": "string"}
+    got = {r.id: r for r in df.collect()}
+    assert len(got) == len(records) + 1 and got.pop(-1).t == "}"
+    for r in records:
+        assert got[r["id"]].t == r["t"] and [x.v for x in got[r["id"]].s.u] == [x["v"] for x in r["s"]["u"]]
+    if size < 100:
+        assert df.rdd.getNumPartitions() > 4
+    slim = readers.load_dataset(spark, str(tmp_path), "json", schema=T.StructType([T.StructField("id", T.IntegerType())]))
+    assert sorted(r.id for r in slim.collect()) == sorted([-1, *got])
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a": ', '[{"a": "}', '[{"a": 1}, 5]', '[1, 2]', '[{"a": 1}'])
+def test_broken_json_arrays_are_refused(spark, put, text):
+    with pytest.raises(Exception, match="never end|Something else"):
+        readers.read_json(spark, put(text, "d.json")).collect()
