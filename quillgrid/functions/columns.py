@@ -36,7 +36,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def require_columns(df: DataFrame, names) -> None:
     unknown = sorted(set(names) - set(df.columns))
     if unknown:
-        raise ValueError(f"Unknown columns: {', '.join(unknown)}")
+        raise ValueError(f"The table has no column named {', '.join(unknown)}.")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -53,6 +53,30 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(holds_map(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return holds_map(dtype.elementType)
+    return isinstance(dtype, T.MapType)
+
+
+def comparable(value: Column, dtype: T.DataType) -> Column:
+    """A value that can be compared and grouped: maps, at any depth, become sorted lists of their
+    entries."""
+    if not holds_map(dtype):
+        return value
+    if isinstance(dtype, T.MapType):
+        entry = lambda e: F.struct(
+            e["key"].alias("key"), comparable(e["value"], dtype.valueType).alias("value")
+        )
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda e: comparable(e, dtype.elementType))
+    fields = [comparable(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
 def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
     """The first `limit` rows in the order given, or all rows where it is None."""
     return df if limit is None else df.limit(limit)

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from quillgrid.functions.columns import (
     col,
+    comparable,
+    holds_map,
     is_floating,
     is_numeric,
     nan_to_null,
@@ -18,14 +20,17 @@ from quillgrid.functions.scalars import NUMBER_PATTERN, label_text, measure, val
 
 # The type names a cast step takes, and the Spark type each one means.
 TYPE_NAMES = {
-    "float64": "double", "float32": "float", "float": "double", "Float64": "double",
-    "int64": "bigint", "int32": "int", "int": "bigint", "Int64": "bigint", "Int32": "int",
+    "float64": "double", "float32": "float", "float": "double", "Float64": "double", "Float32": "float",
+    "int64": "bigint", "int32": "int", "int16": "smallint", "int8": "tinyint", "int": "bigint",
+    "Int64": "bigint", "Int32": "int", "Int16": "smallint", "Int8": "tinyint",
     "string": "string", "str": "string", "object": "string",
-    "bool": "boolean", "boolean": "boolean", "datetime64[ns]": "timestamp",
+    "bool": "boolean", "boolean": "boolean",
+    "datetime64[ns]": "timestamp", "datetime64[us]": "timestamp", "datetime64[ms]": "timestamp",
+    "datetime64[s]": "timestamp",
 }
 
 # Integer types that cannot hold a missing value.
-STRICT_INTEGERS = ("int64", "int32", "int")
+STRICT_INTEGERS = ("int64", "int32", "int16", "int8", "int")
 
 
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -97,18 +102,15 @@ def cast_types(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """Whole rows, with missing values equal to each other.
 
-    Maps cannot be compared; their JSON text, with sorted entries, decides for them.
+    Maps, which Spark cannot compare, are compared as sorted lists of their entries.
     """
     clean = nan_to_null(df)
-    maps = [f.name for f in clean.schema.fields if isinstance(f.dataType, T.MapType)]
-    if not maps:
+    fields = clean.schema.fields
+    if not any(holds_map(f.dataType) for f in fields):
         return clean.dropDuplicates()
-    texts = {
-        f"_map{i}": F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(c)))))
-        for i, c in enumerate(maps)
-    }
-    keys = [c for c in clean.columns if c not in maps]
-    return clean.withColumns(texts).dropDuplicates([*keys, *texts]).drop(*texts)
+    keys = F.struct(*[comparable(col(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)])
+    row = F.struct(*[col(f.name) for f in fields])
+    return clean.select(keys.alias("key"), row.alias("row")).dropDuplicates(["key"]).select("row.*")
 
 
 def fill_nulls_lenient(df: DataFrame, column: str | None = None, value: str | None = None):
@@ -136,24 +138,6 @@ def lenient_value(text: str):
     return int(number) if number.is_integer() else number
 
 
-# What a form with one column and one text field asks of an operation: the parameter, what an
-# empty field stands for, and how the text is read.
-FORM_FIELDS = {
-    "fill_nulls": ("values", "0", lenient_value),
-    "rename_columns": ("mapping", "{column}_renamed", str.strip),
-    "cast_types": ("mapping", "text", lambda kind: {"number": "float64"}.get(kind, "string")),
-}
-
-
-def step_parameters(operation: str, column: str = "", value: str = "") -> dict:
-    """Parameters of a step from the fields of a form, as FORM_FIELDS describes them."""
-    if operation not in FORM_FIELDS:
-        return {}
-    parameter, default, read = FORM_FIELDS[operation]
-    text = value if value.strip() else default.format(column=column)
-    return {parameter: {column: read(text)}}
-
-
 # The closed list of operations: how each one reads its parameters.
 OPERATIONS = {
     "drop_columns": lambda df, p: drop_columns(df, p.get("columns", [])),

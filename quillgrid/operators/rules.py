@@ -46,9 +46,10 @@ def check_structure(
 ) -> DataFrame:
     """Raise if the table is too wide or a column name is too long; else return it."""
     if len(df.columns) > max_columns:
-        raise ValueError(f"Datasets are limited to {max_columns:,} columns.")
-    if any(len(c) > max_name_chars for c in df.columns):
-        raise ValueError(f"Dataset column names are limited to {max_name_chars:,} characters.")
+        raise ValueError(f"The table has {len(df.columns):,} columns, {max_columns:,} are the most.")
+    long = next((c for c in df.columns if len(c) > max_name_chars), None)
+    if long is not None:
+        raise ValueError(f"Column {long[:40]}... has a name of more than {max_name_chars:,} letters.")
     return df
 
 

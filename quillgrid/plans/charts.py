@@ -265,15 +265,12 @@ def key_figure_lenient(df: DataFrame, column: str, aggregation: str = "count") -
 
 
 def shares(
-    series: DataFrame, order: list[Column] | None = None, limit: int = SHARE_SLICES
+    series: DataFrame, order: list[Column] | None = None, limit: int | None = SHARE_SLICES
 ) -> DataFrame:
-    """`label, value, percent` of the first slices, negatives counted as 0.
-
-    The total is taken over those rows, which the limit has already brought together.
-    """
-    first = (series.orderBy(*order) if order else series).limit(limit)
+    """`label, value, percent` of the first slices, all with None, negatives counted as 0."""
+    first = first_rows(series.orderBy(*order) if order else series, limit)
     slices = first.select("label", F.greatest(F.col("value"), F.lit(0)).alias("value"))
-    total = F.sum("value").over(Window.partitionBy(F.lit(0)))
+    total = slices.agg(F.sum("value")).scalar()
     percent = F.round(F.try_divide(F.col("value"), total) * 100, 1)
     return slices.withColumn("percent", F.coalesce(percent, F.lit(0.0)))
 
@@ -318,10 +315,11 @@ def build_chart_lenient(
     aggregation: str,
     kind: str = "bar",
     order: list[Column] | None = None,
+    limit: int | None = TABLE_ROWS,
 ) -> DataFrame:
-    """Chart data with numbers read out of text."""
+    """Chart data with numbers read out of text; `limit` is for tables, None shows all rows."""
     if kind == "table":
-        return table_rows(df, order)
+        return table_rows(df, order, limit)
     if kind == "kpi":
         return key_figure_lenient(df, y, aggregation)
     if kind == "histogram":

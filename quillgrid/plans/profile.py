@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from quillgrid.functions.columns import (
     col,
+    comparable,
     is_floating,
     is_numeric,
     numeric_columns,
@@ -81,10 +82,8 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def _comparable_text(value: Column, dtype: T.DataType) -> Column:
     """A short text that is equal exactly for equal values; long text becomes its SHA-256."""
-    if isinstance(dtype, T.MapType):
-        value = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(value))))
-    elif isinstance(dtype, (T.ArrayType, T.StructType)):
-        value = F.to_json(value, EXACT_JSON)
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        value = F.to_json(comparable(value, dtype), EXACT_JSON)
     elif isinstance(dtype, T.BinaryType):
         value = F.hex(value)
     elif not isinstance(dtype, T.StringType):
@@ -342,12 +341,11 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def _row_key(df: DataFrame) -> list[Column]:
-    """All columns in a comparable form: maps as sorted JSON text, one zero for floats."""
+    """All columns in a comparable form: maps as sorted lists of entries, one zero for floats."""
 
     def form(f: T.StructField) -> Column:
-        if isinstance(f.dataType, T.MapType):
-            return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(f.name)))))
-        return col(f.name) + F.lit(0.0).cast(f.dataType) if is_floating(f.dataType) else col(f.name)
+        value = comparable(col(f.name), f.dataType)
+        return value + F.lit(0.0).cast(f.dataType) if is_floating(f.dataType) else value
 
     return [form(f).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
 
@@ -444,10 +442,12 @@ def suggestions_for(df: DataFrame) -> DataFrame:
     return suggestions(positions.join(missing_values(df), "column"), duplicate_rows(df))
 
 
-def correlation_columns(df: DataFrame, limit: int = CORRELATION_COLUMNS) -> tuple[list[str], int]:
-    """The numeric columns that are correlated, and how many are left out."""
+def correlation_columns(
+    df: DataFrame, limit: int | None = CORRELATION_COLUMNS
+) -> tuple[list[str], int]:
+    """The numeric columns that are correlated, all with None, and how many are left out."""
     numeric = numeric_columns(df)
-    return numeric[:limit], max(0, len(numeric) - limit)
+    return numeric[:limit], len(numeric) - len(numeric[:limit])
 
 
 def _pair_moments(width: int):
@@ -476,7 +476,7 @@ def _pair_moments(width: int):
     return run
 
 
-def correlations(df: DataFrame, limit: int = CORRELATION_COLUMNS) -> DataFrame:
+def correlations(df: DataFrame, limit: int | None = CORRELATION_COLUMNS) -> DataFrame:
     """`column_a, column_b, correlation`: Pearson over the rows where both are present.
 
     Every unordered pair is computed once and written in both directions; a column with
@@ -524,7 +524,7 @@ def correlations(df: DataFrame, limit: int = CORRELATION_COLUMNS) -> DataFrame:
     return pair.select(F.inline(both), F.col("r").alias("correlation"))
 
 
-def correlation_width(df: DataFrame, limit: int = CORRELATION_COLUMNS) -> DataFrame:
+def correlation_width(df: DataFrame, limit: int | None = CORRELATION_COLUMNS) -> DataFrame:
     """One row: how many numeric columns are correlated and how many are left out."""
     names, hidden = correlation_columns(df, limit)
     return df.sparkSession.createDataFrame(
@@ -543,13 +543,16 @@ class Profile:
     suggestions: DataFrame
 
 
-def profile(df: DataFrame, exact: bool = True) -> Profile:
+def profile(
+    df: DataFrame, exact: bool = True, limit: int | None = CORRELATION_COLUMNS
+) -> Profile:
+    """All parts of a profile; `limit` bounds the correlated columns, None correlates all."""
     columns = column_profile(df, exact)
     return Profile(
         summary=summary(df),
         columns=columns,
-        correlations=correlations(df),
-        correlation_width=correlation_width(df),
+        correlations=correlations(df, limit),
+        correlation_width=correlation_width(df, limit),
         suggestions=suggestions_for(df),
     )
 

@@ -159,15 +159,37 @@ def clean_steps_in_order(spark, sf):
               CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer""",
 )
 def clean_steps_from_form(spark, sf):
+    """A rename, a cast to text and a fill of a column without gaps, one after another."""
     steps = [
-        {
-            "operation": operation,
-            "parameters": cleaning.step_parameters(operation, column, value),
-        }
-        for operation, column, value in [
-            ("rename_columns", "c_name", " "),
-            ("cast_types", "c_acctbal", "text"),
-            ("fill_nulls", "c_nationkey", ""),
-        ]
+        {"operation": "rename_columns", "parameters": {"mapping": {"c_name": "c_name_renamed"}}},
+        {"operation": "cast_types", "parameters": {"mapping": {"c_acctbal": "string"}}},
+        {"operation": "fill_nulls", "parameters": {"values": {"c_nationkey": cleaning.lenient_value("0")}}},
     ]
     return cleaning.apply_steps(table(spark, sf, "customer"), steps)
+
+
+MAPS = "SELECT event_id % 50 AS id, event_type, user_id % 3 AS extra, event_id % 2 AS later FROM events"
+
+
+@query(
+    "clean_drop_duplicates_maps",
+    f"""SELECT id, event_type, 2 + extra AS entries, later, TIMESTAMP '2024-01-01' + to_microseconds(later) AS moment
+        FROM ({MAPS}) GROUP BY ALL""",
+)
+def clean_drop_duplicates_maps(spark, sf):
+    """Maps that hold times a microsecond apart differ; the order of their entries does not matter."""
+    events = table(spark, sf, "events")
+    moment = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("event_id") % 2 / F.lit(1_000_000))
+    extra = F.col("user_id") % 3
+    more = F.transform(F.sequence(F.lit(0), extra.cast("int")), lambda i: F.struct(i.cast("string").alias("k"), moment.alias("v")))
+    flipped = F.when(F.col("event_id") % 4 < 2, F.reverse(more)).otherwise(more)
+    pairs = F.concat(flipped, F.array(F.struct(F.lit("m").alias("k"), moment.alias("v"))))
+    rows = events.select(
+        (F.col("event_id") % 50).alias("id"), "event_type", F.map_from_entries(pairs).alias("times"),
+    )
+    kept = cleaning.drop_duplicates(rows)
+    return kept.select(
+        "id", "event_type", F.size("times").cast("bigint").alias("entries"),
+        (F.col("times")["m"] != F.lit("2024-01-01").cast("timestamp_ntz")).cast("bigint").alias("later"),
+        F.col("times")["m"].alias("moment"),
+    )

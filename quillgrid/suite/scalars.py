@@ -42,17 +42,16 @@ def scalar_cut_text(spark, sf):
 
 @query(
     "scalar_iso_time",
-    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS moment,
+    """SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S')
+                  || CASE WHEN microsecond(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END AS moment,
               strftime(ts, '%Y-%m-%d') AS day,
-              strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') AS whole FROM events
-       WHERE microsecond(ts) % 1000000 <> 0""",
+              strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') AS whole FROM events""",
 )
 def scalar_iso_time(spark, sf):
     ts = F.col("ts")
     day = ts.cast("date")
     return (
         table(spark, sf, "events")
-        .filter(F.date_format(ts, "SSSSSS") != "000000")
         .select(
             "event_id",
             scalars.iso_text(ts).alias("moment"),

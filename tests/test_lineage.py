@@ -87,5 +87,5 @@ def test_undo_needs_the_active_version(spark):
 
 def test_too_wide_result_is_refused(spark):
     df = spark.createDataFrame([(1,)], "a int")
-    with pytest.raises(ValueError, match="256 characters"):
+    with pytest.raises(ValueError, match="256 letters"):
         lineage.preview_counts(df, "rename_columns", {"mapping": {"a": "x" * 257}})
