@@ -121,15 +121,10 @@ def top_products(
     )
     schema = "query_id long, vec_id long, score long"
     found = None
-    last = None
-    while True:
-        later = asked if last is None else asked.where(F.col("id") > last)
-        block = later.orderBy("id").limit(QUERY_BLOCK).collect()
-        if not block:
-            break
-        if len(block) == QUERY_BLOCK and block[0]["id"] != block[-1]["id"]:
-            block = [b for b in block if b["id"] < block[-1]["id"]]
-        last = block[-1]["id"]
+    later = asked
+    while block := later.orderBy("id", "v").limit(QUERY_BLOCK).collect():
+        last, components = block[-1]["id"], F.array(*[F.lit(x) for x in block[-1]["v"]]).cast("array<bigint>")
+        later = asked.where((F.col("id") > last) | ((F.col("id") == last) & (F.col("v") > components)))
         questions = spark.sparkContext.broadcast([(b["id"], np.array(b["v"], np.int64)) for b in block])
         part = ranged.sortWithinPartitions("width", F.col("length").desc()).mapInArrow(
             bucket_search(questions, k), schema

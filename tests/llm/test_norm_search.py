@@ -59,3 +59,11 @@ def test_awkward_vectors(spark):
     assert got == {q: v for q, v in brute(rows, 5, 5).items() if v}
     assert got[0] == [(i, 128 * 128 + 64 * 64 + 32 * 32) for i in (1, 2, 3, 4, 5)]
     assert run(spark, []) == {}
+
+
+def test_one_id_with_more_vectors_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(norm_search, "QUERY_BLOCK", 2)
+    rows = [(0, [i, 1]) for i in range(8)] + [(1, [8, 0]), (2, [0, 0]), (0, []), (3, [])]
+    frame = spark.createDataFrame(rows, "id long, v array<long>")
+    found = norm_search.top_products(frame, "id", F.col("v"), F.col("id") == 0, k=2)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 1, 56), (0, 2, 2, 0)]
