@@ -5,14 +5,16 @@ quartiles both come from one shuffled table of value counts, `column, value, n`:
 
 * distinct values are its rows,
 * quartiles are found by rank: a sketch gives two cut points close around each quartile, the
-  counts between the cuts say which region holds the wanted rank, and only that region is
-  sorted. The cuts only set the size of a region; whatever they are, the value found is exact.
+  counts between the cuts say which region holds the wanted rank, and regions of more than
+  REGION_ROWS rows are cut again. The cuts only set the size of a region; whatever they are, the
+  value found is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,7 @@ from quillgrid.functions.columns import (
     type_of,
 )
 from quillgrid.functions.scalars import half_even
+from quillgrid.session import checkpointed
 
 # How many numeric columns are correlated, and the limits that trigger advice.
 CORRELATION_COLUMNS = 50
@@ -41,6 +44,9 @@ QUARTILES = (0.25, 0.5, 0.75)
 # a quartile enclose some 4 / SKETCH_ACCURACY of the rows.
 SKETCH_ACCURACY = 10_000
 CUT_MARGIN = 2 / SKETCH_ACCURACY
+# The most rows of a region that one task sorts, and into how many parts a larger one is cut.
+REGION_ROWS = 200_000
+CUTS_AGAIN = 64
 LONG_TEXT_BYTES = 64
 
 
@@ -66,9 +72,9 @@ def _missing(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_values(df: DataFrame) -> DataFrame:
-    """`column, missing_count, missing_percentage`, counted in one pass."""
-    counts = _missing(df)
+def missing_values(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """`column, missing_count, missing_percentage`, counted in one pass, or before."""
+    counts = _missing(df) if counts is None else counts
     entries = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(str(i)).alias("missing_count"))
@@ -107,10 +113,20 @@ def _value_kinds(df: DataFrame, columns: list[str]) -> list[list[Column]]:
 
 
 def _value_counts(df: DataFrame, columns: list[Column]) -> DataFrame:
-    slim = df.select(*columns)
-    long = slim.unpivot([], [col(c) for c in slim.columns], "column", "value")
-    counted = long.filter(F.col("value").isNotNull()).groupBy("column", "value")
-    return counted.agg(F.count(F.lit(1)).alias("n"))
+    """`column, value, n`: how often every value occurs; a column is its place in the list."""
+    slim = df.select(*columns).toDF(*[str(i) for i in range(len(columns))])
+    long = slim.unpivot([], [col(c) for c in slim.columns], "place", "value")
+    long = long.filter(F.col("value").isNotNull()).select(F.col("place").cast("int").alias("column"), "value")
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _names(df: DataFrame, columns: list[Column]) -> list[str]:
+    return df.select(*columns).columns
+
+
+def _named(found: DataFrame, names: list[str]) -> DataFrame:
+    """The names of columns in the place of their numbers."""
+    return found.withColumn("column", F.array(*[F.lit(n) for n in names])[F.col("column")])
 
 
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -130,13 +146,16 @@ def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
         return approx.select(F.inline(F.array(*entries)))
     found = None
     for kind in _value_kinds(df, df.columns):
-        one = _value_counts(df, kind).groupBy("column").agg(
-            F.count(F.lit(1)).alias("unique_count")
-        )
+        one = _distinct(df, kind)
         found = one if found is None else found.unionByName(one)
     return _for_every_column(df, found, {"unique_count": 0})
 
 
+def _distinct(df: DataFrame, columns: list[Column]) -> DataFrame:
+    counted = _value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    return _named(counted, _names(df, columns))
+
+
 def _for_every_column(df: DataFrame, found: DataFrame, defaults: dict) -> DataFrame:
     """A row for every column of the table, also for those without any value."""
     names = schema_listing(df).select("column")
@@ -145,109 +164,134 @@ def _for_every_column(df: DataFrame, found: DataFrame, defaults: dict) -> DataFr
 
 
 def _cuts(df: DataFrame, columns: list[Column]) -> DataFrame:
-    """`column, cut0, cut1, ...`: two sketched cut points around each quartile."""
+    """`column, cut0, cut1, ...`: two sketched cut points around each quartile; a column is its place
+    in the list."""
     points = [min(max(p + side * CUT_MARGIN, 0.0), 1.0) for p in QUARTILES for side in (-1, 1)]
-    slim = df.select(*columns)
-    sketch = slim.agg(
-        *[
-            F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias(str(i))
-            for i, c in enumerate(slim.columns)
-        ]
+    sketch = df.agg(
+        *[F.percentile_approx(c, points, SKETCH_ACCURACY).alias(str(i)) for i, c in enumerate(columns)]
     )
     entries = [
-        F.struct(F.lit(c).alias("column"), F.col(str(i)).alias("cuts"))
-        for i, c in enumerate(slim.columns)
+        F.struct(F.lit(i).alias("column"), F.col(str(i)).alias("cuts")) for i in range(len(columns))
     ]
     long = sketch.select(F.inline(F.array(*entries))).filter(F.col("cuts").isNotNull())
     return long.select("column", *[F.col("cuts")[i].alias(f"cut{i}") for i in range(len(points))])
 
 
-def exact_quartiles(counts: DataFrame, cuts: DataFrame) -> DataFrame:
-    """`column, q0, q1, q2`: exact quartiles with linear interpolation.
+def _ranks(total: int) -> list[tuple[int, int, int, float]]:
+    """Quartile, side, rank from 0 and weight of the upper side: the quantile p of N values lies at
+    position p * (N - 1) of the sorted values, between the two neighbouring ones."""
+    found = []
+    for q, p in enumerate(QUARTILES):
+        position = Fraction(p) * (total - 1)
+        low = position.numerator // position.denominator
+        found += [(q, 0, low, float(position - low)), (q, 1, low + (position != low), float(position - low))]
+    return found
+
 
-    `counts` is a table `column, value, n`. The quantile p of N values lies at position
-    p * (N - 1) of the sorted values, between the two neighbouring ones.
+def exact_quartiles(
+    counts: DataFrame, cuts: DataFrame, region_rows: int = REGION_ROWS
+) -> dict[int, tuple[float, ...]]:
+    """The exact quartiles, with linear interpolation, of every column that has values.
 
-    The broadcast sides hold one row of a few numbers per column of the profiled table.
+    `counts` is a table `column, value, n` without repeated pairs, and `cuts` has some cut points of
+    every column. What the driver sees is the number of values between cuts, and at the end two
+    values per quartile and column. Regions between cuts that hold a wanted rank are cut again until
+    none has more than `region_rows` rows, and only then sorted, so no task sorts more.
     """
     edges = [c for c in cuts.columns if c != "column"]
     region = sum(F.when(F.col("value") > F.col(c), 1).otherwise(0) for c in edges)
+    # One row of a few numbers per column of the profiled table.
     placed = counts.join(F.broadcast(cuts), "column").select(
-        "column", "value", "n", region.alias("region")
+        "column", "value", "n", region.cast("bigint").alias("region")
     )
-    facts = placed.groupBy("column").agg(
-        F.sum("n").alias("total"),
-        F.array(
-            F.lit(0).cast("bigint"),
-            *[
-                F.sum(F.when(F.col("region") <= i, F.col("n")).otherwise(0))
-                for i in range(len(edges))
-            ],
-        ).alias("before"),
-    )
-
-    def rank(q: int, p: float, side: int) -> Column:
-        position = F.lit(p) * (F.col("total") - 1)
-        at = F.ceil(position) if side else F.floor(position)
-        return F.struct(
-            F.lit(q).alias("q"),
-            F.lit(side).alias("side"),
-            at.alias("rank"),
-            # The last region that starts at or before the rank.
-            (F.size(F.filter("before", lambda start: start <= at)) - 1).alias("region"),
-            (position - F.floor(position)).alias("weight"),
+    sizes = _region_sizes(placed)
+    if not sizes:
+        return {}
+    wanted: dict[tuple[int, int], list] = {}  # what is looked for in a region: rank inside it, and for what
+    for column in {c for c, _ in sizes}:
+        before = 0
+        ranks = _ranks(sum(n for (c, _), (n, _) in sizes.items() if c == column))
+        for at in sorted(r for c, r in sizes if c == column):
+            n = sizes[column, at][0]
+            inside = [(rank - before, q, side, w) for q, side, rank, w in ranks if before <= rank < before + n]
+            if inside:
+                wanted[column, at] = inside
+            before += n
+    kept = _only(placed, wanted)
+    while any(sizes[at][1] > region_rows for at in wanted):
+        kept = checkpointed(kept)
+        points = [i / CUTS_AGAIN for i in range(1, CUTS_AGAIN)]
+        again = kept.groupBy("column", "region").agg(
+            F.percentile_approx("value", points, SKETCH_ACCURACY).alias("points")
         )
-
-    ranks = [rank(q, float(p), side) for q, p in enumerate(QUARTILES) for side in (0, 1)]
-    wanted = facts.select("column", "before", F.array(*ranks).alias("ranks"))
-    regions = wanted.select(
-        "column", "before", F.transform("ranks", lambda r: r["region"]).alias("regions")
-    )
-    kept = placed.join(F.broadcast(regions), "column").filter(
-        F.array_contains("regions", F.col("region"))
-    )
-    sorted_region = Window.partitionBy("column", "region").orderBy("value")
-    ranked = kept.select(
-        "column",
-        "region",
-        F.col("value").cast("double").alias("value"),
-        (F.get("before", F.col("region")) + F.sum("n").over(sorted_region)).alias("upto"),
-        "n",
-    )
-    found = ranked.join(
-        F.broadcast(wanted.select("column", F.inline("ranks"))), ["column", "region"]
-    ).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-
-    def quartile(q: int) -> Column:
-        def at(side: int) -> Column:
-            return F.max(
-                F.when((F.col("q") == q) & (F.col("side") == side), F.col("value"))
-            )
-
-        weight = F.max(F.when(F.col("q") == q, F.col("weight")))
-        return at(0) + (at(1) - at(0)) * weight
-
-    return found.groupBy("column").agg(
-        *[quartile(q).alias(f"q{q}") for q in range(len(QUARTILES))]
-    )
+        # At most six regions per column, with CUTS_AGAIN numbers each.
+        below = F.size(F.filter("points", lambda c: c < F.col("value")))
+        inner = (F.col("region") * CUTS_AGAIN + below).alias("region")
+        placed = kept.join(F.broadcast(again), ["column", "region"]).select("column", "value", "n", inner)
+        sizes, outer, wanted = _region_sizes(placed), wanted, {}
+        for (column, at), looked_for in outer.items():
+            before = 0
+            for part in range(at * CUTS_AGAIN, (at + 1) * CUTS_AGAIN):
+                n = sizes.get((column, part), (0, 0))[0]
+                inside = [(rank - before, *rest) for rank, *rest in looked_for if before <= rank < before + n]
+                if inside:
+                    wanted[column, part] = inside
+                before += n
+        kept = _only(placed, wanted)
+    return _sorted_out(kept, wanted)
+
+
+def _region_sizes(placed: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
+    """Number of values and of rows of every region."""
+    sizes = placed.groupBy("column", "region").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    return {(r["column"], r["region"]): (r["n"], r["rows"]) for r in sizes.collect()}
+
+
+def _only(placed: DataFrame, wanted: dict) -> DataFrame:
+    """The rows of the wanted regions, of which there are at most six per column."""
+    listed = placed.sparkSession.createDataFrame(sorted(wanted), "column int, region bigint")
+    return placed.join(F.broadcast(listed), ["column", "region"], "left_semi")
+
+
+def _sorted_out(kept: DataFrame, wanted: dict) -> dict[int, tuple[float, ...]]:
+    asked = [(*at, rank, q, side) for at, ranks in wanted.items() for rank, q, side, _ in ranks]
+    listed = kept.sparkSession.createDataFrame(asked, "column int, region bigint, rank bigint, q int, side int")
+    upto = F.sum("n").over(Window.partitionBy("column", "region").orderBy("value"))
+    ranked = kept.select("column", "region", F.col("value").cast("double").alias("value"), "n", upto.alias("upto"))
+    found = ranked.join(F.broadcast(listed), ["column", "region"]).where("rank < upto AND rank >= upto - n")
+    values = {(r["column"], r["q"], r["side"]): r["value"] for r in found.collect()}
+    weights = {(at[0], q): w for at, ranks in wanted.items() for _, q, _, w in ranks}
+    return {
+        column: tuple(
+            values[column, q, 0] + (values[column, q, 1] - values[column, q, 0]) * weights[column, q]
+            for q in range(len(QUARTILES))
+        )
+        for column in sorted({at[0] for at in wanted})
+    }
 
 
 def _numeric_stats(df: DataFrame, columns: list[Column]) -> DataFrame:
-    """`column, unique_count, mean, median, outlier_count` of columns of one type."""
-    counts = _value_counts(df, columns)
+    """`column, unique_count, mean, median, outlier_count` of columns of one type.
+
+    The counted values are written once; everything else reads them.
+    """
+    counts = checkpointed(_value_counts(df, columns))
+    quartiles = exact_quartiles(counts, _cuts(df, columns))
     value = F.col("value").cast("double")
-    basics = counts.groupBy("column").agg(
+    bounds = []
+    for i in range(len(columns)):
+        low, _, high = quartiles.get(i, (0.0, 0.0, 0.0))
+        span = (high - low) * OUTLIER_SPAN
+        bounds.append(F.struct(F.lit(low - span).alias("low"), F.lit(high + span).alias("high")))
+    bound = F.array(*bounds)[F.col("column")]
+    outside = (value < bound["low"]) | (value > bound["high"])
+    medians = F.array(*[F.lit(quartiles[i][1] if i in quartiles else None).cast("double") for i in range(len(columns))])
+    stats = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("unique_count"),
         (F.sum(value * F.col("n")) / F.sum("n")).alias("mean"),
-    )
-    quartiles = exact_quartiles(counts, _cuts(df, columns))
-    span = (F.col("q2") - F.col("q0")) * OUTLIER_SPAN
-    outside = (value < F.col("q0") - span) | (value > F.col("q2") + span)
-    outliers = counts.join(F.broadcast(quartiles), "column").groupBy("column").agg(
         F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outlier_count"),
-        F.max("q1").alias("median"),
     )
-    return basics.join(outliers, "column")
+    return _named(stats.withColumn("median", medians[F.col("column")]), _names(df, columns))
 
 
 def _approximate_stats(df: DataFrame) -> DataFrame:
@@ -306,9 +350,7 @@ def _exact_stats(df: DataFrame) -> DataFrame:
         if is_numeric(df.select(*kind).schema.fields[0].dataType):
             one = _numeric_stats(df, kind)
         else:
-            one = _value_counts(df, kind).groupBy("column").agg(
-                F.count(F.lit(1)).alias("unique_count")
-            )
+            one = _distinct(df, kind)
         found = one if found is None else found.unionByName(one, allowMissingColumns=True)
     absent = {"mean": "double", "median": "double", "outlier_count": "bigint"}
     return found.withColumns(
@@ -320,13 +362,16 @@ def _is_decimal(df: DataFrame, name: str) -> bool:
     return isinstance(type_of(df, name), T.DecimalType)
 
 
-def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+def column_profile(
+    df: DataFrame, exact: bool = True, counts: DataFrame | None = None
+) -> DataFrame:
     """One row per column: position, type, missing, distinct, outliers, mean and median.
 
     The numeric statistics are NULL for columns that are no numbers or hold no value.
     """
     stats = _exact_stats(df) if exact else _approximate_stats(df)
-    listed = schema_listing(df).join(missing_values(df), "column").join(stats, "column", "left")
+    missing = missing_values(df, counts)
+    listed = schema_listing(df).join(missing, "column").join(stats, "column", "left")
     return listed.select(
         "position",
         "column",
@@ -368,15 +413,21 @@ def quality_score(rows: Column, columns: Column, duplicates: Column, missing: Co
     return F.greatest(F.lit(0), half_even(lost, 0).cast("int"))
 
 
-def summary(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, duplicates, missing cells, their share and the score."""
+def summary(
+    df: DataFrame, counts: DataFrame | None = None, duplicates: DataFrame | None = None
+) -> DataFrame:
+    """One row: rows, columns, duplicates, missing cells, their share and the score.
+
+    Missing values and duplicates that were counted before can be passed.
+    """
     width = len(df.columns)
-    counts = _missing(df)
+    counts = _missing(df) if counts is None else counts
+    duplicates = duplicate_rows(df) if duplicates is None else duplicates
     missing = sum((F.col(str(i)) for i in range(width)), F.lit(0))
     shape = counts.select(
         "rows", missing.alias("missing_cells"), F.lit(None).cast("bigint").alias("duplicate_rows")
     )
-    parts = shape.unionByName(duplicate_rows(df), allowMissingColumns=True)
+    parts = shape.unionByName(duplicates, allowMissingColumns=True)
     whole = parts.agg(
         F.max("rows").alias("rows"),
         F.max("missing_cells").alias("missing_cells"),
@@ -546,14 +597,18 @@ class Profile:
 def profile(
     df: DataFrame, exact: bool = True, limit: int | None = CORRELATION_COLUMNS
 ) -> Profile:
-    """All parts of a profile; `limit` bounds the correlated columns, None correlates all."""
-    columns = column_profile(df, exact)
+    """All parts of a profile; `limit` bounds the correlated columns, None correlates all.
+
+    Missing values and duplicate rows are counted once, at once, for all parts.
+    """
+    counts, duplicates = checkpointed(_missing(df)), checkpointed(duplicate_rows(df))
+    columns = column_profile(df, exact, counts)
     return Profile(
-        summary=summary(df),
+        summary=summary(df, counts, duplicates),
         columns=columns,
         correlations=correlations(df, limit),
         correlation_width=correlation_width(df, limit),
-        suggestions=suggestions_for(df),
+        suggestions=suggestions(columns, duplicates),
     )
 
 
@@ -575,10 +630,9 @@ def _as_doubles(df: DataFrame) -> list[Column]:
 def column_quartiles(df: DataFrame) -> DataFrame:
     """`column, q1, median, q3` of the numeric columns, exact."""
     numbers = _as_doubles(df)
-    found = exact_quartiles(_value_counts(df, numbers), _cuts(df, numbers))
-    return found.select(
-        "column", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-    )
+    found = exact_quartiles(checkpointed(_value_counts(df, numbers)), _cuts(df, numbers)) if numbers else {}
+    rows = [(numeric_columns(df)[i], *quartiles) for i, quartiles in found.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double")
 
 
 def outlier_counts(df: DataFrame) -> DataFrame:

@@ -103,11 +103,12 @@ def test_quartiles_do_not_depend_on_the_cuts(spark):
     q1, q2, q3, _ = reference_stats(values)
     for cuts in ([0, 0, 0, 0, 0, 0], [-1, 5, 5, 5, 900, 901], [1, 2, 3, 4, 5, 6]):
         frame = spark.createDataFrame(
-            [("v", *map(float, cuts))],
-            "column string, " + ", ".join(f"cut{i} double" for i in range(6)),
+            [(0, *map(float, cuts))],
+            "column int, " + ", ".join(f"cut{i} double" for i in range(6)),
         )
-        found = profile.exact_quartiles(counts, frame).first()
-        assert (found.q0, found.q1, found.q2) == (q1, q2, q3)
+        for region_rows in (1, 7, 100, 10_000):
+            if region_rows > 1 or cuts[0] == 1:
+                assert profile.exact_quartiles(counts, frame, region_rows) == {0: (q1, q2, q3)}
 
 
 def test_column_profile(spark):
@@ -172,13 +173,35 @@ def test_report_width(spark):
     }
 
 
-def test_value_counts_are_shuffled_once(spark):
-    """The parts of the exact statistics share one shuffle of the value counts."""
-    df = spark.range(1000).select((F.col("id") % 17).cast("double").alias("v"), F.col("id").cast("double").alias("w"))
-    found = profile.column_quartiles(df)
-    found.collect()
-    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("ReusedExchange") >= 2
+def test_no_task_sorts_more_than_a_region(spark, monkeypatch):
+    """Whatever the first cuts leave, regions are cut until they are small."""
+    sorted_rows = []
+    sort = profile._sorted_out
+
+    def spy(kept, wanted):
+        sorted_rows.extend(r["count"] for r in kept.groupBy("column", "region").count().collect())
+        return sort(kept, wanted)
+
+    monkeypatch.setattr(profile, "_sorted_out", spy)
+    df = spark.range(30_000).select(F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("double").alias("v"), (F.col("id") % 9).cast("double").alias("w"))
+    values = df.toPandas()
+    counts = profile._value_counts(df, [F.col("v"), F.col("w")])
+    cuts = spark.createDataFrame([(0, -1.0), (1, 99.0)], "column int, cut0 double")
+    found = profile.exact_quartiles(counts, cuts, region_rows=50)
+    assert found == {i: tuple(values[c].quantile(p) for p in (0.25, 0.5, 0.75)) for i, c in enumerate("vw")}
+    assert len(sorted_rows) >= 4 and max(sorted_rows) <= 50
+
+
+def test_profile_counts_missing_and_duplicates_once(spark, monkeypatch):
+    calls = []
+    for name in ("_missing", "duplicate_rows"):
+        monkeypatch.setattr(profile, name, lambda df, f=getattr(profile, name), n=name: calls.append(n) or f(df))
+    found = profile.profile(spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string"), limit=None)
+    for part in (found.summary, found.columns, found.suggestions, found.correlations, found.correlation_width):
+        part.collect()
+    assert sorted(calls) == ["_missing", "duplicate_rows"]
+    assert found.summary.first()["duplicate_rows"] == 1
+    assert [r["suggestion"] for r in found.suggestions.orderBy("position").collect()][0] == "Remove duplicate rows."
 
 
 def test_nested_times_a_microsecond_apart_differ(spark):
