@@ -4,7 +4,7 @@ What grows with the data is kept out of single tasks. Exact distinct counts and
 quartiles both come from one shuffled table of value counts, `column, value, n`:
 
 * distinct values are its rows,
-* quartiles are found by rank: a sketch gives two cut points close around each quartile, the
+* quartiles are found by rank: a sample gives two cut points close around each quartile, the
   counts between the cuts say which region holds the wanted rank, and regions of more than
   REGION_ROWS rows are cut again. The cuts only set the size of a region; whatever they are, the
   value found is exact.
@@ -40,10 +40,11 @@ OUTLIER_SPAN = 1.5
 NOISE = 1e-14
 QUARTILES = (0.25, 0.5, 0.75)
 
-# The sketch's accuracy: its ranks are off by at most rows / SKETCH_ACCURACY, so the cuts around
-# a quartile enclose some 4 / SKETCH_ACCURACY of the rows.
+# The sketch's accuracy: its ranks are off by at most rows / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
-CUT_MARGIN = 2 / SKETCH_ACCURACY
+# Which share of the rows the first cuts around quartiles are sketched from, and how far from the
+# quartile they are, as a share of the rows.
+CUT_SAMPLE, CUT_MARGIN = 0.05, 0.005
 # The most rows of a region that one task sorts, and into how many parts a larger one is cut.
 REGION_ROWS = 200_000
 CUTS_AGAIN = 64
@@ -164,17 +165,16 @@ def _for_every_column(df: DataFrame, found: DataFrame, defaults: dict) -> DataFr
 
 
 def _cuts(df: DataFrame, columns: list[Column]) -> DataFrame:
-    """`column, cut0, cut1, ...`: two sketched cut points around each quartile; a column is its place
-    in the list."""
+    """`column, cut0, cut1, ...`: two cut points around each quartile, sketched from a sample of the
+    rows; a column is its place in the list. Without values in the sample they are NULL."""
     points = [min(max(p + side * CUT_MARGIN, 0.0), 1.0) for p in QUARTILES for side in (-1, 1)]
-    sketch = df.agg(
-        *[F.percentile_approx(c, points, SKETCH_ACCURACY).alias(str(i)) for i, c in enumerate(columns)]
-    )
-    entries = [
-        F.struct(F.lit(i).alias("column"), F.col(str(i)).alias("cuts")) for i in range(len(columns))
-    ]
-    long = sketch.select(F.inline(F.array(*entries))).filter(F.col("cuts").isNotNull())
-    return long.select("column", *[F.col("cuts")[i].alias(f"cut{i}") for i in range(len(points))])
+    sample = df.select(*columns).toDF(*[str(i) for i in range(len(columns))]).sample(CUT_SAMPLE, seed=1)
+    sketch = sample.agg(*[F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias(c) for c in sample.columns])
+    found = sketch.first()
+    kind = sample.schema.fields[0].dataType.simpleString()
+    rows = [(i, *(found[i] or [None] * len(points))) for i in range(len(columns))]
+    schema = "column int, " + ", ".join(f"cut{i} {kind}" for i in range(len(points)))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def _ranks(total: int) -> list[tuple[int, int, int, float]]:
