@@ -1,7 +1,7 @@
 """Previews, versioned snapshots, lineage rows and undo.
 
 A version is an immutable Parquet directory. Which version is active is never stored: it
-follows from the lineage rows alone.
+follows from the lineage rows alone. `versions.py` has the commit log for several writers.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from quillgrid.operators.cleaning import ROW_PRESERVING, apply_operation
 from quillgrid.operators.columns import PREVIEW_COLUMNS, preview_cells, truncate_columns
 from quillgrid.operators.ranking import latest_per_key
 from quillgrid.operators.rules import check_structure
+from quillgrid.plans import versions
 from quillgrid.sources.writers import write_dataset
 
 # Fixed value: how many rows a preview of a step shows.
@@ -128,13 +129,16 @@ def version_path(root: str, version: int) -> str:
 
 def write_version(df: DataFrame, root: str, version: int) -> str:
     """Write a version to its own new directory; an existing one is never touched."""
+    if versions.path_of(df.sparkSession, root, version) is not None:
+        raise ValueError(f"Version {version} already exists.")
     path = version_path(root, version)
     df.write.mode("errorifexists").parquet(path)
     return path
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
-    return spark.read.parquet(version_path(root, version))
+    """A version by its number; in a dataset with a commit log the newest one of that number."""
+    return spark.read.parquet(versions.path_of(spark, root, version) or version_path(root, version))
 
 
 def apply_and_write(
@@ -142,18 +146,17 @@ def apply_and_write(
 ) -> DataFrame:
     """Write the table and the result of every step as versions; return the lineage rows.
 
-    Each step reads the version before it, so nothing is computed twice, and rows are counted
-    from the footers of the written files.
+    The first call makes the dataset. After that `versions.apply_steps` goes on with it, also after
+    an undo. Each step reads the version before it, so nothing is computed twice, and rows are
+    counted while they are written.
     """
-    write_version(check_structure(df), root, start_version)
-    tables, rows = [read_version(df.sparkSession, root, start_version)], []
-    for number, step in enumerate(steps):
-        version = start_version + number
-        after = _stepped(tables[-1], step)
-        write_version(after, root, version + 1)
-        rows.append((*_step_row(tables[-1], after, step, number, version), number, number + 1))
-        tables.append(read_version(df.sparkSession, root, version + 1))
-    return _lineage(rows, tables)
+    spark = df.sparkSession
+    first = versions.create(df, root, version=start_version)
+    versions.apply_steps(spark, root, steps)
+    return versions.lineage(spark, root).select(
+        (F.col("id") - first.last - 1).cast("int").alias("step"), "operation", "parameters",
+        "expected_version", "before_rows", "after_rows", "before_columns", "after_columns", "status",
+    )
 
 
 def history(lineage: DataFrame, moment: str = "created_at", key: str = "id") -> DataFrame:

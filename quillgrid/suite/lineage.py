@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgrid.operators.cleaning import apply_steps
-from quillgrid.plans import lineage
+from quillgrid.plans import lineage, versions
 from quillgrid.session import work_folder
 from quillgrid.sources import readers
 from quillgrid.suite import GAPPY, gappy_events, query, table
@@ -190,3 +190,46 @@ def version_export_after_undo(spark, sf):
     undone = lineage.undo_one(rows, 1, 1, F.now())
     lineage.export_active(spark, root, undone, 1, out, "csv")
     return readers.read_csv(spark, out)
+
+
+TWO_STEPS = [
+    {"operation": "fill_nulls", "parameters": {"values": {"event_type": "none", "value": 0}}},
+    {"operation": "drop_duplicates"},
+]
+
+
+def changed_after_undo(spark, sf):
+    """Two changes, an undo of the second, and another second change."""
+    root = work_folder(spark, "versions")
+    versions.create(gappy_events(spark, sf).select("event_type", "user_id", "value"), root, "ann")
+    versions.apply_steps(spark, root, TWO_STEPS, "ann")
+    versions.undo(spark, root, "ann")
+    versions.change(spark, root, {"operation": "drop_columns", "parameters": {"columns": ["value"]}}, "ben", 2)
+    versions.change(spark, root, {"operation": "drop_duplicates"}, "ann", 3)
+    return root
+
+
+@query(
+    "version_change_after_undo",
+    f"WITH {GAPPY} SELECT DISTINCT coalesce(event_type, 'none') AS event_type, user_id FROM g",
+)
+def version_change_after_undo(spark, sf):
+    return versions.read_active(spark, changed_after_undo(spark, sf))
+
+
+@query(
+    "version_log",
+    f"""WITH {GAPPY}, f AS (SELECT coalesce(event_type, 'none') AS event_type, user_id, coalesce(value, 0) AS value FROM g),
+        n AS (SELECT (SELECT count(*) FROM g) AS r, (SELECT count(*) FROM (SELECT DISTINCT * FROM f)) AS d,
+                     (SELECT count(*) FROM (SELECT DISTINCT event_type, user_id FROM f)) AS u,
+                     (SELECT 2 * count(*) - count(event_type) - count(value) FROM g) AS m)
+        SELECT id, operation, user_id, expected_version, version, status, before_rows, after_rows, before_missing FROM n,
+        LATERAL (VALUES (1, 'fill_nulls', 'ann', 1, 2, 'completed', r, r, m), (2, 'drop_duplicates', 'ann', 2, 3, 'undone', r, d, 0),
+                        (4, 'drop_columns', 'ben', 2, 3, 'completed', r, r, 0), (5, 'drop_duplicates', 'ann', 3, 4, 'completed', r, u, 0))
+                AS t(id, operation, user_id, expected_version, version, status, before_rows, after_rows, before_missing)""",
+)
+def version_log(spark, sf):
+    return versions.lineage(spark, changed_after_undo(spark, sf)).select(
+        F.col("id").cast("int").alias("id"), "operation", "user_id", "expected_version", "version", "status",
+        "before_rows", "after_rows", "before_missing",
+    )

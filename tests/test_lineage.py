@@ -1,9 +1,11 @@
 import datetime as dt
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.plans import lineage
+from quillgrid.plans import lineage, versions
 from quillgrid.session import work_folder
 from quillgrid.sources import readers
 
@@ -89,3 +91,66 @@ def test_too_wide_result_is_refused(spark):
     df = spark.createDataFrame([(1,)], "a int")
     with pytest.raises(ValueError, match="256 letters"):
         lineage.preview_counts(df, "rename_columns", {"mapping": {"a": "x" * 257}})
+
+
+FILL = {"operation": "fill_nulls", "parameters": {"values": {"name": "?"}}}
+
+
+def test_of_two_concurrent_changes_one_commits(spark, people):
+    root = work_folder(spark, "versions")
+    seen = versions.create(people, root, "a")
+
+    def attempt(user):
+        try:
+            return versions.change(spark, root, DEDUPE, user, expected_version=1, based_on=seen)
+        except versions.VersionConflict:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        done = [s for s in pool.map(attempt, "abcdef") if s is not None]
+    assert len(done) == 1
+    assert versions.state(spark, root) == done[0]
+    log = versions.read_log(spark, root).collect()
+    assert sorted(r.id for r in log) == [0, 1]
+    assert not [f for f in os.listdir(f"{root}/log") if not f.endswith(".json")]
+    with pytest.raises(versions.VersionConflict, match="Version 2 is active"):
+        versions.change(spark, root, DEDUPE, "a", expected_version=1)
+
+
+def test_change_undo_change(spark, people):
+    root = work_folder(spark, "versions")
+    versions.create(people, root, "a")
+    with pytest.raises(Exception, match="committed first"):
+        versions.create(people, root, "b")
+    for _ in range(2):
+        two = versions.change(spark, root, DEDUPE, "a")
+        assert (two.version, two.rows, versions.read_active(spark, root).count()) == (2, 2, 2)
+        with pytest.raises(ValueError, match="another user"):
+            versions.undo(spark, root, "b")
+        assert versions.undo(spark, root, "a").version == 1
+        assert versions.read_active(spark, root).count() == 3
+    with pytest.raises(ValueError, match="Nothing to undo"):
+        versions.undo(spark, root, "a")
+    versions.apply_steps(spark, root, [FILL, DEDUPE], "b")
+    rows = versions.lineage(spark, root).orderBy("id").collect()
+    assert [(r.expected_version, r.status) for r in rows] == [(1, "undone"), (1, "undone"), (1, "completed"), (2, "completed")]
+    assert len({r.path for r in rows}) == 4 and versions.state(spark, root).version == 3
+    log = versions.lineage(spark, root).withColumn("dataset_id", F.lit(1))
+    assert lineage.active_versions(log).first().active_version == 3
+    assert lineage.read_version(spark, root, 3).count() == 2
+
+
+def test_a_change_reads_its_input_once(spark, people):
+    """Rows and missing cells are counted while the version is written."""
+    root = work_folder(spark, "versions")
+    gaps = people.withColumn("age", F.when(F.col("name") == "Ada", F.col("age")))
+    assert versions.create(gaps, root).missing == 2
+    group = "one-change"
+    spark.sparkContext.setJobGroup(group, group)
+    seen = versions.state(spark, root)
+    spark.sparkContext.setJobGroup("write", "write")
+    done = versions.change(spark, root, {"operation": "fill_nulls", "parameters": {"values": {"age": 1}}}, based_on=seen)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("write")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (done.rows, done.missing, done.columns) == (3, 0, 3)
+    assert len(jobs) <= 3  # the footer, the write, the time of the commit
