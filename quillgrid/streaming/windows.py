@@ -5,17 +5,13 @@ How anchored windows are found over any number of events per key is in `anchored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgrid.functions.columns import col, type_of
-from quillgrid.streaming.anchored import NEVER, PIECE_ROWS, distinct_instants, in_windows
+from quillgrid.streaming.anchored import PIECE_ROWS, distinct_instants, in_windows
+from quillgrid.streaming.ordered import Attempts, in_event_time
 
 # The default window length and how many attempts it allows.
 WINDOW_SECONDS = 60
@@ -121,65 +117,18 @@ def stream_attempts(
     seconds: int = WINDOW_SECONDS,
     limit: int = ATTEMPT_LIMIT,
     delay: str = "1 hour",
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """The running attempt number of every streamed event, in the order of event times.
 
     Events may arrive in any order up to `delay`; those behind the watermark are dropped, as in
-    every stateful stream. An event is counted once the watermark has passed it, when nothing
-    earlier can come any more, so the result is that of the batch form for all such events.
-
-    The state of a key is its events ahead of the watermark, the end of its open window and the
-    count in it. It is removed once the window has ended and nothing waits.
+    every stateful stream. An event is counted once the watermark has passed its bucket of
+    `bucket_seconds` (by default an eighth of the window, a second at least), so the result is that
+    of the batch form for all such events. A key's state is its waiting events, bucket by bucket, and the open window;
+    it is removed once the window has ended and nothing waits. See `ordered` for the state store.
     """
-    length = seconds * MICROS
-    key_type = type_of(events, key).simpleString()
-    slim = events.select(
-        col(key).alias("key"), micros(events, ts).alias("instant"), col(ts).cast("timestamp").alias("at")
-    ).withWatermark("at", delay)
-
-    def count(
-        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        waiting, end, used = state.get if state.exists else ([], NEVER, 0)
-        parts = [np.array(waiting, dtype=np.int64)]
-        if not state.hasTimedOut:
-            parts += [pdf["instant"].to_numpy() for pdf in batches]
-        t = np.sort(np.concatenate(parts))
-        passed = state.getCurrentWatermarkMs()
-        ready = int(np.searchsorted(t, passed * 1000, side="right"))
-        t, rest = t[:ready], t[ready:]
-        attempts = np.empty(len(t), dtype=np.int64)
-        starts = np.empty(len(t), dtype=np.int64)
-        at = 0
-        while at < len(t):
-            if t[at] >= end:
-                end, used = int(t[at]) + length, 0
-            upto = int(np.searchsorted(t, end, side="left"))
-            attempts[at:upto] = used + 1 + np.arange(upto - at)
-            starts[at:upto] = end - length
-            used += upto - at
-            at = upto
-        if len(rest) or end > passed * 1000:
-            state.update((rest.tolist(), end, used))
-            following = int(rest[0]) if len(rest) else end
-            state.setTimeoutTimestamp(max(following // 1000 + 1, passed + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(
-            {
-                "key": [group[0]] * len(t),
-                "instant": t,
-                "window_start": starts,
-                "attempt": attempts,
-                "over_limit": attempts > limit,
-            }
-        )
-
-    counted = slim.groupBy("key").applyInPandasWithState(
-        count,
-        f"key {key_type}, instant bigint, window_start bigint, attempt bigint, over_limit boolean",
-        "waiting array<bigint>, window_end bigint, used bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    return counted.withColumnRenamed("key", key)
+    bucket = max(1, bucket_seconds if bucket_seconds is not None else seconds // 8) * MICROS
+    return in_event_time(
+        events, [key], micros(events, ts), col(ts), [], delay, Attempts(seconds * MICROS, limit, bucket),
+        "instant bigint, window_start bigint, attempt bigint, over_limit boolean",
+    )

@@ -6,8 +6,10 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillgrid.operators import rules
 from quillgrid.session import work_folder
 from quillgrid.streaming import anchored, requests, windows
+from quillgrid.streaming.ordered import stream_session
 
 SECOND = 1_000_000
 
@@ -151,28 +153,67 @@ def split_events(spark):
     return events, stream
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_streamed_attempts_equal_the_batch(spark, tmp_path, hot):
-    """Files in no order of time; a closing event moves the watermark past all others."""
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts")
-    if hot:
-        events = events.withColumn("user_id", F.lit(7).cast("bigint"))
-    slim = events.select("user_id", "ts")
-    slim.repartition(6, F.xxhash64("ts")).write.parquet(str(tmp_path / "in"))
-    closing = slim.agg(F.lit(-1).cast("bigint").alias("user_id"), (F.max("ts") + F.expr("INTERVAL 200 DAYS")).alias("ts"))
-    closing.write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    try:
-        got = written(spark, windows.stream_attempts(stream, "user_id", "ts", 86400, limit=2, delay="100 days"))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    got = got.filter("user_id >= 0")
-    want = windows.anchored_attempts(events, "user_id", "ts", "event_id", 86400, limit=2)
-    columns = ["user_id", "instant", "window_start", "attempt", "over_limit"]
-    assert sorted(map(tuple, got.select(columns).collect())) == sorted(
-        map(tuple, want.select(columns).collect())
-    )
+def in_files(spark, rows, folder, size):
+    """Rows (tuples with the time in seconds at `ts`) as a stream of files in the given order."""
+    for i in range(0, len(rows), size):
+        frame = spark.createDataFrame(rows[i : i + size], "k string, id bigint, s bigint, p int")
+        frame.select("k", "id", F.timestamp_seconds("s").alias("ts"), "p").coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    return stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def streamed(stream):
+    return [r for r in written(stream.sparkSession, stream).collect() if r["k"] != "end"]
+
+
+def late_rows(seed, keys, count, spread, lateness):
+    """Rows by time, each up to `lateness` seconds late, and one that ends the stream."""
+    rng = np.random.default_rng(seed)
+    times = rng.integers(1, spread, count)
+    order = np.argsort(times + rng.integers(0, lateness, count), kind="stable")
+    rows = [(keys[int(rng.integers(len(keys)))], int(i), int(times[i]), int(rng.integers(2))) for i in order]
+    return [*rows, ("end", -1, spread * 10, 0)]
+
+
+@pytest.mark.parametrize("keys, bucket", [(["hot"], 7), (["a", "b", "c"], 500)])
+def test_streamed_attempts_equal_the_batch(spark, tmp_path, keys, bucket):
+    """Windows end in many batches, while others wait for late events."""
+    rows = late_rows(len(keys), keys, 300, 6_000, 200)
+    stream = in_files(spark, rows, str(tmp_path / "in"), 60)
+    got = streamed(windows.stream_attempts(stream, "k", "ts", 100, limit=2, delay="250 seconds", bucket_seconds=bucket))
+    events = spark.createDataFrame(rows[:-1], "k string, id bigint, s bigint, p int").withColumn("ts", F.timestamp_seconds("s"))
+    want = windows.anchored_attempts(events, "k", "ts", "id", 100, limit=2)
+    columns = ["k", "instant", "window_start", "attempt", "over_limit"]
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_state_ends_with_the_window(spark, tmp_path):
+    rows = [("a", 1, 10, 0), ("a", 2, 15, 0), ("b", 3, 5_000, 0), ("a", 4, 9_000, 0), ("end", 5, 90_000, 0), ("end", 6, 99_000, 0)]
+    stream = windows.stream_attempts(in_files(spark, rows, str(tmp_path / "in"), 1), "k", "ts", 60, 2, "1 second", 30)
+    checkpoint = work_folder(spark, "checkpoint")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(work_folder(spark, "out"))
+    query.awaitTermination()
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+    assert max(held) >= 2 and held[-1] <= max(held)
+    out = stream.sparkSession.read.format("state-metadata").load(checkpoint)
+    assert out.count()
+
+
+def test_streamed_outcomes_equal_the_batch(spark, tmp_path):
+    rows = late_rows(9, ["x", "y", "z", "w"], 200, 5_000, 300)
+    events = spark.createDataFrame(rows[:-1], "k string, id bigint, s bigint, p int").withColumn("ts", F.timestamp_seconds("s"))
+    stream = in_files(spark, rows, str(tmp_path / "in"), 40)
+    got = streamed(requests.request_outcomes_stream(stream, ["k"], ["p"], "ts", "id", "400 seconds", 50))
+    want = rules.request_outcomes(events, ["k"], ["p"], ["ts", "id"]).collect()
+    assert {r.id: r.outcome for r in got} == {r.id: r.outcome for r in want} and len(got) == 200
+    assert {r.outcome for r in got} == {"accepted", "repeated", "conflict"}
+
+
+def test_keys_are_forgotten_after_a_while(spark, tmp_path):
+    rows = [("a", 1, 1_000, 1), ("a", 2, 1_050, 2), ("a", 3, 1_100, 2), ("a", 4, 1_130, 1), ("end", 5, 9_000, 0)]
+    stream = in_files(spark, rows, str(tmp_path / "in"), 2)
+    got = streamed(requests.request_outcomes_stream(stream, ["k"], ["p"], "ts", "id", "60 seconds", 10, remember_seconds=100))
+    assert {r.id: r.outcome for r in got} == {1: "accepted", 2: "conflict", 3: "accepted", 4: "conflict"}
 
 
 def test_streamed_tumbling_counts_equal_the_batch(spark, split_events):
