@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.operators import joins, ranking, rollups
 from quillgrid.operators.filters import stale_condition
+from quillgrid.session import work_folder
+from quillgrid.sources import inventory
 from quillgrid.suite import query, table
 
 
@@ -267,6 +269,100 @@ def join_settled_messages(spark, sf):
     return settled.select("o_orderkey", "reconciled", "status", "error_message")
 
 
+SETTLE_SQL = """items AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_returnflag),
+    d AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'profiling' ELSE 'transforming' END AS status,
+                 o_custkey % 3 + 1 AS version FROM orders),
+    c AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber % 3 + 1 AS expected_version,
+                 CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'N' THEN 'pending' ELSE 'failed' END AS status,
+                 CASE WHEN l_quantity < 10 THEN 'old' END AS error_message, 'v' || l_partkey AS output_path FROM items),
+    e AS (SELECT l_orderkey AS dataset_id, l_quantity > 40 AS cancelled,
+                 CASE l_linenumber % 4 WHEN 0 THEN 'import' WHEN 1 THEN 'profile' ELSE 'transformation' END AS kind,
+                 CASE WHEN l_linenumber % 4 > 1 THEN l_orderkey * 10 + l_linenumber END AS change_id
+          FROM items WHERE l_shipdate < TIMESTAMP '1995-01-01')"""
+
+
+def settled_inputs(spark, sf):
+    """Orders stand for datasets, line items for changes and for the jobs on them that ended."""
+    status = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "profiling")
+    datasets = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), status.otherwise("transforming").alias("status"),
+        (F.col("o_custkey") % 3 + 1).alias("version"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"),
+    )
+    order = ["l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag"]
+    items = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min(F.struct(*order)).alias("r")
+    ).select("l_orderkey", "l_linenumber", "r.*")
+    number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    state = F.when(F.col("l_returnflag") == "A", "completed").when(F.col("l_returnflag") == "N", "pending")
+    changes = items.select(
+        number.alias("id"), (F.col("l_linenumber") % 3 + 1).alias("expected_version"), state.otherwise("failed").alias("status"),
+        F.when(F.col("l_quantity") < 10, "old").alias("error_message"),
+        F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("output_path"),
+    )
+    quarter = F.col("l_linenumber") % 4
+    ended = items.where(F.col("l_shipdate") < moment("1995-01-01")).select(
+        F.col("l_orderkey").alias("dataset_id"), (F.col("l_quantity") > 40).alias("cancelled"),
+        F.when(quarter == 0, "import").when(quarter == 1, "profile").otherwise("transformation").alias("kind"),
+        F.when(quarter > 1, number).alias("change_id"),
+    )
+    return datasets, changes, ended
+
+
+@query(
+    "join_settle_datasets",
+    f"""WITH {SETTLE_SQL}, f AS (
+            SELECT dataset_id, bool_or(kind = 'import' AND e.cancelled) AS cancelled, bool_or(kind = 'import' AND NOT e.cancelled) AS failed,
+                   bool_or(kind = 'profile') AS profiled,
+                   list(expected_version) FILTER (kind = 'transformation' AND c.status <> 'completed') AS versions
+            FROM e LEFT JOIN c ON c.id = change_id GROUP BY dataset_id)
+        SELECT d.id, CASE WHEN cancelled THEN 'cancelled' WHEN failed THEN 'failed'
+                          WHEN profiled AND status = 'profiling' THEN 'ready'
+                          WHEN list_contains(versions, version) THEN 'ready' ELSE status END AS status,
+               CASE WHEN cancelled THEN TIMESTAMP '2030-01-01' END AS deleted_at
+        FROM d LEFT JOIN f ON dataset_id = d.id""",
+)
+def join_settle_datasets(spark, sf):
+    """Datasets after jobs of each kind ended."""
+    datasets, changes, ended = settled_inputs(spark, sf)
+    settled = joins.settle_datasets(datasets, ended, changes, moment("2030-01-01").cast("timestamp_ntz"))
+    return settled.select("id", "status", "deleted_at")
+
+
+@query(
+    "join_settle_outcomes",
+    f"""WITH {SETTLE_SQL}, m AS (SELECT c.*, e.cancelled, e.cancelled IS NOT NULL AND c.status <> 'completed' AS moved
+                                 FROM c LEFT JOIN e ON change_id = id)
+        SELECT id, CASE WHEN moved AND cancelled THEN 'cancelled' WHEN moved THEN 'failed' ELSE status END AS status,
+               CASE WHEN moved AND NOT cancelled THEN 'timed out' WHEN NOT moved THEN error_message END AS error_message,
+               CASE WHEN NOT moved THEN output_path END AS output_path FROM m""",
+)
+def join_settle_outcomes(spark, sf):
+    """Changes after their jobs ended: cancelled without a message, failed with one, files emptied."""
+    _, changes, ended = settled_inputs(spark, sf)
+    by_change = ended.where("change_id IS NOT NULL").select(F.col("change_id").alias("id"), "cancelled")
+    settled = joins.settle_outcomes(changes, by_change, "id", ("completed", "undone"), "timed out", ("output_path",))
+    return settled.select("id", "status", "error_message", "output_path")
+
+
+@query(
+    "storage_quota",
+    """WITH s AS (SELECT c_nationkey AS owner_id, sum(strlen(c_name) + 1) AS bytes FROM customer GROUP BY c_nationkey)
+       SELECT owner_id, 2::BIGINT AS files, bytes::BIGINT AS used_bytes, bytes > 1150 AS over_quota,
+              bytes + 10 * owner_id <= 1150 AS fits FROM s""",
+)
+def storage_quota(spark, sf):
+    """Stored files with their real sizes, one of each owner is missing; bytes that are to come."""
+    folder = work_folder(spark, "stored")
+    customers = table(spark, sf, "customer").select(F.col("c_name").alias("value"), F.col("c_nationkey").alias("owner"))
+    customers.repartition("owner").write.partitionBy("owner").text(folder)
+    stored = inventory.file_inventory(spark, folder, "part-*")
+    owner = F.regexp_extract("path", "owner=([0-9]+)/", 1).cast("bigint").alias("owner_id")
+    references = stored.select(owner, "path")
+    gone = references.select("owner_id", F.concat(F.lit(folder), F.lit("/gone/"), F.col("owner_id").cast("string")).alias("path"))
+    every = references.unionByName(gone).unionByName(references).distinct()
+    return rollups.storage_per_owner(every, stored, quota=1150, incoming=F.col("owner_id") * 10)
+
+
 @query(
     "count_by_status",
     """SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS completed,
