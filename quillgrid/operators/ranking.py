@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions.columns import col
@@ -12,17 +12,51 @@ from quillgrid.operators.columns import PREVIEW_COLUMNS
 MAX_PAGE_SIZE = 100
 MAX_BATCH = 10_000
 
+#: Rows of a piece of a ranked table.
+PIECE_ROWS = 1_000_000
+
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page `number` (from 1) of `size` rows, in the order of the given keys.
 
-    All rows up to the page are ranked, so filter on the keys to read far into a large table.
+    All rows up to the page are ranked; a table written by `write_ranked` has pages that are not.
     """
     if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
         raise ValueError(f"Pages start at 1 and hold 1 to {MAX_PAGE_SIZE} rows.")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def write_ranked(df: DataFrame, order: list[Column], path: str, piece_rows: int = PIECE_ROWS) -> None:
+    """Write a table in pieces of some `piece_rows` rows that follow each other in the given order,
+    and beside them an index with the number of rows before each piece.
+
+    The order should be total, or rows that tie may be on either side of a page's border.
+    """
+    spark = df.sparkSession
+    pieces = max(1, -(-df.count() // piece_rows))
+    dealt = df.repartitionByRange(pieces, *order).withColumn("_piece", F.spark_partition_id())
+    dealt.write.partitionBy("_piece").parquet(f"{path}/rows")
+    sizes = spark.read.parquet(f"{path}/rows").groupBy("_piece").agg(F.count(F.lit(1)).alias("rows"))
+    # One row per piece.
+    before = F.sum("rows").over(Window.orderBy("_piece")) - F.col("rows")
+    sizes.withColumn("before", before).coalesce(1).write.parquet(f"{path}/index")
+
+
+def ranked_page(
+    spark: SparkSession, path: str, order: list[Column], number: int, size: int
+) -> DataFrame:
+    """Page `number` of a table that `write_ranked` wrote in this order: only the pieces that hold the
+    page are read and ranked, one or two of them unless pieces are smaller than pages."""
+    if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"Pages start at 1 and hold 1 to {MAX_PAGE_SIZE} rows.")
+    start = (number - 1) * size
+    holds = (F.col("before") < start + size) & (F.col("before") + F.col("rows") > start)
+    index = spark.read.parquet(f"{path}/index").where(holds).collect()
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("_piece").isin([r["_piece"] for r in index]))
+    skipped = start - min((r["before"] for r in index), default=start)
+    return rows.drop("_piece").orderBy(*order).offset(skipped).limit(size)
+
+
 def head(df: DataFrame, order: list[Column] | None, rows: int) -> DataFrame:
     """The first rows by the given keys; without keys, any rows."""
     return (df.orderBy(*order) if order else df).limit(rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgrid.operators import columns, filters, ranking
+from quillgrid.session import work_folder
 from quillgrid.suite import GAPPY, gappy_events, query, table
 
 
@@ -164,6 +165,19 @@ def page_of_rows(spark, sf):
     return ranking.page(orders, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 3, 50)
 
 
+@query(
+    "page_of_rows_ranked",
+    """SELECT o_orderkey, o_totalprice FROM orders
+       ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 950""",
+)
+def page_of_rows_ranked(spark, sf):
+    """A far page, of which only the pieces around it are read."""
+    path = work_folder(spark, "ranked")
+    order = [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]
+    ranking.write_ranked(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), order, path, 400)
+    return ranking.ranked_page(spark, path, order, 20, 50)
+
+
 @query(
     "page_of_rows_facts",
     """SELECT count(*) AS total_rows, 11 AS total_columns, 3 AS columns_truncated, 3 AS page,

@@ -225,3 +225,18 @@ def test_outcomes_by_kind_of_job(spark):
         (50, "failed", None, "timed out"), (60, "failed", None, "timed out"),
         (70, "completed", 2, "n"), (80, None, 1, "k"),
     ]
+
+
+def test_ranked_pages_read_few_pieces(spark, tmp_path):
+    from quillgrid.operators import ranking
+
+    df = spark.range(2_000).select(F.pmod(F.xxhash64("id"), F.lit(500)).alias("v"), "id")
+    order = [F.col("v").desc(), F.col("id").asc()]
+    ranking.write_ranked(df, order, str(tmp_path / "t"), piece_rows=90)
+    for number, size in ((1, 100), (2, 7), (199, 10), (200, 10), (201, 10), (20, 100), (21, 100)):
+        got = ranking.ranked_page(spark, str(tmp_path / "t"), order, number, size).collect()
+        assert got == ranking.page(df, order, number, size).collect()
+    plan = ranking.ranked_page(spark, str(tmp_path / "t"), order, 150, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(_piece" in plan.split("PartitionFilters")[1]
+    with pytest.raises(ValueError):
+        ranking.ranked_page(spark, str(tmp_path / "t"), order, 0, 10)
