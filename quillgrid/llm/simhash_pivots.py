@@ -331,9 +331,17 @@ def representatives(
         .groupBy("root").agg(F.min(best).alias("best"))
         .select(F.col("best.id").alias("kept_id"), F.col("best.fp").alias("kept_fp"))
     )
-    rows = fingerprints(df, text_col, shingle)
+    repeated = checkpointed(ids.groupBy("id").count().where("count > 1").select(F.col("id").alias("often")))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     rows = rows.withColumn("id", F.col("row").getField(id_col))
-    kept = rows.join(
+    kept = rows.join(stays, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    # Where an id has several rows, the fingerprint says which one stays.
+    is_often = F.col("id").eqNullSafe(F.col("often"))
+    several = fingerprints(rows.join(repeated, is_often, "left_semi").select("row.*"), text_col, shingle)
+    several = several.withColumn("id", F.col("row").getField(id_col)).join(
         stays, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi"
     )
-    return kept.dropDuplicates(["id", "fp"]).select("row.*")
+    one_each = several.dropDuplicates(["id", "fp"]).select("row.*")
+    return kept.join(repeated, is_often, "left_anti").select("row.*").unionByName(one_each)

@@ -98,3 +98,11 @@ def test_a_discarded_pair_is_never_close():
     near = marks ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
     table = S.distance_table(np.concatenate([marks, near]), S.pivots())
     assert np.abs(table[:500] - table[500:]).max() <= 1
+
+
+def test_one_id_with_texts_of_two_groups(spark):
+    a, b, c = "alpha beta gamma delta", "one two three four five", "red green blue white"
+    rows = [(1, a, "x"), (2, a, "y"), (1, b, "z"), (3, b, "w"), (1, a, "x"), (None, c, "n"), (None, b, "m")]
+    frame = spark.createDataFrame(rows, "id long, text string, often string")
+    kept = S.representatives(frame, "id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == [(1, a, "x"), (1, b, "z"), (None, c, "n")]
