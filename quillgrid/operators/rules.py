@@ -63,14 +63,21 @@ def shape(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return df.agg(*columns)
 
 
-def payload_bytes(*columns: str) -> Column:
-    """Size in bytes of the compact JSON text of the named columns."""
-    payload = F.struct(*[col(c) for c in columns])
-    return F.octet_length(F.to_json(payload, {"ignoreNullFields": "false"}))
-
-
-def oversized_payloads(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
-    sized = df.withColumn("payload_bytes", payload_bytes(*columns))
+def payload_bytes(*columns: str, escaped: bool = False) -> Column:
+    """Size in bytes of the compact JSON text of the named columns; `escaped` counts DEL and characters beyond
+    ASCII as the escapes of their UTF-16 units."""
+    text = F.to_json(F.struct(*[col(c) for c in columns]), {"ignoreNullFields": "false"})
+    if not escaped:
+        return F.octet_length(text)
+    plain = F.length(F.regexp_replace(text, r"[^\x00-\x7E]", ""))
+    two_units = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return plain + 6 * (F.length(text) - plain + two_units)
+
+
+def oversized_payloads(
+    df: DataFrame, columns: list[str], limit: int, escaped: bool = False
+) -> DataFrame:
+    sized = df.withColumn("payload_bytes", payload_bytes(*columns, escaped=escaped))
     return sized.filter(F.col("payload_bytes") > limit)
 
 

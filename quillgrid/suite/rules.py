@@ -117,6 +117,20 @@ def requests(spark, sf):
     )
 
 
+@query(
+    "rule_oversized_escaped",
+    r"""WITH j AS (SELECT doc_id, to_json({'doc_id': doc_id, 'text': text})::VARCHAR AS t FROM documents),
+             s AS (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '[^\x00-\x7E]', '', 'g')) AS plain,
+                          length(regexp_replace(t, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS wide FROM j)
+        SELECT doc_id, (plain + 6 * (n - plain + wide))::INT AS payload_bytes FROM s
+        WHERE plain + 6 * (n - plain + wide) > 2000""",
+)
+def rule_oversized_escaped(spark, sf):
+    """Results whose JSON is larger than a bound when everything beyond ASCII is escaped."""
+    found = rules.oversized_payloads(table(spark, sf, "documents"), ["doc_id", "text"], 2000, escaped=True)
+    return found.select("doc_id", "payload_bytes")
+
+
 @query(
     "request_winners",
     f"""WITH {REQUESTS_SQL} SELECT user_id, event_type, min(first_id) AS event_id,

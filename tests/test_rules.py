@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ def test_payload_size_counts_bytes(spark, rows):
     sized = df.select(rules.payload_bytes("v", "w"))
     assert rows(sized) == [(len('{"v":"é","w":null}'.encode()),)]
     assert rules.oversized_payloads(df, ["v"], 5).count() == 1
+    texts = ["é", "日本", "🙂x\n\"", "\x7f\x01", "plain", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "v string")
+    sizes = rows(frame.select(rules.payload_bytes("v", escaped=True)))
+    assert sizes == [(len(json.dumps({"v": t}, separators=(",", ":"))),) for t in texts]
 
 
 def test_repeated_requests(spark):
