@@ -136,13 +136,19 @@ def source_json_missing(spark, sf):
 def source_json_array_files(spark, sf):
     """Every file is one array, with records in any number of lines; each is read by many tasks."""
     path = work_folder(spark, "json")
-    documents = table(spark, sf, "documents").repartition(2, "doc_id")
+    documents = table(spark, sf, "documents")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    documents = documents.repartition(max(2, -(-size // ARRAY_FILE_BYTES)))
     records = documents.select(F.to_json(F.struct(*documents.columns), {"pretty": "true"}).alias("value"))
     records.mapInArrow(one_array, "value string").write.text(path)
     schema = documents.schema
     return readers.load_dataset(spark, path, "json", schema=schema)
 
 
+#: Bytes of texts in a file of one array, which one task writes and several read.
+ARRAY_FILE_BYTES = 256 << 20
+
+
 def one_array(batches):
     """The lines of one array of all records of a task."""
     import pyarrow as pa

@@ -278,3 +278,22 @@ def test_json_arrays_over_many_ranges(spark, tmp_path, small_ranges, size):
 def test_broken_json_arrays_are_refused(spark, put, text):
     with pytest.raises(Exception, match="never end|Something else"):
         readers.read_json(spark, put(text, "d.json")).collect()
+
+
+def test_array_files_are_bounded(spark, tmp_path, monkeypatch):
+    """The documents are dealt to as many files as their bytes ask for, also if all ids are missing."""
+    from quillgrid.suite import QUERIES, load_all, stored
+
+    load_all()
+    made = []
+    monkeypatch.setattr(stored, "work_folder", lambda *_: made.append(str(tmp_path / f"out{len(made)}")) or made[-1])
+    monkeypatch.setattr(stored, "ARRAY_FILE_BYTES", 20_000, raising=False)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int"
+    for n, files in ((3, 2), (400, 20)):
+        folder = tmp_path / f"in{n}"
+        df = spark.createDataFrame([(None, "x}\"{é\n" * 166, "en", None, i) for i in range(n)] + [(1, None, "de", "s", 0)], schema)
+        df.write.parquet(str(folder / "documents.parquet"))
+        got = QUERIES["source_json_array_files"](spark, str(folder))
+        assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+        sizes = [f.stat().st_size for f in (tmp_path / made[-1]).glob("part-*")]
+        assert len(sizes) >= files and max(sizes) < 40_000
