@@ -14,6 +14,10 @@ MAX_BATCH = 10_000
 
 #: Rows of a piece of a ranked table.
 PIECE_ROWS = 1_000_000
+#: Rows of a folder, which one task ranks and writes; pieces with fewer rows share one.
+FOLDER_ROWS = 250_000
+#: Places inside a task in the numbers of `monotonically_increasing_id`.
+PLACE_BITS = 33
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -30,13 +34,18 @@ def write_ranked(df: DataFrame, order: list[Column], path: str, piece_rows: int
     """Write a table in pieces of some `piece_rows` rows that follow each other in the given order,
     and beside them an index with the number of rows before each piece.
 
+    Small pieces follow each other in a folder, `_pieces`, where Parquet's statistics of `_piece` tell
+    them apart; so tasks and files become no more than the rows ask for, however small the pieces.
     The order should be total, or rows that tie may be on either side of a page's border.
     """
     spark = df.sparkSession
-    pieces = max(1, -(-df.count() // piece_rows))
-    dealt = df.repartitionByRange(pieces, *order).withColumn("_piece", F.spark_partition_id())
-    dealt.write.partitionBy("_piece").parquet(f"{path}/rows")
-    sizes = spark.read.parquet(f"{path}/rows").groupBy("_piece").agg(F.count(F.lit(1)).alias("rows"))
+    folders = max(1, -(-df.count() // max(piece_rows, FOLDER_ROWS)))
+    dealt = df.repartitionByRange(folders, *order).withColumn("_pieces", F.spark_partition_id())
+    ranked = dealt.sortWithinPartitions("_pieces", *order).withColumn("_place", F.monotonically_increasing_id())
+    inside = F.col("_place").bitwiseAND((1 << PLACE_BITS) - 1)
+    piece = F.col("_place") - inside + F.floor(inside / piece_rows)
+    ranked.withColumn("_piece", piece).drop("_place").write.partitionBy("_pieces").parquet(f"{path}/rows")
+    sizes = spark.read.parquet(f"{path}/rows").groupBy("_pieces", "_piece").agg(F.count(F.lit(1)).alias("rows"))
     # One row per piece.
     before = F.sum("rows").over(Window.orderBy("_piece")) - F.col("rows")
     sizes.withColumn("before", before).coalesce(1).write.parquet(f"{path}/index")
@@ -46,15 +55,18 @@ def ranked_page(
     spark: SparkSession, path: str, order: list[Column], number: int, size: int
 ) -> DataFrame:
     """Page `number` of a table that `write_ranked` wrote in this order: only the pieces that hold the
-    page are read and ranked, one or two of them unless pieces are smaller than pages."""
+    page are ranked, one or two of them unless pieces are smaller than pages, and little beside them is
+    read."""
     if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
         raise ValueError(f"Pages start at 1 and hold 1 to {MAX_PAGE_SIZE} rows.")
     start = (number - 1) * size
     holds = (F.col("before") < start + size) & (F.col("before") + F.col("rows") > start)
     index = spark.read.parquet(f"{path}/index").where(holds).collect()
-    rows = spark.read.parquet(f"{path}/rows").where(F.col("_piece").isin([r["_piece"] for r in index]))
+    rows = spark.read.parquet(f"{path}/rows").where(
+        F.col("_pieces").isin(sorted({r["_pieces"] for r in index})) & F.col("_piece").isin([r["_piece"] for r in index])
+    )
     skipped = start - min((r["before"] for r in index), default=start)
-    return rows.drop("_piece").orderBy(*order).offset(skipped).limit(size)
+    return rows.drop("_piece", "_pieces").orderBy(*order).offset(skipped).limit(size)
 
 
 def head(df: DataFrame, order: list[Column] | None, rows: int) -> DataFrame:

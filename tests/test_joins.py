@@ -240,3 +240,26 @@ def test_ranked_pages_read_few_pieces(spark, tmp_path):
     assert "isnotnull(_piece" in plan.split("PartitionFilters")[1]
     with pytest.raises(ValueError):
         ranking.ranked_page(spark, str(tmp_path / "t"), order, 0, 10)
+
+
+def test_small_ranked_pieces_share_a_folder(spark, tmp_path, monkeypatch):
+    """Folders, one per task, grow with the rows and not with the number of pieces."""
+    from quillgrid.operators import ranking
+
+    df = spark.range(2_000).select(F.pmod(F.xxhash64("id"), F.lit(500)).alias("v"), "id")
+    order = [F.col("v").desc(), F.col("id").asc()]
+    for label, folder_rows, most in (("one", 250_000, 1), ("some", 300, 7)):
+        monkeypatch.setattr(ranking, "FOLDER_ROWS", folder_rows, raising=False)
+        path = str(tmp_path / label)
+        ranking.write_ranked(df, order, path, piece_rows=7)
+        files = list((tmp_path / label / "rows").rglob("*.parquet"))
+        assert len(files) == len({f.parent for f in files}) <= most
+        index = spark.read.parquet(f"{path}/index").orderBy("_piece").collect()
+        assert len(index) >= 2_000 / 7 and max(r["rows"] for r in index) == 7
+        assert [r["before"] for r in index] == [sum(q["rows"] for q in index[:i]) for i in range(len(index))]
+        border = next((i for i in range(1, len(index)) if index[i]["_pieces"] > index[0]["_pieces"]), 50)
+        for number, size in ((1, 7), (index[border]["before"] // 20 + 1, 20), (2_000, 1), (41, 50)):
+            page = ranking.ranked_page(spark, path, order, number, size)
+            assert page.collect() == ranking.page(df, order, number, size).collect()
+        plan = ranking.ranked_page(spark, path, order, 3, 10)._jdf.queryExecution().executedPlan().toString()
+        assert "(_piece," in plan.split("PushedFilters")[1]
