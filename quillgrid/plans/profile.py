@@ -164,10 +164,10 @@ def _for_every_column(df: DataFrame, found: DataFrame, defaults: dict) -> DataFr
     return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
-def _cuts(df: DataFrame, columns: list[Column]) -> DataFrame:
-    """`column, cut0, cut1, ...`: two cut points around each quartile, sketched from a sample of the
+def _cuts(df: DataFrame, columns: list[Column], quantiles: tuple[float, ...] = QUARTILES) -> DataFrame:
+    """`column, cut0, cut1, ...`: two cut points around each quantile, sketched from a sample of the
     rows; a column is its place in the list. Without values in the sample they are NULL."""
-    points = [min(max(p + side * CUT_MARGIN, 0.0), 1.0) for p in QUARTILES for side in (-1, 1)]
+    points = [min(max(p + side * CUT_MARGIN, 0.0), 1.0) for p in quantiles for side in (-1, 1)]
     sample = df.select(*columns).toDF(*[str(i) for i in range(len(columns))]).sample(CUT_SAMPLE, seed=1)
     sketch = sample.agg(*[F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias(c) for c in sample.columns])
     found = sketch.first()
@@ -177,11 +177,11 @@ def _cuts(df: DataFrame, columns: list[Column]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def _ranks(total: int) -> list[tuple[int, int, int, float]]:
-    """Quartile, side, rank from 0 and weight of the upper side: the quantile p of N values lies at
+def _ranks(total: int, quantiles: tuple[float, ...]) -> list[tuple[int, int, int, float]]:
+    """Number of the quantile, side, rank from 0 and weight of the upper side: the quantile p of N values lies at
     position p * (N - 1) of the sorted values, between the two neighbouring ones."""
     found = []
-    for q, p in enumerate(QUARTILES):
+    for q, p in enumerate(quantiles):
         position = Fraction(p) * (total - 1)
         low = position.numerator // position.denominator
         found += [(q, 0, low, float(position - low)), (q, 1, low + (position != low), float(position - low))]
@@ -189,13 +189,15 @@ def _ranks(total: int) -> list[tuple[int, int, int, float]]:
 
 
 def exact_quartiles(
-    counts: DataFrame, cuts: DataFrame, region_rows: int = REGION_ROWS
-) -> dict[int, tuple[float, ...]]:
-    """The exact quartiles, with linear interpolation, of every column that has values.
+    counts: DataFrame, cuts: DataFrame, region_rows: int = REGION_ROWS,
+    quantiles: tuple[float, ...] = QUARTILES,
+) -> dict[int, tuple[float, ...]]:
+    """The exact quartiles, or other quantiles, with linear interpolation, of every column that has
+    values.
 
     `counts` is a table `column, value, n` without repeated pairs, and `cuts` has some cut points of
     every column. What the driver sees is the number of values between cuts, and at the end two
-    values per quartile and column. Regions between cuts that hold a wanted rank are cut again until
+    values per quantile and column. Regions between cuts that hold a wanted rank are cut again until
     none has more than `region_rows` rows, and only then sorted, so no task sorts more.
     """
     edges = [c for c in cuts.columns if c != "column"]
@@ -210,7 +212,7 @@ def exact_quartiles(
     wanted: dict[tuple[int, int], list] = {}  # what is looked for in a region: rank inside it, and for what
     for column in {c for c, _ in sizes}:
         before = 0
-        ranks = _ranks(sum(n for (c, _), (n, _) in sizes.items() if c == column))
+        ranks = _ranks(sum(n for (c, _), (n, _) in sizes.items() if c == column), quantiles)
         for at in sorted(r for c, r in sizes if c == column):
             n = sizes[column, at][0]
             inside = [(rank - before, q, side, w) for q, side, rank, w in ranks if before <= rank < before + n]
@@ -224,7 +226,7 @@ def exact_quartiles(
         again = kept.groupBy("column", "region").agg(
             F.percentile_approx("value", points, SKETCH_ACCURACY).alias("points")
         )
-        # At most six regions per column, with CUTS_AGAIN numbers each.
+        # At most two regions per quantile and column, with CUTS_AGAIN numbers each.
         below = F.size(F.filter("points", lambda c: c < F.col("value")))
         inner = (F.col("region") * CUTS_AGAIN + below).alias("region")
         placed = kept.join(F.broadcast(again), ["column", "region"]).select("column", "value", "n", inner)
@@ -248,7 +250,7 @@ def _region_sizes(placed: DataFrame) -> dict[tuple[int, int], tuple[int, int]]:
 
 
 def _only(placed: DataFrame, wanted: dict) -> DataFrame:
-    """The rows of the wanted regions, of which there are at most six per column."""
+    """The rows of the wanted regions, of which there are at most two per quantile and column."""
     listed = placed.sparkSession.createDataFrame(sorted(wanted), "column int, region bigint")
     return placed.join(F.broadcast(listed), ["column", "region"], "left_semi")
 
@@ -264,7 +266,7 @@ def _sorted_out(kept: DataFrame, wanted: dict) -> dict[int, tuple[float, ...]]:
     return {
         column: tuple(
             values[column, q, 0] + (values[column, q, 1] - values[column, q, 0]) * weights[column, q]
-            for q in range(len(QUARTILES))
+            for q in sorted({q for c, q in weights if c == column})
         )
         for column in sorted({at[0] for at in wanted})
     }
@@ -629,10 +631,19 @@ def _as_doubles(df: DataFrame) -> list[Column]:
 
 def column_quartiles(df: DataFrame) -> DataFrame:
     """`column, q1, median, q3` of the numeric columns, exact."""
+    found = column_quantiles(df, QUARTILES)
+    return found.select("column", *[F.col("values")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+
+
+def column_quantiles(df: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
+    """`column, values` of the numeric columns that hold values: the exact quantiles, in the given order."""
     numbers = _as_doubles(df)
-    found = exact_quartiles(checkpointed(_value_counts(df, numbers)), _cuts(df, numbers)) if numbers else {}
-    rows = [(numeric_columns(df)[i], *quartiles) for i, quartiles in found.items()]
-    return df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double")
+    found = {}
+    if numbers:
+        counts = checkpointed(_value_counts(df, numbers))
+        found = exact_quartiles(counts, _cuts(df, numbers, quantiles), quantiles=quantiles)
+    rows = [(numeric_columns(df)[i], list(values)) for i, values in found.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, values array<double>")
 
 
 def outlier_counts(df: DataFrame) -> DataFrame:

@@ -329,14 +329,8 @@ def profile_sketch_is_close(spark, sf):
     sketch = profile.column_profile(items, exact=False).select(
         "column", *[F.col(c).alias(f"s_{c}") for c in ("missing_count", "unique_count", "mean", "median")]
     )
-    bounds = items.agg(
-        *[F.percentile(F.col(c), [0.48, 0.52]).alias(c) for c in LINEITEM_NUMBERS]
-    )
-    around = bounds.select(
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("b")) for c in LINEITEM_NUMBERS])
-        )
-    )
+    bounds = profile.column_quantiles(items.select(*LINEITEM_NUMBERS), (0.48, 0.52))
+    around = bounds.withColumnRenamed("values", "b")
     joined = exact.join(sketch, "column").join(around, "column", "left")
     return joined.select(
         "column",

@@ -220,3 +220,33 @@ def test_duplicates_by_digest(spark):
     plan = profile.duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
     shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(shuffled) == 1 and "hashpartitioning(_groupingexpression" in shuffled[0]
+
+
+def test_the_sketch_is_compared_without_one_list_of_all_values(spark, tmp_path, monkeypatch):
+    """`percentile` brings every distinct value of a column to one task."""
+    from quillgrid.suite import QUERIES, load_all, profiles
+
+    load_all()
+    numbers = profiles.LINEITEM_NUMBERS
+    items = spark.range(3_000).select(
+        *[
+            F.when(F.col("id") % 11 != i, F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40 * (i + 1)))).alias(c)
+            for i, c in enumerate(numbers)
+        ],
+        F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), F.current_date().alias("l_shipdate"),
+    )
+    items = items.withColumn("l_tax", F.lit(None).cast("double"))
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    asked = (0.48, 0.52, 0.999)
+    found = {r["column"]: r["values"] for r in profile.column_quantiles(items, asked).collect()}
+    values = items.select(*numbers).toPandas().astype("float64")
+    expected = {c: [values[c].quantile(p) for p in asked] for c in numbers if c != "l_tax"}
+    assert found.keys() == expected.keys()
+    for c, v in expected.items():
+        assert found[c] == pytest.approx(v, rel=1e-12)
+
+    monkeypatch.setattr(F, "percentile", lambda *_: pytest.fail("one task sees all values"))
+    rows = {r["column"]: tuple(r)[1:] for r in QUERIES["profile_sketch_is_close"](spark, str(tmp_path)).collect()}
+    assert set(rows) == set(profiles.LINEITEM_COLUMNS)
+    for c, r in rows.items():
+        assert r == ((True, True, True, True) if c in expected else (True, True, None, None))
